@@ -67,13 +67,8 @@ def _shares(df: DataFrame, total: str, weight: str) -> DataFrame:
     """Adds _valid, _base and _frac for one total, given _sum."""
     valid = (F.col(total) > 0) & (F.col("_sum") > 0)
     raw = F.when(valid, F.try_divide(weight, "_sum") * F.col(total)).otherwise(F.lit(0.0))
-    return (
-        df.withColumn("_valid", valid)
-        .withColumn("_raw", raw)
-        .withColumn("_base", F.floor("_raw").cast("bigint"))
-        .withColumn("_frac", F.col("_raw") - F.col("_base"))
-        .drop("_raw")
-    )
+    base = F.floor(raw)
+    return df.withColumns({"_valid": valid, "_base": base.cast("bigint"), "_frac": raw - base})
 
 
 def _by_window(
@@ -118,8 +113,10 @@ def _narrow(rows: DataFrame, group: list[str], x: str, largest_first: bool) -> D
 
     `_need` is then counted within them. Only per-range counts are shuffled.
     """
-    probs = [k / CUTS for k in range(1, CUTS)]
-    cuts = rows.groupBy(*group).agg(F.percentile_approx(x, probs, 10 * CUTS).alias("_cuts"))
+    probs = ", ".join(f"{k / CUTS}D" for k in range(1, CUTS))
+    cuts = rows.groupBy(*group).agg(
+        F.expr(f"percentile_approx(`{x}`, array({probs}), {10 * CUTS})").alias("_cuts")
+    )
     position = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
     ranges = (
         rows.join(F.broadcast(cuts), group)

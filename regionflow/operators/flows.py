@@ -48,18 +48,22 @@ def allocate_exports(
     )
 
 
-def net_flow(exported: DataFrame, moves: DataFrame, scenario: Sequence[str] = ()) -> DataFrame:
-    """Imports minus exports per entity, in one grouping over both."""
-    arriving = moves.select(
-        *scenario, F.col("dst").alias("entity"), F.col("move_s").alias("net_s"), F.col("move_i").alias("net_i")
-    )
-    leaving = exported.select(
-        *scenario, "entity", (-F.col("export_s")).alias("net_s"), (-F.col("export_i")).alias("net_i")
+def net_flow(moves: DataFrame, scenario: Sequence[str] = ()) -> DataFrame:
+    """Imports minus exports per entity.
+
+    Every export is split completely, so the moves hold both sides: each row is
+    counted once where it arrives and once, negative, where it leaves.
+    """
+    sides = F.inline(
+        F.array(
+            F.struct(F.col("dst").alias("entity"), F.col("move_s").alias("s"), F.col("move_i").alias("i")),
+            F.struct(F.col("src").alias("entity"), (-F.col("move_s")).alias("s"), (-F.col("move_i")).alias("i")),
+        )
     )
     return (
-        arriving.unionByName(leaving)
+        moves.select(*scenario, sides)
         .groupBy(*scenario, "entity")
-        .agg(F.sum("net_s").alias("net_s"), F.sum("net_i").alias("net_i"))
+        .agg(F.sum("s").alias("net_s"), F.sum("i").alias("net_i"))
     )
 
 
@@ -89,6 +93,5 @@ def flow_step(
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One exchange between the entities of each scenario."""
-    exported = exports(states, edges)
-    moves = allocate_exports(exported, edges, scenario, idx, hot_rows)
-    return apply_flows(states, net_flow(exported, moves, scenario), t_max, scenario)
+    moves = allocate_exports(exports(states, edges), edges, scenario, idx, hot_rows)
+    return apply_flows(states, net_flow(moves, scenario), t_max, scenario)

@@ -239,7 +239,8 @@ def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a source has at most one edge per entity, so its group is small
-    exported, edges = _exports(spark, sf_dir), _flow_edges(spark, sf_dir)
+    edges = _flow_edges(spark, sf_dir)
+    exported = flows.exports(V.stocks(spark, sf_dir), edges)
     return flows.allocate_exports(exported, edges, ["scenario"], hot_rows=None)
 
 
@@ -255,7 +256,7 @@ def allocate_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("net_flow", f"{_FLOW} SELECT scenario, entity, net_s, net_i FROM net")
 def net_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.net_flow(_exports(spark, sf_dir), _moves(spark, sf_dir), ["scenario"])
+    return flows.net_flow(_moves(spark, sf_dir), ["scenario"])
 
 
 _STEP = f"""{_FLOW}, after AS (SELECT st.scenario, st.entity, greatest(0, s + coalesce(net_s, 0)) AS s,
@@ -286,9 +287,9 @@ def apply_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "check_global_mass",
-    f"{_STEP}, d AS (SELECT st.scenario, sum(a.s + a.i) - sum(st.s + st.i) AS x FROM st JOIN after a "
+    f"{_STEP}, change AS (SELECT st.scenario, sum(a.s + a.i) - sum(st.s + st.i) AS x FROM st JOIN after a "
     "ON a.scenario = st.scenario AND a.entity = st.entity GROUP BY 1) "
-    "SELECT scenario, CAST(x AS BIGINT) AS mass_change FROM d WHERE x <> 0",
+    "SELECT scenario, CAST(x AS BIGINT) AS mass_change FROM change WHERE x <> 0",
 )
 def check_global_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios whose mass the exchange changed."""

@@ -196,9 +196,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links between nations that customers record, with repeats and loops."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between nations that customers record, loops included: (a, b, src, dst)."""
+    nation = table(spark, sf_dir, "nation")
     ends = (
         table(spark, sf_dir, "customer")
         .select(F.col("c_nationkey").alias("a"), F.expr("CAST((c_custkey * 7 + 3) % 25 AS INT)").alias("b"))
@@ -206,17 +206,17 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     src = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src"))
     dst = nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dst"))
-    return ends.join(src, "a").join(dst, "b").select("src", "dst")
+    return ends.join(src, "a").join(dst, "b")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked(spark, sf_dir).select("src", "dst")
 
 
 def pair_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipliers of the linked pairs whose key sum is divisible by 3."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    src = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src"))
-    dst = nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dst"))
-    pairs = links(spark, sf_dir).distinct().join(src, "src").join(dst, "dst")
-    mul = F.expr("1e0 + ((7 * a + 3 * b) % 5) / 10e0")
-    return pairs.filter("(a + b) % 3 = 0").select("src", "dst", mul.alias("mul"))
+    mul = F.expr("1e0 + ((7 * a + 3 * b) % 5) / 10e0").alias("mul")
+    return _linked(spark, sf_dir).filter("(a + b) % 3 = 0").select("src", "dst", mul)
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
