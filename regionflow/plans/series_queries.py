@@ -157,7 +157,7 @@ _CELL_METRICS = f"""
 """
 
 
-def _surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.loss_surface(
         V.trajectories(spark, sf_dir), V.targets(spark, sf_dir), thresh=3000.0
     )
@@ -194,9 +194,12 @@ def rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("loss_surface", f"WITH {_CELL_METRICS} SELECT beta, travel, round(loss, 4) AS loss FROM surface")
+SURFACE_SQL = f"WITH {_CELL_METRICS} SELECT beta, travel, round(loss, 4) AS loss FROM surface"
+
+
+@query("loss_surface", SURFACE_SQL)
 def loss_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_surface(spark, sf_dir), 4, "loss")
+    return rounded(surface(spark, sf_dir), 4, "loss")
 
 
 @query(
@@ -209,7 +212,7 @@ def loss_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = calibrate.param_grid(spark)
-    return rounded(calibrate.best_cell(_surface(spark, sf_dir), grid), 4, "loss")
+    return rounded(calibrate.best_cell(surface(spark, sf_dir), grid), 4, "loss")
 
 
 @query(
@@ -235,7 +238,7 @@ _PIVOT = ", ".join(
 
 @query("surface_pivot", f"WITH {_CELL_METRICS} SELECT beta, {_PIVOT} FROM surface GROUP BY beta")
 def surface_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reshape.surface_pivot(_surface(spark, sf_dir), K.TRAVEL_GRID)
+    wide = reshape.surface_pivot(surface(spark, sf_dir), K.TRAVEL_GRID)
     return wide.select(
         "beta", *[(F.round(F.col(f"`{t}`"), 4) + F.lit(0.0)).alias(str(t)) for t in K.TRAVEL_GRID]
     )

@@ -1 +1,113 @@
-"""Queries."""
+"""Streams over the events table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regionflow.plans import views as V
+from regionflow.plans.registry import query, rounded, table
+from regionflow.session import fresh_path
+from regionflow.streaming import snapshots
+
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as snapshot rows (country, ts, t, i)."""
+    events = table(spark, sf_dir, "events")
+    source = snapshots.read_snapshot_stream(
+        spark, sf_dir, events.schema, glob="events.parquet"
+    )
+    return source.select(
+        F.col("event_type").alias("country"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("t"),
+        F.col("value").alias("i"),
+    )
+
+
+def _finish(streaming_query) -> None:
+    streaming_query.awaitTermination()
+    if streaming_query.exception() is not None:
+        raise streaming_query.exception()
+
+
+def _complete(spark: SparkSession, results: DataFrame) -> DataFrame:
+    """All groups of an aggregated stream, once its input has been read."""
+    name = f"stream_{uuid.uuid4().hex}"
+    _finish(snapshots.sink_memory(results, name, fresh_path(spark, "checkpoint")))
+    return spark.table(name)
+
+
+_T = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
+
+
+@query(
+    "write_snapshot",
+    f"SELECT epoch, entity, step, i FROM ({V.STEP_SQL}) WHERE step % 50 = 0 UNION ALL "
+    f"SELECT epoch, entity, step, i FROM ({V.STEP_SQL}) WHERE step % 50 <> 0 AND step % 499 = 0",
+)
+def write_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots every 50 steps and at given last steps, read back as a stream's files."""
+    path = fresh_path(spark, "snapshots")
+    rows = V.steps(spark, sf_dir).withColumn("last", F.col("step") % 499 == 0)
+    due = snapshots.snapshot_rows(rows, 50, "last").select("epoch", "entity", "step", "i")
+    snapshots.write_snapshot(due, path)
+    stream = snapshots.read_snapshot_stream(spark, path, due.schema)
+    out = fresh_path(spark, "archive")
+    _finish(snapshots.sink_files(stream, out, fresh_path(spark, "checkpoint")))
+    return spark.read.schema(due.schema).parquet(out)
+
+
+@query(
+    "stream_archive",
+    f"SELECT event_type AS country, CAST({_T} AS INTEGER) AS t, count(*) AS n, round(sum(value), 4) AS total "
+    "FROM events GROUP BY 1, 2",
+)
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream archived as Parquet files, then summarised."""
+    path = fresh_path(spark, "archive")
+    stream = _stream(spark, sf_dir)
+    _finish(snapshots.sink_files(stream, path, fresh_path(spark, "checkpoint")))
+    kept = spark.read.schema(stream.schema).parquet(path)
+    out = kept.groupBy("country", "t").agg(F.count("*").alias("n"), F.sum("i").alias("total"))
+    return rounded(out, 4, "total")
+
+
+@query(
+    "stream_archive_csv",
+    "SELECT event_type AS country, count(*) AS n, round(max(value), 4) AS peak FROM events GROUP BY 1",
+)
+def stream_archive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archive")
+    stream = _stream(spark, sf_dir)
+    _finish(snapshots.sink_files(stream, path, fresh_path(spark, "checkpoint"), fmt="csv"))
+    kept = spark.read.schema(stream.schema).option("header", True).csv(path)
+    return rounded(kept.groupBy("country").agg(F.count("*").alias("n"), F.max("i").alias("peak")), 4, "peak")
+
+
+@query(
+    "rolling_snapshot_agg",
+    """
+    WITH w AS (SELECT event_type AS country, value, unnest(range(7)) AS back, CAST(ts AS DATE) AS day FROM events)
+    SELECT country, CAST(day - CAST(back AS INTEGER) AS VARCHAR) AS start, count(*) AS n, round(avg(value), 4) AS mean_value,
+    round(max(value), 4) AS peak, round(sum(value), 4) AS total FROM w GROUP BY 1, 2
+    """,
+)
+def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven-day windows sliding by a day, over the stream, in complete mode."""
+    results = snapshots.rolling_snapshot_agg(_stream(spark, sf_dir), "7 days", "1 day")
+    out = _complete(spark, results).withColumn("start", F.to_date("start").cast("string"))
+    return rounded(out, 4, "mean_value", "peak", "total")
+
+
+@query(
+    "stream_series_metrics",
+    f"SELECT event_type AS country, CAST(min(CASE WHEN value >= 200 THEN {_T} END) AS INTEGER) AS arrival, "
+    "round(max(value), 4) AS peak FROM events GROUP BY 1",
+)
+def stream_series_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = snapshots.stream_series_metrics(_stream(spark, sf_dir), thresh=200.0)
+    return rounded(_complete(spark, results), 4, "peak")
