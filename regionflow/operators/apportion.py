@@ -8,31 +8,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.operators.skew import split_hot
+from regionflow.operators.skew import find_hot, stored
 
 HOT_ROWS = 20_000_000
 CUTS = 1000
 EXACT = "decimal(38,18)"
 
 
-def apportion_columns(total: Column, weights: Sequence[Column]) -> list[Column]:
-    """Shares of a row's own total over a few weight columns, largest remainder first."""
-    weight_sum = reduce(lambda a, b: a + b, weights)
-    valid = (total > 0) & (weight_sum > 0)
-    raw = [F.when(valid, (w / weight_sum) * total).otherwise(F.lit(0.0)) for w in weights]
-    base = [F.floor(x).cast("bigint") for x in raw]
-    frac = [x - b for x, b in zip(raw, base, strict=True)]
-    left = F.when(valid, total.cast("bigint") - reduce(lambda a, b: a + b, base)).otherwise(F.lit(0))
+def apportion_columns(df: DataFrame, splits: Mapping[str, Sequence[tuple[str, Column]]]) -> DataFrame:
+    """Split a row's own totals over a few weights each, largest remainder first.
 
-    def ahead(j: int, k: int) -> Column:
-        wins = (frac[j] >= frac[k]) if j < k else (frac[j] > frac[k])
-        return wins.cast("int")
-
-    out = []
-    for k in range(len(weights)):
-        rank = reduce(lambda a, b: a + b, [ahead(j, k) for j in range(len(weights)) if j != k], F.lit(0))
-        out.append(base[k] + F.when(rank < left, 1).otherwise(0))
-    return out
+    `splits` maps a total column to (column to add, weight) pairs, the earlier
+    pair winning a tie. Each stage is its own projection, so that no expression
+    holds copies of another.
+    """
+    def plus(names: list[str]) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(n) for n in names])
+
+    parts = {total: [name for name, _ in pairs] for total, pairs in splits.items()}
+    of = lambda kind, names: [f"_{kind}_{n}" for n in names]
+    each = [(total, n) for total, names in parts.items() for n in names]
+    out = df.withColumns({f"_w_{n}": w for pairs in splits.values() for n, w in pairs})
+    out = out.withColumns({f"_sum_{t}": plus(of("w", names)) for t, names in parts.items()})
+    raw = {
+        f"_raw_{n}": F.when(
+            (F.col(t) > 0) & (F.col(f"_sum_{t}") > 0), (F.col(f"_w_{n}") / F.col(f"_sum_{t}")) * F.col(t)
+        ).otherwise(F.lit(0.0))
+        for t, n in each
+    }
+    out = out.withColumns(raw)
+    out = out.withColumns({f"_base_{n}": F.floor(f"_raw_{n}").cast("bigint") for _, n in each})
+    left = {
+        f"_left_{t}": F.when(
+            (F.col(t) > 0) & (F.col(f"_sum_{t}") > 0), F.col(t).cast("bigint") - plus(of("base", names))
+        ).otherwise(F.lit(0))
+        for t, names in parts.items()
+    }
+    fractions = {f"_frac_{n}": F.col(f"_raw_{n}") - F.col(f"_base_{n}") for _, n in each}
+    out = out.withColumns(left | fractions)
+    ranks = {}
+    for names in parts.values():
+        for k, n in enumerate(names):
+            mine = F.col(f"_frac_{n}")
+            ahead = [
+                ((F.col(f"_frac_{m}") >= mine) if j < k else (F.col(f"_frac_{m}") > mine)).cast("int")
+                for j, m in enumerate(names)
+                if j != k
+            ]
+            ranks[f"_rank_{n}"] = reduce(lambda a, b: a + b, ahead, F.lit(0))
+    out = out.withColumns(ranks)
+    gets = {
+        n: F.col(f"_base_{n}") + F.when(F.col(f"_rank_{n}") < F.col(f"_left_{t}"), 1).otherwise(0)
+        for t, n in each
+    }
+    return out.select(*df.columns, *[x.alias(n) for n, x in gets.items()])
 
 
 def apportion(
@@ -42,6 +71,7 @@ def apportion(
     weight: str = "w",
     idx: str = "idx",
     hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Split whole totals over the rows of each group in proportion to `weight`.
 
@@ -51,15 +81,21 @@ def apportion(
     zeros. `idx` is numeric and unique within its group.
 
     Ordinary groups are ranked in one window. Groups above `hot_rows` rows are
-    never gathered: the fraction at which the left-over units run out is found
-    by counting, and each row is then compared with it. `None` skips the search
-    for such groups, where the caller knows a bound.
+    never gathered: they are written out, the fraction at which the left-over
+    units run out is found by counting, and each row is compared with it.
+    Looking for such groups takes a counting job over `df`, unless the caller
+    knows their keys (`hot`, on columns of `group`) or that there are none
+    (`hot_rows=None`).
     """
-    if hot_rows is None:
-        return _by_window(df, list(group), totals, weight, idx)
-    usual, hot = split_hot(df, group, hot_rows)
-    return _by_window(usual, list(group), totals, weight, idx).unionByName(
-        _by_counting(hot, list(group), totals, weight, idx)
+    group = list(group)
+    if hot is None and hot_rows is not None:
+        hot = find_hot(df, group, hot_rows)
+    if hot is None:
+        return _by_window(df, group, totals, weight, idx)
+    usual = df.join(hot, hot.columns, "left_anti")
+    big = stored(df.join(hot, hot.columns, "left_semi"), "hot-rows")
+    return _by_window(usual, group, totals, weight, idx).unionByName(
+        _by_counting(big, group, totals, weight, idx)
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from regionflow.functions.scalar import whole
 from regionflow.operators.apportion import HOT_ROWS, apportion
 from regionflow.operators.network import outbound_sums
+from regionflow.operators.skew import find_hot
 
 
 def _leaving(stock: str) -> Column:
@@ -38,14 +39,15 @@ def allocate_exports(
 ) -> DataFrame:
     """Exports split over the destinations: (scenario, src, dst, move_s, move_i).
 
-    `edges` carries a numeric `idx` per destination that settles ties.
+    `edges` carries a numeric `idx` per destination that settles ties. Sources
+    with more than `hot_rows` edges are found on the edge list alone.
     """
     out = exported.select(*scenario, F.col("entity").alias("src"), "export_s", "export_i")
     routes = edges.filter(F.col("src") != F.col("dst")).select("src", "dst", "w", idx)
     totals = {"export_s": "move_s", "export_i": "move_i"}
-    return apportion(out.join(routes, "src"), [*scenario, "src"], totals, "w", idx, hot_rows).select(
-        *scenario, "src", "dst", "move_s", "move_i"
-    )
+    hot = None if hot_rows is None else find_hot(routes, ["src"], hot_rows)
+    shares = apportion(out.join(routes, "src"), [*scenario, "src"], totals, "w", idx, None, hot)
+    return shares.select(*scenario, "src", "dst", "move_s", "move_i")
 
 
 def net_flow(moves: DataFrame, scenario: Sequence[str] = ()) -> DataFrame:

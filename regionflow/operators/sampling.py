@@ -79,17 +79,19 @@ def sample_n(df: DataFrame, n: int, seed: int, id: str = "id") -> DataFrame:
 
 
 def _children(nodes: DataFrame, fanout: int) -> DataFrame:
-    """Nodes packed by parent, each with the running sum of its siblings' weight.
+    """Nodes packed by parent, with the running sum of the weights before and with each.
 
     A parent has at most `fanout` children, whatever the data.
     """
     siblings = Window.partitionBy("parent").orderBy("node")
     upto = siblings.rowsBetween(Window.unboundedPreceding, 0)
+    kids = F.sort_array(F.collect_list(F.struct("node", "upto", "p")))
     return (
         nodes.withColumn("parent", F.floor(F.col("node") / F.lit(fanout)).cast("bigint"))
         .withColumn("upto", F.sum("p").over(upto))
         .groupBy("parent")
-        .agg(F.sort_array(F.collect_list(F.struct("node", "upto", "p"))).alias("kids"))
+        .agg(kids.alias("kids"))
+        .select("parent", "kids", F.col("kids.upto").alias("uptos"))
     )
 
 
@@ -101,7 +103,7 @@ def weighted_sample(
     alpha: float = 0.6,
     beta: float = 0.4,
     capacity: int = 10**9,
-    fanout: int = 1000,
+    fanout: int = 256,
 ) -> DataFrame:
     """One row per draw (draw_id, u): (draw_id, id, p, weight), with replacement.
 
@@ -111,7 +113,9 @@ def weighted_sample(
     number in [0, capacity).
 
     The running sum is kept as a tree over id with `fanout` children per node: a
-    draw walks down from the top, so no sum runs over the whole table.
+    draw walks down from the top, so no sum runs over the whole table. Sums of
+    the inner nodes are made before the shuffle, and only leaves that a draw has
+    reached are packed.
     """
     slot = F.col(id)
     valid = (slot >= 0) & (slot < F.lit(capacity))
@@ -121,41 +125,43 @@ def weighted_sample(
     leaves = rows.select(checked.alias("node"), priority(F.col(td), alpha).alias("p"))
     depth = max(1, math.ceil(math.log(capacity) / math.log(fanout) - 1e-9))
 
-    # the top holds at most `fanout` nodes in one row
-    level = lambda k: F.floor(F.col("node") / F.lit(fanout**k)).cast("bigint").alias("node")
-    inner = leaves.groupBy(level(depth - 1)).agg(F.sum("p").alias("p"), F.count("*").alias("n"))
-    size = inner.groupBy(F.lit(0).cast("bigint").alias("parent")).agg(F.sum("n").alias("rows"))
-    top = _children(inner.select("node", "p"), fanout).join(size, "parent")
-    total = F.greatest(F.lit(TINY), F.element_at("kids", -1)["upto"])
-    top = top.withColumn("total", total)
-
+    def level(k: int) -> DataFrame:
+        if k == 0:
+            return leaves
+        above = F.floor(F.col("node") / F.lit(fanout**k)).cast("bigint")
+        return leaves.groupBy(above.alias("node")).agg(F.sum("p").alias("p"))
+
+    # the top holds at most `fanout` nodes in one row, so it may be broadcast
+    size = leaves.groupBy(F.lit(0).cast("bigint").alias("parent")).agg(F.count("*").alias("rows"))
+    highest = F.element_at("uptos", -1)
+    top = _children(level(depth - 1), fanout).join(size, "parent")
+    top = top.withColumn("total", F.greatest(F.lit(TINY), highest))
+    goal = F.col("u") * F.col("total")
     walk = (
         draws.select("draw_id", "u", F.lit(0).cast("bigint").alias("parent"))
         .join(F.broadcast(top), "parent")
         .filter(F.col("draw_id") < F.col("rows"))
-        .withColumn("goal", F.col("u") * F.col("total"))
         # a goal beyond every sum falls back to the first row
-        .withColumn("goal", F.when(F.col("goal") > F.element_at("kids", -1)["upto"], -1.0).otherwise(F.col("goal")))
+        .withColumn("goal", F.when(goal > highest, F.lit(-1.0)).otherwise(goal))
     )
     for k in range(depth - 1, -1, -1):
         if k < depth - 1:
-            nodes = (
-                leaves
-                if k == 0
-                else leaves.groupBy(level(k)).agg(F.sum("p").alias("p"))
-            )
-            hit = walk.select("parent").distinct()
-            kids = nodes.withColumn("parent", F.floor(F.col("node") / F.lit(fanout)).cast("bigint"))
-            kids = kids.join(hit, "parent", "left_semi").drop("parent")
-            walk = walk.join(_children(kids, fanout), "parent")
-        below = F.size(F.filter("kids", lambda x: x["upto"] < F.col("goal")))
-        walk = (
-            walk.withColumn("_k", F.least(below, F.size("kids") - 1))
-            .withColumn("_kid", F.get("kids", F.col("_k")))
-            .withColumn("goal", F.col("goal") - F.coalesce(F.get("kids", F.col("_k") - 1)["upto"], F.lit(0.0)))
-            .withColumn("parent", F.col("_kid")["node"])
-            .withColumn("p", F.col("_kid")["p"])
-            .drop("kids", "_k", "_kid")
+            nodes = level(k)
+            if k == 0:
+                hit = walk.select("parent").distinct()
+                parent = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
+                nodes = nodes.join(hit, parent == F.col("parent"), "left_semi")
+            walk = walk.join(_children(nodes, fanout), "parent")
+        below = F.size(F.filter("uptos", lambda x: x < F.col("goal")))
+        walk = walk.withColumn("_k", F.least(below, F.size("uptos") - 1))
+        kid = F.get("kids", F.col("_k"))
+        walk = walk.select(
+            "draw_id",
+            "rows",
+            "total",
+            (F.col("goal") - F.coalesce(F.get("uptos", F.col("_k") - 1), F.lit(0.0))).alias("goal"),
+            kid["node"].alias("parent"),
+            kid["p"].alias("p"),
         )
     share = F.col("rows") * (F.col("p") / F.col("total"))
     return walk.select(

@@ -124,20 +124,20 @@ def step_transition(
         }
     ).withColumn("_inf", S.clamp01(F.col("_beta") * (F.col("_i") / F.col("_mix"))))
     rest = lambda p, q: F.greatest(F.lit(0.0), 1.0 - F.col(p) - F.col(q))
-    _, infected, vaccinated = apportion_columns(
-        F.col("_s"), [rest("_inf", "_vax"), F.col("_inf"), F.col("_vax")]
-    )
-    still, recovered, died = apportion_columns(
-        F.col("_i"), [rest("_rec", "_die"), F.col("_rec"), F.col("_die")]
-    )
-    rows = rows.withColumns(
+    rows = apportion_columns(
+        rows,
         {
-            "_new_inf": infected,
-            "_new_vax": vaccinated,
-            "_still": still,
-            "_new_rec": recovered,
-            "_new_die": died,
-        }
+            "_s": [
+                ("_stay", rest("_inf", "_vax")),
+                ("_new_inf", F.col("_inf")),
+                ("_new_vax", F.col("_vax")),
+            ],
+            "_i": [
+                ("_still", rest("_rec", "_die")),
+                ("_new_rec", F.col("_rec")),
+                ("_new_die", F.col("_die")),
+            ],
+        },
     )
     rows = rows.withColumns(
         {
@@ -159,8 +159,9 @@ def step_transition(
         "t_max",
         "seed",
     )
-    rows = rows.withColumn("next", state)
-    return rows.select(*df.columns, "next")
+    # a generator, as later filters on the state would otherwise be pushed down
+    # with copies of the whole step
+    return rows.select(*df.columns, F.explode(F.array(state)).alias("next"))
 
 
 def action_cost(a: Column) -> Column:

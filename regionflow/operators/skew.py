@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionflow.session import fresh_path
+
 SPREAD = 256
 
 
@@ -60,15 +62,20 @@ def running_total(
     )
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary groups, rows of groups above `hot_rows` rows).
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The keys of groups above `hot_rows` rows, or None if there are none.
 
-    The hot keys may be broadcast: there are at most rows / hot_rows of them.
+    Runs one counting job, combined before its shuffle. The result may be
+    broadcast: there are at most rows / hot_rows such keys.
     """
-    keys = list(keys)
-    hot = F.broadcast(
-        df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    )
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    hot = stored(counted.select(*keys), "hot-keys")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: its lineage is cut."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -191,13 +191,13 @@ def apportion_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def apportion_within_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").withColumn("total", F.col("o_orderkey") % 97)
     weights = [
-        (F.col("o_custkey") % 7).cast("double"),
-        (F.col("o_orderkey") % 5).cast("double"),
-        F.col("o_totalprice") / 100000,
+        ("a", (F.col("o_custkey") % 7).cast("double")),
+        ("b", (F.col("o_orderkey") % 5).cast("double")),
+        ("c", F.col("o_totalprice") / 100000),
     ]
-    a, b, c = apportion_columns(F.col("o_orderkey") % 97, weights)
-    return table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), b.alias("b"), c.alias("c"))
+    return apportion_columns(rows, {"total": weights}).select("o_orderkey", "a", "b", "c")
 
 
 # flows use weights large enough that many units move
