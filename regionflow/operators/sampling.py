@@ -18,9 +18,9 @@ def keep_last_n(
 ) -> DataFrame:
     """The n rows with the largest `seq` (whole and unique) per key, or overall.
 
-    Rows are first counted per chunk of `seq` before any shuffle. Newer chunks
-    than the one where the n-th row lies are kept as they are, and only that
-    chunk is ranked.
+    Rows are first counted per chunk of `seq` before any shuffle. Only chunks
+    down to the one where the n-th row lies are read on, and each is ranked on
+    its own.
     """
     keys = list(keys)
     rows = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)))
@@ -33,17 +33,14 @@ def keep_last_n(
         .agg(F.count("*").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
         .filter(before < n)
-        .select(*by, "_chunk", F.when(F.col("_upto") > n, F.lit(n) - before).alias("_need"))
+        .select(*by, "_chunk", (F.lit(n) - before).alias("_need"))
     )
-    kept = rows.join(counts, [*by, "_chunk"])
     ranked = Window.partitionBy(*by, "_chunk").orderBy(F.desc(seq))
-    cut = (
-        kept.filter(F.col("_need").isNotNull())
+    return (
+        rows.join(counts, [*by, "_chunk"])
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") <= F.col("_need"))
-    )
-    return kept.filter(F.col("_need").isNull()).select(*df.columns).unionByName(
-        cut.select(*df.columns)
+        .select(*df.columns)
     )
 
 
@@ -52,7 +49,8 @@ def sample_n(df: DataFrame, n: int, seed: int, id: str = "id") -> DataFrame:
 
     The same rows for the same seed, however the data are partitioned. Rows are
     counted by the first four digits of the hash (65,536 buckets, so that table
-    may be broadcast); only the bucket the n-th row lies in is sorted.
+    may be broadcast); only buckets up to the one the n-th row lies in are read
+    on, and each is ranked on its own.
     """
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id).cast("string"))))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, 4))
@@ -64,17 +62,14 @@ def sample_n(df: DataFrame, n: int, seed: int, id: str = "id") -> DataFrame:
         .withColumn("_one", F.lit(1))
         .withColumn("_upto", F.sum("_n").over(upto))
         .filter(before < n)
-        .select("_bucket", F.when(F.col("_upto") > n, F.lit(n) - before).alias("_need"))
+        .select("_bucket", (F.lit(n) - before).alias("_need"))
     )
-    kept = hashed.join(F.broadcast(buckets), "_bucket")
     in_order = Window.partitionBy("_bucket").orderBy("_hash", id)
-    cut = (
-        kept.filter(F.col("_need").isNotNull())
+    return (
+        hashed.join(F.broadcast(buckets), "_bucket")
         .withColumn("_rank", F.row_number().over(in_order))
         .filter(F.col("_rank") <= F.col("_need"))
-    )
-    return kept.filter(F.col("_need").isNull()).select(*df.columns).unionByName(
-        cut.select(*df.columns)
+        .select(*df.columns)
     )
 
 
@@ -131,16 +126,16 @@ def weighted_sample(
         above = F.floor(F.col("node") / F.lit(fanout**k)).cast("bigint")
         return leaves.groupBy(above.alias("node")).agg(F.sum("p").alias("p"))
 
-    # the top holds at most `fanout` nodes in one row, so it may be broadcast
-    size = leaves.groupBy(F.lit(0).cast("bigint").alias("parent")).agg(F.count("*").alias("rows"))
+    # one row of at most `fanout` nodes, and one count
+    top = _children(level(depth - 1), fanout).select(F.struct("kids", "uptos")).scalar()
+    size = leaves.agg(F.count("*")).scalar()
     highest = F.element_at("uptos", -1)
-    top = _children(level(depth - 1), fanout).join(size, "parent")
-    top = top.withColumn("total", F.greatest(F.lit(TINY), highest))
     goal = F.col("u") * F.col("total")
     walk = (
-        draws.select("draw_id", "u", F.lit(0).cast("bigint").alias("parent"))
-        .join(F.broadcast(top), "parent")
+        draws.select("draw_id", "u", size.alias("rows"), top.alias("_top"))
         .filter(F.col("draw_id") < F.col("rows"))
+        .select("draw_id", "u", "rows", "_top.*")
+        .withColumn("total", F.greatest(F.lit(TINY), highest))
         # a goal beyond every sum falls back to the first row
         .withColumn("goal", F.when(goal > highest, F.lit(-1.0)).otherwise(goal))
     )

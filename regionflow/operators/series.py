@@ -117,3 +117,26 @@ def normalised_metrics(
             peak(F.col("_share")).alias("peak_n"),
         )
     )
+
+
+def region_metrics(
+    series: DataFrame,
+    population: DataFrame,
+    key: str = "entity",
+    thresh: float = 10.0,
+    thresh_n: float = 1e-4,
+) -> DataFrame:
+    """`series_metrics` and `normalised_metrics` together, in one pass over the series."""
+    v, t = F.col("value"), F.col("t")
+    share = v / at_least_one(F.col("pop").cast("double"))
+    return (
+        join_population(series, population, key)
+        .groupBy(key)
+        .agg(
+            arrival_time(v, t, thresh).alias("arrival"),
+            peak(v).alias("peak"),
+            final_value(v, t).alias("final"),
+            arrival_time(share, t, thresh_n).alias("arrival_n"),
+            peak(share).alias("peak_n"),
+        )
+    )

@@ -83,8 +83,7 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "update_priorities",
     f"""
-    WITH u AS (SELECT event_id, arg_max(l_discount - l_tax, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS td FROM
-        (SELECT l_partkey AS event_id, * FROM lineitem) GROUP BY event_id)
+    WITH u AS (SELECT o_custkey AS event_id, arg_max(o_totalprice / 1000 - 250, o_orderkey) AS td FROM orders GROUP BY 1)
     SELECT p.event_id, round(CASE WHEN td IS NULL THEN p ELSE pow(abs(td) + 1e-6, 0.6) END, 6) AS p
     FROM ({_PRIO}) p LEFT JOIN u ON u.event_id = p.event_id
     """,
@@ -93,10 +92,10 @@ def update_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     prio = table(spark, sf_dir, "events").select(
         "event_id", S.priority(F.col("value") - 100).alias("p")
     )
-    updates = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("event_id"),
-        (F.col("l_discount") - F.col("l_tax")).alias("td"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("seq"),
+    updates = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("event_id"),
+        (F.col("o_totalprice") / 1000 - 250).alias("td"),
+        F.col("o_orderkey").alias("seq"),
     )
     return rounded(sampling.update_priorities(prio, updates, "event_id"), 6, "p")
 

@@ -45,10 +45,10 @@ def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows to padded series to arrival, peak and final, plain and per head."""
-    padded = _padded_users(spark, sf_dir)
-    plain = series.series_metrics(padded, thresh=THRESH)
-    shares = series.normalised_metrics(padded, _user_population(spark, sf_dir), thresh=0.05)
-    return rounded(rounded(plain.join(shares, "entity"), 4, "peak", "final"), 6, "peak_n")
+    report = series.region_metrics(
+        _padded_users(spark, sf_dir), _user_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
+    )
+    return rounded(rounded(report, 4, "peak", "final"), 6, "peak_n")
 
 
 @query(
