@@ -137,7 +137,7 @@ def ema(
     local = (
         kept.withColumn("_chunk", F.floor(F.col(step) / F.lit(every * chunk)))
         # stated here, so that both uses below share one shuffle
-        .dropna(subset=[key, step, "_chunk"])
+        .filter(F.col(key).isNotNull() & F.col("_chunk").isNotNull())
         .withColumn("_pos", F.row_number().over(near))
         .withColumn("_x", weight * F.col(value) / power(F.col("_pos")))
         .withColumn("_local", F.sum("_x").over(so_far) * power(F.col("_pos")))
