@@ -74,19 +74,23 @@ def sample_n(df: DataFrame, n: int, seed: int, id: str = "id") -> DataFrame:
 
 
 def _children(nodes: DataFrame, fanout: int) -> DataFrame:
-    """Nodes packed by parent, with the running sum of the weights before and with each.
+    """Nodes with their parent and their range (low, high] of its weight.
 
-    A parent has at most `fanout` children, whatever the data.
+    A parent has at most `fanout` children, whatever the data. The ranges of the
+    first and the last child are open, so that rounding loses no draw.
     """
     siblings = Window.partitionBy("parent").orderBy("node")
-    upto = siblings.rowsBetween(Window.unboundedPreceding, 0)
-    kids = F.sort_array(F.collect_list(F.struct("node", "upto", "p")))
-    return (
-        nodes.withColumn("parent", F.floor(F.col("node") / F.lit(fanout)).cast("bigint"))
-        .withColumn("upto", F.sum("p").over(upto))
-        .groupBy("parent")
-        .agg(kids.alias("kids"))
-        .select("parent", "kids", F.col("kids.upto").alias("uptos"))
+    upto = F.sum("p").over(siblings.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
+    summed = nodes.withColumn("parent", above).withColumn("upto", upto)
+    before, after = F.lag("upto").over(siblings), F.lead("upto").over(siblings)
+    return summed.select(
+        "parent",
+        "node",
+        "p",
+        F.coalesce(before, F.lit(0.0)).alias("base"),
+        F.coalesce(before, F.lit(float("-inf"))).alias("low"),
+        F.when(after.isNull(), F.lit(float("inf"))).otherwise(F.col("upto")).alias("high"),
     )
 
 
@@ -126,41 +130,41 @@ def weighted_sample(
         above = F.floor(F.col("node") / F.lit(fanout**k)).cast("bigint")
         return leaves.groupBy(above.alias("node")).agg(F.sum("p").alias("p"))
 
-    # one row of at most `fanout` nodes, and one count
-    top = _children(level(depth - 1), fanout).select(F.struct("kids", "uptos")).scalar()
+    # the top level is one row of at most `fanout` nodes
+    fields = ["node", "base", "high", "p"]
+    kids = F.sort_array(F.collect_list(F.struct(*fields)))
+    top = _children(level(depth - 1), fanout).agg(kids.alias("kids")).scalar()
     size = leaves.agg(F.count("*")).scalar()
-    highest = F.element_at("uptos", -1)
+    last = F.element_at("kids", -1)
     goal = F.col("u") * F.col("total")
     walk = (
-        draws.select("draw_id", "u", size.alias("rows"), top.alias("_top"))
+        draws.select("draw_id", "u", size.alias("rows"), top.alias("kids"))
         .filter(F.col("draw_id") < F.col("rows"))
-        .select("draw_id", "u", "rows", "_top.*")
-        .withColumn("total", F.greatest(F.lit(TINY), highest))
+        .withColumn("sum", last["base"] + last["p"])
+        .withColumn("total", F.greatest(F.lit(TINY), F.col("sum")))
         # a goal beyond every sum falls back to the first row
-        .withColumn("goal", F.when(goal > highest, F.lit(-1.0)).otherwise(goal))
+        .withColumn("goal", F.when(goal > F.col("sum"), F.lit(-1.0)).otherwise(goal))
+        .withColumn("kid", F.get("kids", F.size(F.filter("kids.high", lambda x: x < F.col("goal")))))
+        .select(
+            "draw_id", "rows", "total", (F.col("goal") - F.col("kid.base")).alias("goal"), "kid.node", "kid.p"
+        )
     )
-    for k in range(depth - 1, -1, -1):
-        if k < depth - 1:
-            nodes = level(k)
-            if k == 0:
-                hit = walk.select("parent").distinct()
-                parent = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
-                nodes = nodes.join(hit, parent == F.col("parent"), "left_semi")
-            walk = walk.join(_children(nodes, fanout), "parent")
-        below = F.size(F.filter("uptos", lambda x: x < F.col("goal")))
-        walk = walk.withColumn("_k", F.least(below, F.size("uptos") - 1))
-        kid = F.get("kids", F.col("_k"))
-        walk = walk.select(
-            "draw_id",
-            "rows",
-            "total",
-            (F.col("goal") - F.coalesce(F.get("uptos", F.col("_k") - 1), F.lit(0.0))).alias("goal"),
-            kid["node"].alias("parent"),
-            kid["p"].alias("p"),
+    for k in range(depth - 2, -1, -1):
+        nodes = level(k)
+        if k == 0:
+            hit = walk.select(F.col("node").alias("parent")).distinct()
+            parent = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
+            nodes = nodes.join(hit, parent == F.col("parent"), "left_semi")
+        at = walk.select("draw_id", "rows", "total", "goal", F.col("node").alias("parent"))
+        # one child's range holds the goal; the others are passed over in the join
+        holds = (F.col("low") < F.col("goal")) & (F.col("goal") <= F.col("high"))
+        child = _children(nodes, fanout).withColumnRenamed("parent", "at")
+        walk = at.join(child, (F.col("parent") == F.col("at")) & holds).select(
+            "draw_id", "rows", "total", (F.col("goal") - F.col("base")).alias("goal"), "node", "p"
         )
     share = F.col("rows") * (F.col("p") / F.col("total"))
     return walk.select(
-        "draw_id", F.col("parent").alias(id), "p", F.pow(share, F.lit(-beta)).alias("weight")
+        "draw_id", F.col("node").alias(id), "p", F.pow(share, F.lit(-beta)).alias("weight")
     )
 
 
