@@ -92,7 +92,7 @@ def stream_archive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rolling_snapshot_agg",
     """
     WITH w AS (SELECT event_type AS country, value, unnest(range(7)) AS back, CAST(ts AS DATE) AS day FROM events)
-    SELECT country, CAST(day - CAST(back AS INTEGER) AS VARCHAR) AS start, count(*) AS n, round(avg(value), 4) AS mean_value,
+    SELECT country, CAST(day - CAST(back AS INTEGER) AS VARCHAR) AS start, count(*) AS n, round(avg(value), 9) AS mean_value,
     round(max(value), 4) AS peak, round(sum(value), 4) AS total FROM w GROUP BY 1, 2
     """,
 )
@@ -100,7 +100,7 @@ def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven-day windows sliding by a day, over the stream, in complete mode."""
     results = snapshots.rolling_snapshot_agg(_stream(spark, sf_dir), "7 days", "1 day")
     out = _complete(spark, results).withColumn("start", F.to_date("start").cast("string"))
-    return rounded(out, 4, "mean_value", "peak", "total")
+    return rounded(rounded(out, 4, "peak", "total"), 9, "mean_value")
 
 
 @query(
