@@ -21,7 +21,10 @@ def lookup_profile(
     """Adds profile columns; an entity without a profile gets the default record."""
     known = profiles.select(F.col("entity").alias(key), *[F.col(c).alias(f"_p_{c}") for c in columns])
     joined = df.join(known, key, "left")
-    found = {c: F.coalesce(f"_p_{c}", F.lit(K.DEFAULT_PROFILE[c])) for c in columns}
+    types = {c: known.schema[f"_p_{c}"].dataType for c in columns}
+    found = {
+        c: F.coalesce(f"_p_{c}", F.lit(K.DEFAULT_PROFILE[c])).cast(types[c]) for c in columns
+    }
     return joined.withColumns(found).drop(*[f"_p_{c}" for c in columns])
 
 

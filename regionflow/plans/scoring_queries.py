@@ -12,6 +12,7 @@ from regionflow.functions import vectors
 from regionflow.operators import quality, scoring
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded, table
+from regionflow.sources import tables
 
 
 def _sql_bands(x: str, bands: tuple) -> str:
@@ -267,20 +268,26 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOOKUP = ["pop", "beds_per_1k", "healthcare", "gdp"]
+_REGIONS = [row[0] for row in K.PROFILES] + ["Elsewhere"]
+_PROFILE_ROWS = ", ".join(f"('{r[0]}', {r[1]}, {r[4]}e0, {r[10]}e0, {r[9]}e0)" for r in K.PROFILES)
 
 
 @query(
     "lookup_profile",
     f"""
-    SELECT k, coalesce(pop, 50000000) AS pop, coalesce(beds_per_1k, 3.0) AS beds_per_1k,
-    coalesce(healthcare, 0.7) AS healthcare, coalesce(gdp, 30000.0) AS gdp
-    FROM ({V.STATE_SQL}) s LEFT JOIN (SELECT * FROM ({V.ENTITY_SQL}) WHERE idx < 20) e ON e.entity = s.entity
-    """,
+    SELECT c_custkey, CAST(coalesce(pop, 50000000) AS BIGINT) AS pop, coalesce(beds_per_1k, 3e0) AS beds_per_1k,
+    coalesce(healthcare, 0.7e0) AS healthcare, coalesce(gdp, 30000e0) AS gdp
+    FROM customer LEFT JOIN (VALUES {_PROFILE_ROWS}) p(entity, pop, beds_per_1k, healthcare, gdp)
+    ON entity = {_REGIONS}[1 + c_nationkey % 7]
+    """.replace('"', "'"),
 )
 def lookup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of the nations have no profile and get the default record."""
-    known = V.entities(spark, sf_dir).filter("idx < 20")
-    return scoring.lookup_profile(V.states(spark, sf_dir), known, _LOOKUP).select("k", *_LOOKUP)
+    """Customers of six known regions and one without a profile."""
+    names = F.array(*[F.lit(name) for name in _REGIONS])
+    region = F.element_at(names, F.lit(1) + F.col("c_nationkey") % 7)
+    people = table(spark, sf_dir, "customer").select("c_custkey", region.alias("entity"))
+    found = scoring.lookup_profile(people, tables.profiles(spark), _LOOKUP)
+    return found.select("c_custkey", *_LOOKUP)
 
 
 @query("join_population", f"SELECT k, pop FROM ({V.STATE_PROFILE_SQL})")

@@ -336,7 +336,7 @@ def downsample_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EMA_ROWS = f"""
     x AS (SELECT entity, step, reward, row_number() OVER (PARTITION BY entity ORDER BY step) AS k
-          FROM ({V.STEP_SQL}) WHERE step % 10 = 0)
+          FROM ({V.STEP_SQL}))
 """
 
 
@@ -352,7 +352,7 @@ _EMA_ROWS = f"""
 )
 def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.steps(spark, sf_dir).select("entity", "step", "reward")
-    return rounded(summary.ema(rows, every=10).select("entity", "step", "ema"), 6, "ema")
+    return rounded(summary.ema(rows).select("entity", "step", "ema"), 6, "ema")
 
 
 @query(
@@ -361,14 +361,14 @@ def ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH RECURSIVE {_EMA_ROWS},
     e AS (SELECT entity, k, step, reward AS ema FROM x WHERE k = 1
           UNION ALL SELECT x.entity, x.k, x.step,
-            CASE WHEN e.ema = 0 THEN x.reward ELSE 0.1 * x.reward + 0.9 * e.ema END
+            CASE WHEN e.ema = 0 THEN x.reward ELSE 0.2 * x.reward + 0.8 * e.ema END
           FROM e JOIN x ON x.entity = e.entity AND x.k = e.k + 1)
     SELECT entity, step, round(ema, 6) AS ema FROM e
     """,
 )
 def ema_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.steps(spark, sf_dir).select("entity", "step", "reward")
-    out = summary.ema(rows, alpha=0.1, every=10, seed_first=True)
+    out = summary.ema(rows, seed_first=True)
     return rounded(out.select("entity", "step", "ema"), 6, "ema")
 
 
