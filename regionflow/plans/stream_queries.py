@@ -17,9 +17,8 @@ from regionflow.streaming import snapshots
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as snapshot rows (country, ts, t, i)."""
     events = table(spark, sf_dir, "events")
-    source = snapshots.read_snapshot_stream(
-        spark, sf_dir, events.schema, glob="events.parquet"
-    )
+    # as a pattern, the path may be one file or a folder of parts
+    source = snapshots.read_snapshot_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
     return source.select(
         F.col("event_type").alias("country"),
         F.col("ts").cast("timestamp").alias("ts"),

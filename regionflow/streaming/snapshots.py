@@ -32,14 +32,11 @@ def read_snapshot_stream(
     path: str,
     schema: str = schemas.SNAPSHOT,
     max_files: int | None = None,
-    glob: str | None = None,
 ) -> DataFrame:
     """New snapshot files as a stream, with a given schema."""
     reader = spark.readStream.schema(schemas.parse(schema))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
 
 
