@@ -128,10 +128,8 @@ def write_csv_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _summary(spark, sf_dir)
     tables.write_csv_single(rows, path)
     back = spark.read.schema(rows.schema).option("header", True).csv(path)
-    files = back.groupBy(F.lit(1).alias("_one")).agg(
-        F.count_distinct(F.col("_metadata.file_path")).alias("n_files")
-    )
-    return back.withColumn("_one", F.lit(1)).join(files, "_one").drop("_one")
+    n_files = back.agg(F.count_distinct(F.col("_metadata.file_path"))).scalar()
+    return back.withColumn("n_files", n_files)
 
 
 @query(
