@@ -6,11 +6,12 @@ import os
 
 import pytest
 
-import __spark_entry__ as contract
 from oracle import check, connect
+from regionflow.plans.catalog import catalog
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-RUNS, SQL = contract.queries(), contract.oracle_sql()
+RUNS = {name: q.run for name, q in catalog().items()}
+SQL = {name: q.sql for name, q in catalog().items() if q.sql is not None}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
 
