@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import chat, linededup, mixing, warc
+from regionflow.llm import chat, langid, linededup, mixing, piece_bpe, simhash, warc
 from regionflow.llm.common import col, words_in
+from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,48 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+def piece_model(spark: SparkSession, path: str | None = None) -> piece_bpe.PieceModel:
+    """The model of the contract, or another model file."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    return piece_bpe.PieceModel(spark, path)
+
+
+@_query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model(spark)
+    encoded = _table(spark, sf_dir, "documents").select("doc_id", model.encode(F.col("text")).alias("ids"))
+    return encoded.select(
+        "doc_id",
+        piece_bpe.n_ids(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(model.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", simhash.fingerprint(F.col("text")).alias("fp"))
+    found = simhash.near_duplicates(stored(docs, "simhash"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Learnt from the documents of `docs` that are not held out."""
+    taught = docs.filter(F.coalesce(~held_out(col("doc_id")), F.lit(True)))
+    return langid.fit(taught.select(col("lang").alias("lang"), col("text").alias("text"), col("doc_id").alias("key")))
+
+
+@_query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", langid.predict(spark, language_model(docs), F.col("text")).alias("p"))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "p.lang_pred", "p.score")
