@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import chat, langid, linededup, mixing, piece_bpe, simhash, warc
+from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, simhash, warc
 from regionflow.llm.common import col, words_in
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
@@ -219,3 +219,23 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = docs.select("doc_id", langid.predict(spark, language_model(docs), F.col("text")).alias("p"))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "p.lang_pred", "p.score")
+
+
+@_query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = minhash.edited_pairs(_table(spark, sf_dir, "documents"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        minhash.as_hex(F.col("fingerprint")).alias("fingerprint"),
+        minhash.as_hex(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+@_query("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 5)
