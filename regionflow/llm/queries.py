@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, simhash, warc
+from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
 from regionflow.llm.common import col, words_in
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
@@ -97,8 +97,11 @@ def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEED = 17
 
 
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, **carried) -> DataFrame:
-    """`docs` mixed as the contract says. Quality: documents labelled good weigh 2, bad 0.5, others 1."""
+def mixed(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, text, rid) mixed as the contract says, without the text.
+
+    Quality: documents labelled good weigh 2, bad 0.5, others 1.
+    """
     labels = (
         _table(spark, sf_dir, "labels")
         .filter("doc_id IS NOT NULL")
@@ -106,17 +109,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str, **carried) -> DataF
         .agg(F.max("quality").alias("quality"))
     )
     quality = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    rows = docs.select(
-        col("doc_id").alias("doc_id"),
-        col("source").alias("source"),
-        words_in(col("text")).alias("size"),
-        F.monotonically_increasing_id().alias("rid"),
-        *[c.alias(n) for n, c in carried.items()],
-    )
-    drawn = rows.join(labels, "doc_id", "left").withColumn(
-        "key", -F.log(mixing.uniform(SEED, F.col("doc_id"))) / quality
-    )
-    return mixing.mix(drawn.drop("quality"))
+    key = -F.log(mixing.uniform(SEED, F.col("doc_id"))) / quality
+    sized = rows.select("doc_id", "source", words_in(F.col("text")).alias("size"), "rid")
+    return mixing.mix(sized.join(labels, "doc_id", "left").withColumn("key", key).drop("quality"))
 
 
 @_query(
@@ -146,8 +141,8 @@ FROM r
 """,
 )
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return mixed(spark, docs, sf_dir).select("doc_id", "size", "source_size", "target", "taken")
+    rows = _table(spark, sf_dir, "documents").withColumn("rid", F.monotonically_increasing_id())
+    return mixed(spark, rows, sf_dir).select("doc_id", "size", "source_size", "target", "taken")
 
 
 @_query(
@@ -239,3 +234,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
     return ann.nearest(vectors.filter("vec_id % 50 = 0"), vectors, 5)
+
+
+@_query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = prefixfree.remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select(
+        F.col("key").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        prefixfree.n_spans(F.col("spans")).alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
