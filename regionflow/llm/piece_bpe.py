@@ -7,6 +7,9 @@ an Aho-Corasick automaton names the pieces that end at a position, and exactly
 one of them goes with the last piece of the prefix before it (both stay apart
 when merged by themselves). Read backwards from the end, the table gives the ids.
 
+Chunks are learnt in sorted order: what they share with the one before, the
+automaton's states included, is in the table already.
+
 Pieces never reach over a space mark that follows other characters, nor over a
 character that is in no piece, so texts are encoded chunk by chunk and frequent
 chunks are looked up. Texts are read whole, and no row meets another one.
@@ -15,17 +18,25 @@ chunks are looked up. Texts are read whole, and no row meets another one.
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks kept for reuse, and the longest one kept.
-MOST_CHUNKS, LONGEST_CHUNK = 400_000, 48
+#: Chunks kept for reuse in each of two generations, and the longest one kept.
+MOST_CHUNKS, LONGEST_CHUNK = 300_000, 48
+#: Steps of the table kept for reuse.
+MOST_STEPS = 1_000_000
+START = (0, (-1,))
+#: Bytes of text encoded in one go.
+STEP = 4 << 20
 
 
 def read_model(path: str) -> dict:
@@ -57,20 +68,61 @@ def read_model(path: str) -> dict:
     }
 
 
+#: Texts that are not cut at single spaces alone.
+_ODD = rf"^$|^ |  |[{SPACE}\x00\x01]"
+
+
+class Automaton:
+    """Aho-Corasick over the pieces; its states can be kept and gone on from."""
+
+    def __init__(self, pieces: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.depth = [0]
+        ending: list[int] = [-1]
+        for number, piece in enumerate(pieces):
+            state = 0
+            for c in piece:
+                if c not in self.next[state]:
+                    self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.depth.append(self.depth[state] + 1)
+                    ending.append(-1)
+                state = self.next[state][c]
+            ending[state] = number
+        #: For each state the pieces that end there, longest first, as (length, piece), and the lengths of all that may go on.
+        self.found: list[tuple] = [()] * len(self.next)
+        self.open: list[tuple[int, ...]] = [(0,)] * len(self.next)
+        self.back = [0] * len(self.next)
+        queue = deque([0])
+        while queue:
+            state = queue.popleft()
+            for c, child in self.next[state].items():
+                self.back[child] = self.move(self.back[state], c) if state else 0
+                own = ((len(pieces[ending[child]]), ending[child]),) if ending[child] >= 0 else ()
+                self.found[child] = own + self.found[self.back[child]]
+                self.open[child] = (self.depth[child], *self.open[self.back[child]])
+                queue.append(child)
+
+    def move(self, state: int, c: str) -> int:
+        while state and c not in self.next[state]:
+            state = self.back[state]
+        return self.next[state].get(c, 0)
+
+
 class Codec:
     """Encoder and decoder of one model; one per Python worker."""
 
     def __init__(self, model: dict):
-        import ahocorasick
-
-        self.begin, self.end = model["begin"], model["end"]
-        self.piece, self.score, byte_ids = {}, {}, {}
+        self.begin, self.end = (np.array([model[x]], "<u4").tobytes() for x in ("begin", "end"))
+        ids, self.score, byte_ids = {}, {}, {}
         self.surface: list[bytes] = []
-        self.control, self.byte_value = set(), {}
+        self.control, self.byte_value, self.marked = set(), {}, set()
         for i, (text, kind, score) in enumerate(zip(model["pieces"], model["kinds"], model["scores"], strict=True)):
             surface = text.replace(SPACE, " ").encode()
             if kind == "piece":
-                self.piece[text], self.score[text] = i, score
+                ids[text], self.score[text] = i, score
+                if text.startswith(SPACE):
+                    self.marked.add(i)
             elif kind == "byte":
                 self.byte_value[i] = int(text[1:-1], 16)
                 byte_ids[self.byte_value[i]] = i
@@ -81,21 +133,36 @@ class Codec:
             else:
                 surface = " ⁇ ".encode()
             self.surface.append(surface)
-        self.byte_ids = byte_ids
+        n = len(self.surface)
         self.control_ids = np.array(sorted(self.control), "<u4")
-        self.alphabet = {c for p in self.piece for c in p}
+        self.is_control, self.is_marked = np.zeros(n, bool), np.zeros(n, bool)
+        self.is_control[list(self.control)] = self.is_marked[list(self.marked)] = True
+        self.surface_size = np.array([len(x) for x in self.surface])
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.byte_ids = [np.array([byte_ids[b]], "<u4").tobytes() for b in range(256)]
+        self.alphabet = {c for p in ids for c in p}
         # a character within longer pieces but no piece itself still stands alone at first
-        self.units = dict(self.piece) | {c: -1 - ord(c) for c in self.alphabet if c not in self.piece}
-        self.text_of = {i: p for p, i in self.units.items()}
-        self.automaton = ahocorasick.Automaton()
-        for p, i in self.units.items():
-            self.automaton.add_word(p, (len(p), i))
-        self.automaton.make_automaton()
-        stops = "" if "\n" in self.alphabet else "\n"
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}{stops}]*|[^{SPACE}{stops}]+" + "|\n+" * bool(stops))
+        self.units = [*ids, *sorted(c for c in self.alphabet if c not in ids)]
+        self.packed = [np.array([ids[u]], "<u4").tobytes() if u in ids else self.as_bytes(u) for u in self.units]
+        self.automaton = Automaton(self.units)
+        self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        self.plain = "\n" not in self.alphabet
         self.apart: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
-        self.chunks = _Chunks(self)
+        #: Packed ids by chunk, those met lately and those met before.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: What can still matter of a prefix, and the steps from one to the next by a character.
+        self.contexts: list[tuple[int, tuple[int, ...]]] = [START]
+        self.numbers = {START: 0}
+        self.steps: dict[tuple[int, str], tuple[int, bytes, int]] = {}
+
+    def as_bytes(self, c: str) -> bytes:
+        """The packed ids of a character that is no piece."""
+        return b"".join([self.byte_ids[b] for b in c.encode()])
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging: best score first, leftmost of equals."""
@@ -111,62 +178,162 @@ class Codec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def goes_with(self, a: int, b: int) -> bool:
-        """Whether two pieces stay as they are side by side."""
+        """Whether two units stay as they are side by side; a = -1: whether b stands by itself."""
         known = self.apart.get((a, b))
         if known is None:
-            left, right = self.text_of[a], self.text_of[b]
-            known = self.apart[a, b] = self.merged(left + right) == [left, right]
+            want = [self.units[b]] if a < 0 else [self.units[a], self.units[b]]
+            known = self.apart[a, b] = self.merged("".join(want)) == want
         return known
 
-    def stands(self, a: int) -> bool:
-        """Whether a piece's text is encoded as that piece."""
-        known = self.alone.get(a)
-        if known is None:
-            known = self.alone[a] = self.merged(self.text_of[a]) == [self.text_of[a]]
-        return known
+    def step(self, context: int, c: str) -> tuple[int, bytes, int]:
+        """The row of the table for a prefix and one more character.
 
-    def units_of(self, text: str) -> list[int]:
-        """The pieces of a text all of whose characters are in the alphabet."""
-        last: list[int | None] = [None] * len(text)
-        size = [0] * len(text)
-        for at, (length, piece) in self.automaton.iter(text):
-            if last[at] is None:
-                before = at - length
-                if self.stands(piece) if before < 0 else self.goes_with(last[before], piece):
-                    last[at], size[at] = piece, length
-        found, at = [], len(text) - 1
-        while at >= 0:
-            found.append(last[at])
-            at -= size[at]
-        found.reverse()
+        It holds the context after it, and the last piece's packed ids and
+        length. A context is the automaton's state with, for each beginning of a
+        piece that ends here, the last unit of the prefix before that beginning.
+        """
+        if c not in self.alphabet:
+            row = 0, self.as_bytes(c), 1
+        else:
+            state, lasts = self.contexts[context]
+            left = dict(zip(self.automaton.open[state], lasts, strict=True))
+            state = self.automaton.move(state, c)
+            length, unit = next(x for x in self.automaton.found[state] if self.goes_with(left[x[0] - 1], x[1]))
+            left[-1] = unit
+            after = state, tuple([left[n - 1] for n in self.automaton.open[state]])
+            number = self.numbers.setdefault(after, len(self.contexts))
+            if number == len(self.contexts):
+                self.contexts.append(after)
+            row = number, self.packed[unit], length
+        self.steps[context, c] = row
+        return row
+
+    def learn(self, chunks: list[str]) -> Iterator[bytes]:
+        """The packed ids of each chunk. Sorted chunks share the rows of the prefix that they have in common."""
+        steps, table, before = self.steps, [], ""
+        for chunk in chunks:
+            k = 0
+            for x, y in zip(before, chunk, strict=False):
+                if x != y:
+                    break
+                k += 1
+            del table[k:]
+            context = table[-1][0] if k else 0
+            for c in chunk[k:]:
+                row = steps.get((context, c)) or self.step(context, c)
+                context = row[0]
+                table.append(row)
+            parts, at = [], len(chunk) - 1
+            while at >= 0:
+                _, packed, length = table[at]
+                parts.append(packed)
+                at -= length
+            parts.reverse()
+            yield b"".join(parts)
+            before = chunk
+
+    @staticmethod
+    def chunk_of(key: str) -> str:
+        """The chunk of a key: a word after a space is named by itself, other chunks after a mark."""
+        if key.startswith(("\0", "\1")):
+            return key[1:]
+        return key if key == "\n" else SPACE + key
+
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        """The packed ids of different chunks; those not met lately are learnt in sorted order."""
+        if len(self.steps) > MOST_STEPS:
+            self.forget()
+        if len(self.young) > MOST_CHUNKS:
+            self.old, self.young = self.young, {}
+        found = list(map(self.young.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        for i in gaps:
+            found[i] = self.old.get(keys[i])
+        missing = sorted((self.chunk_of(keys[i]), i) for i in gaps if found[i] is None)
+        for (_, i), packed in zip(missing, self.learn([chunk for chunk, _ in missing]), strict=True):
+            found[i] = packed
+        self.young.update((keys[i], found[i]) for i in gaps if len(keys[i]) <= LONGEST_CHUNK)
         return found
 
-    def ids_of(self, chunk: str) -> bytes:
-        """A chunk's ids, packed as little-endian 32-bit integers."""
-        ids: list[int] = []
-        start = 0
-        for at, c in enumerate(chunk):
-            if c not in self.alphabet:
-                ids += self.units_of(chunk[start:at])
-                ids += (self.byte_ids[b] for b in c.encode())
-                start = at + 1
-        ids += self.units_of(chunk[start:])
-        if ids and min(ids) < 0:
-            ids = [j for i in ids for j in ([i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()])]
-        return np.array(ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        ends = np.array([self.begin, self.end], "<u4").tobytes()
         if not text:
-            return ends
-        marked = SPACE + text.replace(" ", SPACE)
-        return ends[:4] + b"".join(map(self.chunks.__getitem__, self.chunk.findall(marked))) + ends[4:]
+            return self.begin + self.end
+        chunks = ["\1" + c for c in self.chunk.findall(SPACE + text.replace(" ", SPACE))]
+        different = list(dict.fromkeys(chunks))
+        packed = dict(zip(different, self.look_up(different), strict=True))
+        return self.begin + b"".join(map(packed.__getitem__, chunks)) + self.end
+
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """The packed ids of each text (null: empty), with begin and end."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD) if self.plain else pa.array([True] * len(texts))
+        usual = self._encode_usual(texts.filter(pc.invert(odd)))
+        if not pc.any(odd).as_py():
+            return usual
+        special = pa.array([self.encode(t) for t in texts.filter(odd).to_pylist()], pa.binary())
+        mask = odd.to_numpy(zero_copy_only=False)
+        place = np.empty(len(mask), np.int64)
+        place[~mask] = np.arange(len(usual))
+        place[mask] = len(usual) + np.arange(len(special))
+        return pa.concat_arrays([usual, special]).take(pa.array(place))
+
+    def _encode_usual(self, texts: pa.Array) -> pa.Array:
+        """Texts without empty ones, marks, leading and double spaces: cut by Arrow, put together by numpy."""
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n \0"), " ")
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        which = coded.indices.to_numpy()
+        packed = self.look_up(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        own = sizes[which]
+        ids = ids[_spread((np.cumsum(sizes) - sizes)[which], own)]
+        bounds = np.concatenate([[0], np.cumsum(own)])[bounds - bounds[0]]
+        # begin and end around the ids of each text
+        number = np.arange(len(texts) + 1)
+        out = np.empty(len(ids) + 2 * len(texts), "<u4")
+        inner = np.ones(len(out), bool)
+        for edge, at in ((self.begin, bounds[:-1] + 2 * number[:-1]), (self.end, bounds[1:] + 2 * number[:-1] + 1)):
+            out[at] = np.frombuffer(edge, "<u4")
+            inner[at] = False
+        out[inner] = ids
+        return _binary(4 * (bounds + 2 * number), out.view(np.uint8), pa.binary())
+
+    def decode_array(self, packed: pa.Array) -> pa.Array:
+        """The texts of packed ids, null for null."""
+        if packed.null_count == 0 and len(packed):
+            edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+            ids = np.frombuffer(packed.buffers()[2], np.uint8)[edges[0] : edges[-1]].view("<u4")
+            found = self._decode_usual(ids, (edges - edges[0]) // 4)
+            if found is not None:
+                return found
+        return pa.array((self.decode(x.as_buffer()) if x.is_valid else None for x in packed), pa.string(), size=len(packed))
+
+    def _decode_usual(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array | None:
+        """The texts if each has one control id at either end and none between, and bytes that make characters."""
+        size = np.diff(bounds)
+        control = self.is_control[ids]
+        if (size < 2).any() or not (control[bounds[:-1]] & control[bounds[1:] - 1]).all() or control.sum() != 2 * len(size):
+            return None
+        lengths = self.surface_size[ids]
+        out = self.surface_bytes[_spread(self.surface_start[ids], lengths)]
+        edges = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        first = np.minimum(bounds[:-1] + 1, len(ids) - 1)
+        strip = (size > 2) & self.is_marked[ids[first]]  # the mark that encoding puts in front
+        out = np.delete(out, edges[:-1][strip])
+        edges[1:] -= np.cumsum(strip)
+        found = _binary(edges, out, pa.string())
+        try:
+            found.validate(full=True)
+        except pa.ArrowInvalid:
+            return None
+        return found
 
     def decode(self, packed: bytes) -> str:
         array = np.frombuffer(packed, "<u4")
         ids = array.tolist()
         first = next((i for i in ids if i not in self.control), None)
-        skip = int(first in self.text_of and self.text_of[first].startswith(SPACE))  # the mark that encoding puts in front
+        skip = int(first in self.marked)  # the mark that encoding puts in front
         if not np.isin(array[1:-1], self.control_ids).any():
             try:
                 return b"".join(map(self.surface.__getitem__, ids)).decode()[skip:]
@@ -179,22 +346,6 @@ class Codec:
         return "".join(out)[skip:]
 
 
-class _Chunks(dict):
-    """Packed ids by chunk; starts again when full, and holds no long chunk."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed = self.codec.ids_of(chunk)
-        if len(chunk) <= LONGEST_CHUNK:
-            if len(self) >= MOST_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
 def _lenient(raw: bytes) -> str:
     """UTF-8 with a replacement character for each byte that starts no character."""
     out, at = [], 0
@@ -243,13 +394,11 @@ class PieceModel:
 
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
-            codec = _codec(name, held.value)
-            return pa.array(map(codec.encode, map(_text, texts)), pa.binary(), size=len(texts))
+            return _in_parts(_codec(name, held.value).encode_array, texts, pa.binary(), STEP)
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            codec = _codec(name, held.value)
-            return pa.array((codec.decode(x.as_buffer()) if x.is_valid else None for x in ids), pa.string(), size=len(ids))
+            return _in_parts(_codec(name, held.value).decode_array, ids, pa.string(), 2 * STEP)
 
         self._encode, self._decode = encode, decode
 
@@ -262,8 +411,28 @@ class PieceModel:
         return self._decode(ids)
 
 
-def _text(value: pa.Scalar) -> str:
-    return value.as_py() or ""
+def _parts(values: pa.Array, step: int) -> Iterator[pa.Array]:
+    """Slices of about `step` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(values):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + step, "right")))
+        yield values[start:stop]
+        start = stop
+
+
+def _in_parts(convert, values: pa.Array, kind: pa.DataType, step: int) -> pa.Array:
+    done = [convert(part) for part in _parts(values, step)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each length, one after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
+def _binary(edges: np.ndarray, data: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def n_ids(packed: Column) -> Column:
