@@ -41,7 +41,7 @@ from regionflow.operators.skew import stored
 
 LENGTH, WINDOW, PERIOD = 200, 64, 24
 #: Bytes of text in a chunk (a longer text has one of its own), bytes worked on at once, bytes of text for each bucket.
-CHUNK, TILE, BUCKET = 2 << 20, 1 << 20, 4 << 20
+CHUNK, TILE, BUCKET = 1 << 20, 1 << 18, 4 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
 
 _U = np.uint64
@@ -323,10 +323,12 @@ def _covered(chunk: Chunk, windows: list[dict] | None, strings: list[dict] | Non
     flags = _merged_bits(strings, np.repeat(_bucket(cells.key, buckets), cells.size), buckets)
     places = _spread(every.begin, every.size)
     starts = places[flags[_spread(before[index], every.size)]]
-    change = np.zeros(len(chunk.data) + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + LENGTH, -1)
-    return np.cumsum(change[:-1]) > 0
+    started = np.zeros(len(chunk.data), np.int32)
+    started[starts] = 1
+    np.cumsum(started, out=started)
+    over = np.zeros_like(started)  # strings that began and ended before a byte
+    over[LENGTH:] = started[:-LENGTH]
+    return started > over
 
 
 def _result(buckets: int, schema: pa.Schema):
