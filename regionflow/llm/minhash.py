@@ -80,13 +80,10 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, words: int = SHINGLE
     low = lambda v, b: F.xxhash64(v, b).bitwiseAND(F.lit((1 << KEPT_BITS) - 1))
     lowered = probed.withColumn(f"{x}_dense", filled).withColumn(f"{x}_low", F.transform(f"{x}_dense", low))
     per_long = 64 // KEPT_BITS
-    packed = F.transform(
-        F.sequence(F.lit(0), F.lit(BINS // per_long - 1)),
-        lambda i: F.aggregate(
-            F.slice(f"{x}_low", i * per_long + 1, per_long),
-            F.lit(0).cast("long"),
-            lambda acc, v: F.shiftleft(acc, KEPT_BITS).bitwiseOR(v),
-        ),
+    join = lambda acc, v: F.shiftleft(acc, KEPT_BITS).bitwiseOR(v)
+    # written out, as a column used in one lambda alone would be computed anew for each of its elements
+    packed = F.array(
+        *[F.aggregate(F.slice(f"{x}_low", i * per_long + 1, per_long), F.lit(0).cast("long"), join) for i in range(BINS // per_long)]
     )
     return lowered.withColumn(out, F.when(n > 0, packed).otherwise(F.array().cast("array<bigint>"))).drop(
         w, s, x, f"{x}_full", f"{x}_dense", f"{x}_low"
