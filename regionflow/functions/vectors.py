@@ -44,7 +44,8 @@ def score_dense(
     """Scores of feature rows under fixed layers (W, b); ReLU between layers.
 
     One matrix product per Arrow batch and layer. The layers travel with the
-    function, so they must be model-sized, never data-sized.
+    function, so they must be model-sized, never data-sized. A null row has null
+    scores; a row of another length than the first layer's fails the job.
     """
     layers = [(np.asarray(w, dtype=float), np.asarray(b, dtype=float)) for w, b in weights]
 
@@ -54,13 +55,18 @@ def score_dense(
             if len(batch) == 0:
                 yield pd.Series([], dtype=object)
                 continue
-            x = np.stack(batch.to_numpy())
+            known = [row for row in batch if row is not None]
+            width = layers[0][0].shape[1]
+            if any(len(row) != width for row in known):
+                raise ValueError(f"a feature row does not have {width} values")
+            x = np.array(known, dtype=float).reshape(len(known), width)
             for n, (w, b) in enumerate(layers):
                 x = x @ w.T + b
                 if n < len(layers) - 1:
                     x = np.maximum(x, 0.0)
             if clamp is not None:
                 x = np.clip(x, -clamp, clamp)
-            yield pd.Series(list(x))
+            scores = iter(x)
+            yield pd.Series([None if row is None else next(scores) for row in batch], dtype=object)
 
     return score(features)

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.operators.skew import find_hot, stored
+from regionflow.operators.skew import find_hot, key_of, stored
 
 HOT_ROWS = 20_000_000
-CUTS = 1000
-EXACT = "decimal(38,18)"
+#: Even parts that fractions and idx ranges of hot groups are counted by.
+PARTS = 1024
+EXACT = "decimal(28,18)"
 
 
 def apportion_columns(df: DataFrame, splits: Mapping[str, Sequence[tuple[str, Column]]]) -> DataFrame:
@@ -80,6 +81,11 @@ def apportion(
     fractions, the lower `idx` first. A total or a weight sum of 0 or less gives
     zeros. `idx` is numeric and unique within its group.
 
+    Weights are taken relative to the largest of their group and summed as
+    decimals: the same shares in any order and for tiny and huge weights alike,
+    so a group's size decides nothing but how its rows are ranked. A missing
+    weight counts as 0.
+
     Ordinary groups are ranked in one window. Groups above `hot_rows` rows are
     never gathered: they are written out, the fraction at which the left-over
     units run out is found by counting, and each row is compared with it.
@@ -92,17 +98,24 @@ def apportion(
         hot = find_hot(df, group, hot_rows)
     if hot is None:
         return _by_window(df, group, totals, weight, idx)
-    usual = df.join(hot, hot.columns, "left_anti")
-    big = stored(df.join(hot, hot.columns, "left_semi"), "hot-rows")
+    keys = hot.select(key_of(hot.columns).alias("_hot"))
+    placed = df.withColumn("_hot", key_of(hot.columns))
+    usual = placed.join(keys, "_hot", "left_anti").drop("_hot")
+    big = stored(placed.join(keys, "_hot", "left_semi").drop("_hot"), "hot-rows")
     return _by_window(usual, group, totals, weight, idx).unionByName(
         _by_counting(big, group, totals, weight, idx)
     )
 
 
-def _shares(df: DataFrame, total: str, weight: str) -> DataFrame:
-    """Adds _valid, _base and _frac for one total, given _sum."""
+def _relative(weight: str, largest: Column) -> Column:
+    """A weight as a part of its group's largest one."""
+    return F.when(largest > 0, F.coalesce(F.col(weight), F.lit(0.0)).cast("double") / largest).otherwise(F.lit(0.0))
+
+
+def _shares(df: DataFrame, total: str) -> DataFrame:
+    """Adds _valid, _base and _frac for one total, given the relative weight _rel and its sum _sum."""
     valid = (F.col(total) > 0) & (F.col("_sum") > 0)
-    raw = F.when(valid, F.try_divide(weight, "_sum") * F.col(total)).otherwise(F.lit(0.0))
+    raw = F.when(valid, F.try_divide("_rel", "_sum") * F.col(total)).otherwise(F.lit(0.0))
     base = F.floor(raw)
     return df.withColumns({"_valid": valid, "_base": base.cast("bigint"), "_frac": raw - base})
 
@@ -110,15 +123,14 @@ def _shares(df: DataFrame, total: str, weight: str) -> DataFrame:
 def _by_window(
     df: DataFrame, group: list[str], totals: Mapping[str, str], weight: str, idx: str
 ) -> DataFrame:
-    # summed in idx order: another order may flip a tie between fractions
-    ordered = Window.partitionBy(*group).orderBy(idx)
-    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = df.withColumn("_sum", F.sum(weight).over(every))
+    every = Window.partitionBy(*group)
+    out = df.withColumn("_rel", _relative(weight, F.max(F.abs(weight)).over(every).cast("double")))
+    out = out.withColumn("_sum", F.sum(F.col("_rel").cast(EXACT)).over(every).cast("double"))
     for total, name in totals.items():
         best_first = Window.partitionBy(*group).orderBy(F.desc("_frac"), idx)
-        left = F.col(total).cast("bigint") - F.sum("_base").over(Window.partitionBy(*group))
+        left = F.col(total).cast("bigint") - F.sum("_base").over(every)
         out = (
-            _shares(out, total, weight)
+            _shares(out, total)
             .withColumn("_left", F.when(F.col("_valid"), left).otherwise(F.lit(0)))
             .withColumn("_rank", F.row_number().over(best_first))
             .withColumn(
@@ -126,15 +138,15 @@ def _by_window(
             )
             .drop("_valid", "_base", "_frac", "_left", "_rank")
         )
-    return out.drop("_sum")
+    return out.drop("_sum", "_rel")
 
 
-def _crossing(counts: DataFrame, group: list[str], order: Column) -> DataFrame:
-    """The step of each group at which the running count reaches `_need`.
+def _crossing(counts: DataFrame, order: Column) -> DataFrame:
+    """The step of each group `_at` at which the running count reaches `_need`.
 
     `_need` becomes what is still needed within that step.
     """
-    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("_at").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_upto") - F.col("_n")
     return (
         counts.withColumn("_upto", F.sum("_n").over(upto))
@@ -144,79 +156,50 @@ def _crossing(counts: DataFrame, group: list[str], order: Column) -> DataFrame:
     )
 
 
-def _narrow(rows: DataFrame, group: list[str], x: str, largest_first: bool) -> DataFrame:
-    """The rows around the `_need`-th best x of their group: about 1 in CUTS.
-
-    `_need` is then counted within them. Only per-range counts are shuffled.
-    """
-    probs = ", ".join(f"{k / CUTS}D" for k in range(1, CUTS))
-    cuts = rows.groupBy(*group).agg(
-        F.expr(f"percentile_approx(`{x}`, array({probs}), {10 * CUTS})").alias("_cuts")
-    )
-    position = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
-    ranges = (
-        rows.join(F.broadcast(cuts), group)
-        .withColumn("_at", position)
-        .withColumn("_low", F.get("_cuts", F.col("_at") - 1))
-        .withColumn("_high", F.get("_cuts", F.col("_at")))
-        .groupBy(*group, "_need", "_at", "_low", "_high")
-        .agg(F.count("*").alias("_n"))
-    )
-    order = F.desc("_at") if largest_first else F.asc("_at")
-    band = _crossing(ranges, group, order).withColumnRenamed("_need", "_need_in").drop("_at")
-    above = F.col("_low").isNull() | (F.col(x) > F.col("_low"))
-    inside = above & (F.col("_high").isNull() | (F.col(x) <= F.col("_high")))
-    return (
-        rows.join(F.broadcast(band), group)
-        .filter(inside)
-        .withColumn("_need", F.col("_need_in"))
-        .drop("_need_in", "_low", "_high")
-    )
+def _step(rows: DataFrame, step: Column, order: Column) -> DataFrame:
+    """The rows of the step (`_step`) in which the `_need`-th row of their group lies; `_need` then counts within it."""
+    stepped = rows.withColumn("_step", step)
+    counts = stepped.groupBy("_at", "_need", "_step").agg(F.count("*").alias("_n"))
+    found = _crossing(counts, order)
+    return stepped.drop("_need").join(found, ["_at", "_step"])
 
 
 def _by_counting(
     df: DataFrame, group: list[str], totals: Mapping[str, str], weight: str, idx: str
 ) -> DataFrame:
-    """Per-group tables here hold one row per hot group, so they may be broadcast.
-
-    Weights are summed as decimals: the same sum in any order, so that every
-    pass over the rows sees the same fractions.
-    """
-    sums = df.groupBy(*group).agg(F.sum(F.col(weight).cast(EXACT)).cast("double").alias("_sum"))
-    start = df.join(F.broadcast(sums), group)
+    """Only counts per part of a group are shuffled by group; rows are joined with one row of their group."""
+    placed = df.withColumn("_at", key_of(group))
+    largest = placed.groupBy("_at").agg(F.max(F.abs(weight)).cast("double").alias("_largest"))
+    scaled = placed.join(largest, "_at").withColumn("_rel", _relative(weight, F.col("_largest"))).drop("_largest")
+    sums = scaled.groupBy("_at").agg(F.sum(F.col("_rel").cast(EXACT)).cast("double").alias("_sum"))
+    start = stored(scaled.join(sums, "_at"), "hot-shares")
     out = start
     for total, name in totals.items():
-        rows = _shares(start, total, weight)
+        rows = _shares(start, total)
         need = F.max(F.col(total).cast("bigint")) - F.sum("_base")
-        needs = rows.filter("_valid").groupBy(*group).agg(need.alias("_need"))
-        needy = rows.select(*group, idx, "_frac").join(F.broadcast(needs), group)
-        # the fraction at which the left-over units run out
-        fractions = (
-            _narrow(needy, group, "_frac", largest_first=True)
-            .groupBy(*group, "_need", "_frac")
-            .agg(F.count("*").alias("_n"))
-        )
-        edge = _crossing(fractions, group, F.desc("_frac")).withColumnRenamed("_frac", "_edge")
-        # among rows tied at that fraction, the last idx that still gets a unit
-        tied = (
-            rows.select(*group, idx, "_frac")
-            .join(F.broadcast(edge), group)
-            .filter(F.col("_frac") == F.col("_edge"))
+        needs = rows.filter("_valid").groupBy("_at").agg(need.alias("_need"))
+        needy = rows.select("_at", idx, "_frac").join(needs, "_at")
+        # the fraction at which the left-over units run out: first its part, then itself
+        part = _step(needy, F.floor(F.col("_frac") * PARTS), F.desc("_step")).drop("_step")
+        tied = _step(part, F.col("_frac"), F.desc("_step")).withColumnRenamed("_step", "_edge")
+        # among rows tied at that fraction, the last idx that still gets a unit: its part of the idx range, then itself
+        ends = tied.groupBy("_at").agg(
+            F.min(idx).cast("double").alias("_low"), F.max(idx).cast("double").alias("_high")
         )
-        in_order = Window.partitionBy(*group).orderBy(idx)
+        place = (F.col(idx) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1.0)
+        near = _step(tied.join(ends, "_at"), F.floor(place * PARTS), F.asc("_step"))
         last = (
-            _narrow(tied, group, idx, largest_first=False)
-            .withColumn("_rank", F.row_number().over(in_order))
+            near.withColumn("_rank", F.row_number().over(Window.partitionBy("_at").orderBy(idx)))
             .filter(F.col("_rank") == F.col("_need"))
-            .select(*group, "_edge", F.col(idx).alias("_last"))
+            .select("_at", "_edge", F.col(idx).alias("_last"))
         )
         gets = (F.col("_frac") > F.col("_edge")) | (
             (F.col("_frac") == F.col("_edge")) & (F.col(idx) <= F.col("_last"))
         )
         out = (
-            _shares(out, total, weight)
-            .join(F.broadcast(last), group, "left")
+            _shares(out, total)
+            .join(last, "_at", "left")
             .withColumn(name, F.col("_base") + F.when(gets, 1).otherwise(0))
             .drop("_valid", "_base", "_frac", "_edge", "_last")
         )
-    return out.drop("_sum")
+    return out.drop("_sum", "_rel", "_at")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from regionflow import constants as K
 from regionflow.functions.geo import air_weight, gravity_weight, haversine_km
+from regionflow.operators.skew import key_of
 from regionflow.sources.tables import rows_to_df
 
 
@@ -98,22 +99,26 @@ def outbound_sums(edges: DataFrame, keys: Sequence[str] = ("src",)) -> DataFrame
     )
 
 
+def _with_sums(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds `_sum`, the weights of a row's key; edges without a source are summed as one more source."""
+    placed = edges.withColumn("_at", key_of(keys))
+    return placed.join(placed.groupBy("_at").agg(F.sum("w").alias("_sum")), "_at").drop("_at")
+
+
 def normalize_outbound(edges: DataFrame, rate: float, keys: Sequence[str] = ("src",)) -> DataFrame:
     """Each source's weights scaled to sum to `rate`; all 0 if they sum to 0 or less.
 
     The sums are made before any shuffle and joined back, so no source's edges
     are gathered in one task.
     """
-    sums = edges.groupBy(*keys).agg(F.sum("w").alias("_sum"))
     scaled = F.when(F.col("_sum") > 0, F.col("w") * (F.lit(rate) / F.col("_sum"))).otherwise(0.0)
-    return edges.join(sums, list(keys)).withColumn("w", scaled).drop("_sum")
+    return _with_sums(edges, keys).withColumn("w", scaled).drop("_sum")
 
 
 def cap_rows(edges: DataFrame, cap: float, keys: Sequence[str] = ("src",)) -> DataFrame:
     """Sources whose weights sum above `cap` are scaled down to it."""
-    sums = edges.groupBy(*keys).agg(F.sum("w").alias("_sum"))
     shrink = F.when(F.col("_sum") > 0, F.least(F.lit(1.0), F.lit(cap) / F.col("_sum"))).otherwise(1.0)
-    return edges.join(sums, list(keys)).withColumn("w", F.col("w") * shrink).drop("_sum")
+    return _with_sums(edges, keys).withColumn("w", F.col("w") * shrink).drop("_sum")
 
 
 def scale_edge(edges: DataFrame, src: str, dst: str, factor: float) -> DataFrame:

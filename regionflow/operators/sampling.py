@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow.functions.scalar import priority
+from regionflow.operators.skew import stored
 
 TINY = 1e-12
+#: Chunks of one block when chunks of a whole table are cut.
+COUNT_BLOCK = 10_000
 
 
 def keep_last_n(
@@ -20,24 +22,29 @@ def keep_last_n(
 
     Rows are first counted per chunk of `seq` before any shuffle. Only chunks
     down to the one where the n-th row lies are read on, and each is ranked on
-    its own.
+    its own. Null keys form a group of their own; rows without `seq` come last.
     """
-    keys = list(keys)
-    rows = df.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk)))
-    rows = rows if keys else rows.withColumn("_all", F.lit(0))
-    by = keys or ["_all"]
-    newest = Window.partitionBy(*by).orderBy(F.desc("_chunk"))
+    rows = df.withColumn("_at", F.struct(*[F.col(k) for k in keys], F.floor(F.col(seq) / F.lit(chunk)).alias("_chunk")))
+    counts = rows.groupBy("_at").agg(F.count("*").alias("_n"))
+    by = [F.col("_at")[k] for k in keys] or [F.lit(0)]
+    newest = lambda c: Window.partitionBy(*by).orderBy(c.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    if not keys:
+        # without keys chunks are first cut by their blocks' counts, so that one task orders only a few of them
+        counts = stored(counts, "chunk-counts")
+        block = F.floor(F.col("_at._chunk") / F.lit(COUNT_BLOCK))
+        totals = counts.groupBy(block.alias("_block")).agg(F.sum("_n").alias("_m"))
+        above = Window.orderBy(F.desc_nulls_last("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        reached = totals.withColumn("_over", F.coalesce(F.sum("_m").over(above), F.lit(0))).filter(F.col("_over") < n)
+        counts = counts.filter(block.isNull() | (block >= reached.agg(F.min("_block")).scalar()))
     before = F.col("_upto") - F.col("_n")
-    counts = (
-        rows.groupBy(*by, "_chunk")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    needs = (
+        counts.withColumn("_upto", F.sum("_n").over(newest(F.col("_at._chunk"))))
         .filter(before < n)
-        .select(*by, "_chunk", (F.lit(n) - before).alias("_need"))
+        .select("_at", (F.lit(n) - before).alias("_need"))
     )
-    ranked = Window.partitionBy(*by, "_chunk").orderBy(F.desc(seq))
+    ranked = Window.partitionBy("_at").orderBy(F.desc_nulls_last(seq))
     return (
-        rows.join(counts, [*by, "_chunk"])
+        rows.join(needs, "_at")
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") <= F.col("_need"))
         .select(*df.columns)
@@ -94,6 +101,14 @@ def _children(nodes: DataFrame, fanout: int) -> DataFrame:
     )
 
 
+def _first_draws(draws: DataFrame, n: int) -> DataFrame:
+    """The n draws of the smallest ids."""
+    if draws.count() <= n:
+        return draws
+    backwards = draws.withColumn("_back", -F.col("draw_id").cast("bigint"))
+    return keep_last_n(backwards, n, "_back").drop("_back")
+
+
 def weighted_sample(
     rows: DataFrame,
     draws: DataFrame,
@@ -101,64 +116,75 @@ def weighted_sample(
     td: str = "td",
     alpha: float = 0.6,
     beta: float = 0.4,
-    capacity: int = 10**9,
     fanout: int = 256,
 ) -> DataFrame:
     """One row per draw (draw_id, u): (draw_id, id, p, weight), with replacement.
 
     A draw takes the first row, by id, at which the running sum of priorities
     reaches u times their total; its weight is (N * p / total)^-beta. At most as
-    many draws as rows are served, in draw_id order from 0. `id` is the slot
-    number in [0, capacity).
-
-    The running sum is kept as a tree over id with `fanout` children per node: a
-    draw walks down from the top, so no sum runs over the whole table. Sums of
-    the inner nodes are made before the shuffle, and only leaves that a draw has
-    reached are packed.
+    many draws as rows are served, those of the smallest draw ids. `id` is a
+    slot number: whole, unique and not negative.
+
+    The running sum is kept as a tree over id with `fanout` children per node, as
+    deep as the largest id needs: a draw walks down from the top, so no sum runs
+    over the whole table. The rows are read twice: once for the sums of the
+    lowest inner nodes, which are written to the shared folder and from which
+    the others are made, and once for the leaves that a draw has reached.
     """
     slot = F.col(id)
-    valid = (slot >= 0) & (slot < F.lit(capacity))
-    checked = F.when(valid, slot.cast("bigint")).otherwise(
-        F.raise_error(F.lit("slot number outside the capacity")).cast("bigint")
+    checked = F.when(slot >= 0, slot.cast("bigint")).otherwise(
+        F.raise_error(F.lit("a slot number is missing or negative")).cast("bigint")
     )
     leaves = rows.select(checked.alias("node"), priority(F.col(td), alpha).alias("p"))
-    depth = max(1, math.ceil(math.log(capacity) / math.log(fanout) - 1e-9))
+    parent = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
+    inner = stored(
+        leaves.groupBy(parent.alias("node")).agg(F.sum("p").alias("p"), F.count("*").alias("n")), "sample-nodes"
+    )
+    size, top_node = inner.agg(F.sum("n"), F.max("node")).first()
+    empty = rows.sparkSession.createDataFrame([], "draw_id long, node long, p double, rows long, total double")
+    if not size:
+        walk, depth = empty, 0
+    else:
+        # levels above the leaves: the highest one has at most `fanout` nodes
+        depth = 1
+        while top_node >= fanout**depth:
+            depth += 1
 
     def level(k: int) -> DataFrame:
-        if k == 0:
-            return leaves
-        above = F.floor(F.col("node") / F.lit(fanout**k)).cast("bigint")
-        return leaves.groupBy(above.alias("node")).agg(F.sum("p").alias("p"))
-
-    # the top level is one row of at most `fanout` nodes
-    fields = ["node", "base", "high", "p"]
-    kids = F.sort_array(F.collect_list(F.struct(*fields)))
-    top = _children(level(depth - 1), fanout).agg(kids.alias("kids")).scalar()
-    size = leaves.agg(F.count("*")).scalar()
-    last = F.element_at("kids", -1)
-    goal = F.col("u") * F.col("total")
-    walk = (
-        draws.select("draw_id", "u", size.alias("rows"), top.alias("kids"))
-        .filter(F.col("draw_id") < F.col("rows"))
-        .withColumn("sum", last["base"] + last["p"])
-        .withColumn("total", F.greatest(F.lit(TINY), F.col("sum")))
-        # a goal beyond every sum falls back to the first row
-        .withColumn("goal", F.when(goal > F.col("sum"), F.lit(-1.0)).otherwise(goal))
-        .withColumn("kid", F.get("kids", F.size(F.filter("kids.high", lambda x: x < F.col("goal")))))
-        .select(
-            "draw_id", "rows", "total", (F.col("goal") - F.col("kid.base")).alias("goal"), "kid.node", "kid.p"
+        """Nodes k levels above the leaves, k from 1."""
+        above = F.floor(F.col("node") / F.lit(fanout ** (k - 1))).cast("bigint")
+        return inner.groupBy(above.alias("node")).agg(F.sum("p").alias("p")) if k > 1 else inner.select("node", "p")
+
+    if depth:
+        fields = ["node", "base", "high", "p"]
+        kids = F.sort_array(F.collect_list(F.struct(*fields)))
+        top = _children(level(depth), fanout).agg(kids.alias("kids")).scalar()
+        last = F.element_at("kids", -1)
+        goal = F.col("u") * F.col("total")
+        walk = (
+            _first_draws(draws.select("draw_id", "u"), size)
+            .select("draw_id", "u", F.lit(size).alias("rows"), top.alias("kids"))
+            .withColumn("sum", last["base"] + last["p"])
+            .withColumn("total", F.greatest(F.lit(TINY), F.col("sum")))
+            # a goal beyond every sum falls back to the first row
+            .withColumn("goal", F.when(goal > F.col("sum"), F.lit(-1.0)).otherwise(goal))
+            .withColumn("kid", F.get("kids", F.size(F.filter("kids.high", lambda x: x < F.col("goal")))))
+            .select(
+                "draw_id", "rows", "total", (F.col("goal") - F.col("kid.base")).alias("goal"), "kid.node", "kid.p"
+            )
         )
-    )
-    for k in range(depth - 2, -1, -1):
-        nodes = level(k)
+    for k in range(depth - 1, -1, -1):
+        at = walk.select("draw_id", "rows", "total", "goal", F.col("node").alias("parent"))
         if k == 0:
             hit = walk.select(F.col("node").alias("parent")).distinct()
-            parent = F.floor(F.col("node") / F.lit(fanout)).cast("bigint")
-            nodes = nodes.join(hit, parent == F.col("parent"), "left_semi")
-        at = walk.select("draw_id", "rows", "total", "goal", F.col("node").alias("parent"))
+            nodes = leaves.join(hit, parent == F.col("parent"), "left_semi")
+        else:
+            nodes = level(k)
         # one child's range holds the goal; the others are passed over in the join
         holds = (F.col("low") < F.col("goal")) & (F.col("goal") <= F.col("high"))
         child = _children(nodes, fanout).withColumnRenamed("parent", "at")
+        if k and k == depth - 1:
+            child = F.broadcast(child)  # at most fanout x fanout rows
         walk = at.join(child, (F.col("parent") == F.col("at")) & holds).select(
             "draw_id", "rows", "total", (F.col("goal") - F.col("base")).alias("goal"), "node", "p"
         )

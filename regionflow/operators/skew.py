@@ -9,27 +9,22 @@ from pyspark.sql import functions as F
 
 from regionflow.session import fresh_path
 
-SPREAD = 256
-
-
 def first_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rn"
 ) -> DataFrame:
     """The first `n` rows per key, with their rank from 1.
 
-    A first cut runs per key and slice of the input, so a hot key reaches its
-    final task with at most n * SPREAD rows. `order` should leave no ties.
+    Spark cuts each task's rows to n per key before the shuffle, so a hot key
+    reaches its final task with at most n rows per input task. `order` should
+    leave no ties.
     """
-    near = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    far = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
-        .withColumn(rank, F.row_number().over(near))
-        .filter(F.col(rank) <= n)
-        .drop("_slice", rank)
-        .withColumn(rank, F.row_number().over(far))
-        .filter(F.col(rank) <= n)
-    )
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(place)).filter(F.col(rank) <= n)
+
+
+def key_of(names: Sequence[str]) -> Column:
+    """Key columns as one struct: equal structs have equal parts, nulls included, so it joins without losing rows."""
+    return F.struct(*[F.col(n) for n in names])
 
 
 def running_total(
@@ -44,33 +39,36 @@ def running_total(
 
     `chunk` columns cut each key's order into consecutive pieces. Rows are only
     sorted within their piece; the pieces' totals, summed before the shuffle,
-    give each piece its start.
+    give each piece its start. Null keys form a group of their own, and nulls in
+    the order come first.
     """
-    near = Window.partitionBy(*keys, *chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    far = Window.partitionBy(*keys).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    at = key_of([*keys, *chunk])
+    near = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    far = Window.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(*[F.col("_at")[c] for c in chunk])
+    before = far.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_at", at)
     starts = (
-        rows.groupBy(*keys, *chunk)
+        placed.groupBy("_at")
         .agg(F.sum(value).alias("_total"))
-        .withColumn("_start", F.coalesce(F.sum("_total").over(far), F.lit(0)))
+        .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .drop("_total")
     )
     return (
-        rows.withColumn(out, F.sum(value).over(near))
-        .join(starts, [*keys, *chunk])
+        placed.withColumn(out, F.sum(value).over(near))
+        .join(starts, "_at")
         .withColumn(out, F.col(out) + F.col("_start"))
-        .drop("_start")
+        .drop("_start", "_at")
     )
 
 
 def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """The keys of groups above `hot_rows` rows, or None if there are none.
 
-    Runs one counting job, combined before its shuffle. The result may be
-    broadcast: there are at most rows / hot_rows such keys.
+    Runs one counting job, combined before its shuffle.
     """
     counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     hot = stored(counted.select(*keys), "hot-keys")
-    return None if hot.isEmpty() else F.broadcast(hot)
+    return None if hot.isEmpty() else hot
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.operators.skew import running_total
+from regionflow.operators.skew import key_of, running_total
 
 MAX_CHUNK = 100_000
+#: Chunk ends that are gathered in one row.
+BLOCK = 512
 
 
 def downsample_every(df: DataFrame, k: int, step: str = "step") -> DataFrame:
@@ -42,11 +44,14 @@ def epoch_entity_summary(rows: DataFrame, key: str = "entity", order: str = "ste
 
 
 def reward_spread(rows: DataFrame, by: Sequence[str] = ("step",), value: str = "reward") -> DataFrame:
-    """Mean, population variance and deviation, variation and range over entities."""
+    """Mean, population variance and deviation, variation and range over entities.
+
+    Decimal values are summed exactly, so that a mean of 0 gives a variation of 0.
+    """
     return (
         rows.groupBy(*by)
         .agg(
-            F.avg(value).alias("mean"),
+            (F.sum(value).cast("double") / F.count(value)).alias("mean"),
             F.var_pop(value).alias("variance"),
             F.stddev_pop(value).alias("std"),
             (F.max(value) - F.min(value)).alias("range"),
@@ -104,63 +109,96 @@ def ema(
 
     e is a weighted running sum, so each chunk of steps is summed on its own and
     then receives the e the chunk before it ended with. A chunk is short enough
-    that the growing weights stay far from overflow; the chunks' ends only look
-    back until a weight underflows to 0.
+    that the growing weights stay far from overflow. Null keys are an entity of
+    their own; rows without a step come before all others.
     """
-    kept = downsample_every(rows, every, step)
+    kept = (downsample_every(rows, every, step) if every > 1 else rows).withColumn("_at", key_of([key]))
     if seed_first:
-        first = kept.filter(F.col(value) != 0).groupBy(key).agg(F.min(step).alias("_first"))
-        kept = kept.join(first, key, "left")
+        first = kept.filter(F.col(value) != 0).groupBy("_at").agg(F.min(step).alias("_first"))
+        kept = kept.join(first, "_at", "left")
     else:
         kept = kept.withColumn("_first", F.lit(None).cast("bigint"))
     is_seed = F.col("_first").isNotNull() & (F.col(step) == F.col("_first"))
     if alpha >= 1.0:
-        return kept.withColumn(out, F.col(value).cast("double")).drop("_first")
+        return kept.withColumn(out, F.col(value).cast("double")).drop("_first", "_at")
     if alpha <= 0.0:
-        seeds = kept.filter(is_seed).select(key, F.col(value).cast("double").alias("_seed"))
+        seeds = kept.filter(is_seed).select("_at", F.col(value).cast("double").alias("_seed"))
         started = F.col("_first").isNotNull() & (F.col(step) >= F.col("_first"))
         return (
-            kept.join(seeds, key, "left")
+            kept.join(seeds, "_at", "left")
             .withColumn(out, F.when(started, F.col("_seed")).otherwise(F.lit(0.0)))
-            .drop("_first", "_seed")
+            .drop("_first", "_seed", "_at")
         )
 
     keep = 1.0 - alpha
     rate = -math.log(keep)
     chunk = min(MAX_CHUNK, max(1, int(230 / rate))) if chunk is None else chunk
-    look_back = math.ceil(745 / rate)
     weight = F.when(is_seed, F.lit(1.0)).otherwise(F.lit(alpha))
     power = lambda n: F.pow(F.lit(keep), n.cast("double"))
 
-    near = Window.partitionBy(key, "_chunk").orderBy(step)
+    near = Window.partitionBy("_at").orderBy(step)
     so_far = near.rowsBetween(Window.unboundedPreceding, 0)
+    piece = F.floor(F.col(step) / F.lit(every * chunk))
     local = (
-        kept.withColumn("_chunk", F.floor(F.col(step) / F.lit(every * chunk)))
-        # stated here, so that both uses below share one shuffle
-        .filter(F.col(key).isNotNull() & F.col("_chunk").isNotNull())
+        kept.withColumn("_at", F.struct(F.col("_at")[key].alias("key"), piece.alias("chunk")))
         .withColumn("_pos", F.row_number().over(near))
         .withColumn("_x", weight * F.col(value) / power(F.col("_pos")))
         .withColumn("_local", F.sum("_x").over(so_far) * power(F.col("_pos")))
         .drop("_x", "_first")
     )
-    ends = local.groupBy(key, "_chunk").agg(
+    ends = local.groupBy("_at").agg(
         F.max("_pos").cast("bigint").alias("_n"), F.max_by("_local", "_pos").alias("_end")
     )
-    far = Window.partitionBy(key).orderBy("_chunk")
-    recent = Window.partitionBy(key).orderBy("_upto").rangeBetween(-look_back, 0)
-    carried = F.aggregate(
-        "_ends",
-        F.lit(0.0),
-        lambda acc, x: acc + x["_end"] * F.pow(F.lit(keep), (F.col("_upto") - x["_upto"]).cast("double")),
-    )
-    entering = (
-        ends.withColumn("_upto", F.sum("_n").over(far.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_ends", F.collect_list(F.struct("_upto", "_end")).over(recent))
-        .withColumn("_out", carried)
-        .select(key, "_chunk", F.coalesce(F.lag("_out").over(far), F.lit(0.0)).alias("_in"))
-    )
     return (
-        local.join(entering, [key, "_chunk"])
+        local.join(_entering(ends, keep), "_at")
         .withColumn(out, F.col("_local") + F.col("_in") * power(F.col("_pos")))
-        .drop("_chunk", "_pos", "_local", "_in")
+        .drop("_at", "_pos", "_local", "_in")
+    )
+
+
+def _entering(ends: DataFrame, keep: float) -> DataFrame:
+    """The average each chunk (key, chunk) begins with, from every chunk's own end and length.
+
+    Chunks are taken BLOCK at a time: first within each block, then from block
+    to block, so no task holds more than a block's ends or a key's blocks.
+    """
+    fade = lambda n: F.pow(F.lit(keep), n.cast("double"))
+    come = lambda acc: F.struct(acc["e"].alias("e"), acc["n"].alias("n"))
+    step = lambda acc, x: F.struct(
+        (acc["e"] * fade(x["n"]) + x["end"]).alias("e"),
+        (acc["n"] + x["n"]).alias("n"),
+        F.concat(acc["ins"], F.array(come(acc))).alias("ins"),
+    )
+    start = F.struct(
+        F.lit(0.0).alias("e"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<e:double,n:bigint>>").alias("ins")
+    )
+    row = lambda at, n, end: F.struct(at.alias("at"), n.alias("n"), end.alias("end"))
+
+    def carried(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+        """Rows of a group in order of `at`, each with what comes in from those before it in the group."""
+        gathered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(row(F.col(at), F.col("_n"), F.col("_end")))).alias("rows"))
+        run = gathered.withColumn("run", F.aggregate("rows", start, step))
+        return run.withColumn("pair", F.arrays_zip("rows", F.col("run.ins").alias("ins")))
+
+    blocks = ends.select(
+        F.struct(F.col("_at.key").alias("key"), F.floor(F.col("_at.chunk") / F.lit(BLOCK)).alias("block")).alias("_block"),
+        F.col("_at.chunk").alias("chunk"),
+        "_n",
+        "_end",
+    )
+    inner = carried(blocks, ["_block"], "chunk")
+    whole = inner.select(
+        F.struct(F.col("_block.key").alias("key")).alias("_key"),
+        F.col("_block.block").alias("block"),
+        F.col("run.n").alias("_n"),
+        F.col("run.e").alias("_end"),
+    )
+    outer = carried(whole, ["_key"], "block").select("_key", F.explode("pair").alias("p"))
+    entering = outer.select(
+        F.struct(F.col("_key.key").alias("key"), F.col("p.rows.at").alias("block")).alias("_block"), F.col("p.ins.e").alias("_base")
+    )
+    each = inner.select("_block", F.explode("pair").alias("p"))
+    return each.join(entering, "_block").select(
+        F.struct(F.col("_block.key").alias("key"), F.col("p.rows.at").alias("chunk")).alias("_at"),
+        (F.col("p.ins.e") + F.col("_base") * fade(F.col("p.ins.n"))).alias("_in"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regionflow.functions.geo import haversine_km
 from regionflow.operators import flows, network, quality
 from regionflow.operators.apportion import apportion, apportion_columns
+from regionflow.operators.skew import stored
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded, table
 
@@ -27,8 +28,9 @@ CAP = 2e-5
 
 
 def _edges(spark: SparkSession, sf_dir: str, cap: float | None = CAP) -> DataFrame:
+    ends = V.nation_links(spark, sf_dir)
     return network.gravity_edges(
-        V.entities(spark, sf_dir), V.links(spark, sf_dir), V.pair_multipliers(spark, sf_dir), cap=cap
+        V.entities(spark, sf_dir, ends), V.links(spark, sf_dir, ends), V.pair_multipliers(spark, sf_dir, ends), cap=cap
     )
 
 
@@ -175,6 +177,19 @@ def apportion_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("o_custkey", "o_orderkey", "share")
 
 
+@query("apportion_hot", _APPORTION)
+def apportion_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same split, groups of more than ten orders being settled by counting."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey",
+        "o_orderkey",
+        F.col("o_totalprice").alias("w"),
+        (F.lit(10) + F.col("o_custkey") % 90).alias("total"),
+    )
+    shares = apportion(orders, ["o_custkey"], {"total": "share"}, "w", "o_orderkey", hot_rows=10)
+    return shares.select("o_custkey", "o_orderkey", "share")
+
+
 @query(
     "apportion_columns",
     """
@@ -225,12 +240,15 @@ _FLOW = f"""
 
 
 def _flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idx = V.entities(spark, sf_dir).select(F.col("entity").alias("dst"), "idx")
-    return _edges(spark, sf_dir).withColumn("w", F.col("w") * 5000).join(idx, "dst")
+    """Edges with a tie-breaking number, written once: a step reads them several times."""
+    nation = table(spark, sf_dir, "nation")
+    idx = nation.select(F.col("n_name").alias("dst"), F.col("n_nationkey").alias("idx"))
+    return stored(_edges(spark, sf_dir).withColumn("w", F.col("w") * 5000).join(idx, "dst"), "flow-edges")
 
 
 def _flow_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.stocks(spark, sf_dir).withColumn("t", F.lit(3))
+    """Stocks, written once: a step reads them twice."""
+    return stored(V.stocks(spark, sf_dir).withColumn("t", F.lit(3)), "flow-states")
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,8 @@ _PRIO = "SELECT event_id, pow(abs(value - 100) + 1e-6, 0.6) AS p FROM events"
     WITH p AS ({_PRIO}),
     c AS (SELECT event_id, p, sum(p) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cum FROM p),
     t AS (SELECT sum(p) AS total, count(*) AS n FROM p),
-    d AS (SELECT c_custkey AS draw_id, {_DRAW} * total AS goal, total, n FROM customer, t WHERE c_custkey < n)
+    d AS (SELECT c_custkey AS draw_id, {_DRAW} * total AS goal, total, n FROM customer, t
+        QUALIFY row_number() OVER (ORDER BY c_custkey) <= n)
     SELECT draw_id, event_id, round(p, 6) AS p, round(pow(n * (p / total), -0.4), 6) AS weight
     FROM d ASOF JOIN c ON d.goal <= c.cum
     """,
@@ -76,7 +77,7 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("draw_id"), F.expr(_DRAW).alias("u")
     )
-    picked = sampling.weighted_sample(rows, draws, "event_id", capacity=10**9)
+    picked = sampling.weighted_sample(rows, draws, "event_id")
     return rounded(picked, 6, "p", "weight")
 
 

@@ -114,22 +114,27 @@ def terminal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.states(spark, sf_dir).select("k", S.is_terminal().alias("done"))
 
 
-_RUN_MUL = "SELECT n_name AS entity, 0.7e0 + (n_nationkey % 5) * 0.2e0 AS m FROM nation WHERE n_nationkey % 4 <> 0"
+_RUN_MUL = (
+    "SELECT n_name AS entity, 0.7e0 + (n_nationkey % 5) * 0.2e0 AS mb, 0.8e0 + (n_nationkey % 3) * 0.3e0 AS mi, "
+    "0.5e0 + (n_nationkey % 7) * 0.1e0 AS mn FROM nation WHERE n_nationkey % 4 <> 0"
+)
 
 
 @query(
     "run_parameters",
     f"""
-    SELECT k, round(0.25 * coalesce(m, 1) * (1 + density / 500 * 0.3) * (2 - healthcare * 0.8), 9) AS beta,
-    round(0.008 * coalesce(m, 1) * (1 + elderly * 2) * (2.5 - healthcare * 1.5), 9) AS ifr,
-    round(0.05 * coalesce(m, 1) * (1 + (1 - resilience) * 0.8), 9) AS env_noise
+    SELECT k, round(0.25 * coalesce(mb, 1) * (1 + density / 500 * 0.3) * (2 - healthcare * 0.8), 9) AS beta,
+    round(0.008 * coalesce(mi, 1) * (1 + elderly * 2) * (2.5 - healthcare * 1.5), 9) AS ifr,
+    round(0.05 * coalesce(mn, 1) * (1 + (1 - resilience) * 0.8), 9) AS env_noise
     FROM ({V.STATE_PROFILE_SQL}) p LEFT JOIN ({_RUN_MUL}) x ON x.entity = p.entity
     """,
 )
 def run_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.expr("0.7e0 + (n_nationkey % 5) * 0.2e0")
     mul = table(spark, sf_dir, "nation").filter("n_nationkey % 4 <> 0").select(
-        F.col("n_name").alias("entity"), m.alias("run_beta"), m.alias("run_ifr"), m.alias("run_noise")
+        F.col("n_name").alias("entity"),
+        F.expr("0.7e0 + (n_nationkey % 5) * 0.2e0").alias("run_beta"),
+        F.expr("0.8e0 + (n_nationkey % 3) * 0.3e0").alias("run_ifr"),
+        F.expr("0.5e0 + (n_nationkey % 7) * 0.1e0").alias("run_noise"),
     )
     rows = V.states_with_profile(spark, sf_dir).join(mul, "entity", "left")
     out = scoring.run_parameters(rows, 0.25).select("k", "beta", "ifr", "env_noise")
@@ -351,23 +356,30 @@ def action_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------- array columns
-_Q_SQL = """
-    SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS q, CAST(embedding[9:16] AS DOUBLE[]) AS q_next,
-    CAST(embedding[17:24] AS DOUBLE[]) AS q_target, label % 8 AS a, CAST(embedding[1] AS DOUBLE) * 20 AS r,
-    vec_id % 7 = 0 AS done FROM embeddings
+# each embedding is cut into eight vectors of eight; the next two are its successors, around the end
+_CUT = "CAST(embedding[8 * {0} + 1:8 * {0} + 8] AS DOUBLE[])"
+_Q_SQL = f"""
+    SELECT vec_id * 8 + pos AS vec_id, {_CUT.format('pos')} AS q, {_CUT.format('((pos + 1) % 8)')} AS q_next,
+    {_CUT.format('((pos + 2) % 8)')} AS q_target, (label + CAST(pos AS INTEGER)) % 8 AS a,
+    CAST(embedding[8 * pos + 1] AS DOUBLE) * 20 AS r, (vec_id + pos) % 7 = 0 AS done
+    FROM embeddings, range(8) p(pos)
 """
 
 
 def _q_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = lambda start: F.slice("embedding", start, 8).cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id",
-        part(1).alias("q"),
-        part(9).alias("q_next"),
-        part(17).alias("q_target"),
-        (F.col("label") % 8).alias("a"),
-        (F.col("embedding")[0].cast("double") * 20).alias("r"),
-        (F.col("vec_id") % 7 == 0).alias("done"),
+    """Eight vectors of eight from each embedding, each with the two after it."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", "label", F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("pos")
+    )
+    part = lambda k: F.slice("embedding", (F.col("pos") + k) % 8 * 8 + 1, F.lit(8)).cast("array<double>")
+    return rows.select(
+        (F.col("vec_id") * 8 + F.col("pos")).alias("vec_id"),
+        part(0).alias("q"),
+        part(1).alias("q_next"),
+        part(2).alias("q_target"),
+        ((F.col("label") + F.col("pos")) % 8).alias("a"),
+        (F.element_at("embedding", F.col("pos") * 8 + 1).cast("double") * 20).alias("r"),
+        ((F.col("vec_id") + F.col("pos")) % 7 == 0).alias("done"),
     )
 
 
@@ -434,6 +446,28 @@ def score_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(_q_rows(spark, sf_dir).select("vec_id", scores.alias("y")), "y")
 
 
+_FEATURES = (
+    "[s / n, i / n, r / n, d / n, v / n, i / greatest(1, hosp_cap), CAST(t AS DOUBLE) / greatest(1, t_max)]"
+)
+
+
+@query(
+    "greedy_actions",
+    f"""
+    WITH f AS (SELECT k, {_FEATURES} AS q FROM (SELECT *, greatest(1, s + i + r + d) AS n FROM ({V.STATE_SQL}))),
+    a AS (SELECT k, {_sql_layer('q', HIDDEN, 7, 0, True)} AS h FROM f),
+    c AS (SELECT k, {_sql_layer('h', 8, HIDDEN, 2, False)} AS y FROM a)
+    SELECT k, CAST(list_position(y, list_max(y)) - 1 AS INTEGER) AS action, round(list_max(y), 6) AS qmax FROM c
+    """,
+)
+def greedy_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every state's features, their scores, and the action of the highest score."""
+    layers = [_layer(HIDDEN, 7, 0), _layer(8, HIDDEN, 2)]
+    scores = V.states(spark, sf_dir).select("k", vectors.score_dense(S.state_features(), layers).alias("y"))
+    picked = scores.select("k", vectors.argmax(F.col("y")).alias("action"), F.array_max("y").alias("qmax"))
+    return rounded(picked, 6, "qmax")
+
+
 # -------------------------------------------------------------- state checks
 @query(
     "check_state",

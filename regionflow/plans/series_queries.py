@@ -12,6 +12,7 @@ from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded
 from regionflow.sources.tables import rows_to_df
 
+#: Days that a report covers, counted from an entity's first day; later days are not in it.
 HORIZON = 40
 THRESH = 400.0
 
@@ -40,15 +41,18 @@ def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT p.entity, CAST(coalesce(min(CASE WHEN value / greatest(1, pop) >= 0.05 THEN t END), count(*)) AS INTEGER)
           AS arrival_n, round(max(value / greatest(1, pop)), 6) AS peak_n
           FROM p JOIN n ON n.entity = p.entity GROUP BY p.entity)
-    SELECT m.entity, arrival, peak, final, arrival_n, peak_n FROM m JOIN r ON m.entity = r.entity
+    SELECT m.entity, arrival, peak, final, arrival_n, peak_n, {HORIZON} AS days, n_days FROM m JOIN r ON m.entity = r.entity
+    JOIN (SELECT entity, count(*) AS n_days FROM ({V.SERIES_USER_SQL}) GROUP BY entity) d ON d.entity = m.entity
     """,
 )
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rows to padded series to arrival, peak and final, plain and per head."""
+    """Daily rows to padded series to arrival, peak and final, plain and per head, of the first `days` of `n_days` days."""
     report = series.region_metrics(
         _padded_users(spark, sf_dir), _user_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
     )
-    return rounded(rounded(report, 4, "peak", "final"), 6, "peak_n")
+    seen = V.daily(spark, sf_dir, "user_id").groupBy("entity").agg(F.count("*").alias("n_days"))
+    named = report.withColumn("days", F.lit(HORIZON)).join(seen, "entity")
+    return rounded(rounded(named, 4, "peak", "final"), 6, "peak_n")
 
 
 @query(
@@ -56,7 +60,7 @@ def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT entity, CAST(day AS VARCHAR) AS day, round(value, 4) AS value FROM ({V.daily_sql(V.OBS_SQL)})",
 )
 def cleaned_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted daily values, negatives and gaps as 0."""
+    """Sorted daily values, negatives and gaps as 0. The order itself is checked in the tests."""
     obs = series.clean_series(V.observations(spark, sf_dir))
     by_day = obs.groupBy("entity", "day").agg(F.sum("value").alias("value"))
     ordered = series.series_sort(by_day)
@@ -218,7 +222,7 @@ def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "param_grid",
     f"""
-    SELECT CAST(g.grid_pos AS INTEGER) AS grid_pos, g.beta, g.travel, count(*) AS n, round(sum(value), 2) AS total
+    SELECT CAST(g.grid_pos AS INTEGER) AS grid_pos, g.beta, g.travel, count(*) AS n, round(sum(value), 6) AS total
     FROM ({V.TRAJECTORY_SQL}) t JOIN ({V.GRID_SQL}) g ON g.beta = t.beta AND g.travel = t.travel GROUP BY 1, 2, 3
     """,
 )
@@ -228,7 +232,7 @@ def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"), F.sum("value").alias("total")
     )
     grid = calibrate.param_grid(spark)
-    return rounded(grid.join(runs, ["beta", "travel"]), 2, "total")
+    return rounded(grid.join(runs, ["beta", "travel"]), 6, "total")
 
 
 _PIVOT = ", ".join(
@@ -277,15 +281,16 @@ def epoch_entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     SELECT step, round(avg(reward), 6) AS mean, round(var_pop(reward), 6) AS variance,
     round(stddev_pop(reward), 6) AS std, round(max(reward) - min(reward), 6) AS range,
-    CASE WHEN abs(avg(reward)) > 1e-9 THEN round(stddev_pop(reward) / abs(avg(reward)), 4) END AS cv
+    CASE WHEN sum(CAST(reward AS DECIMAL(18, 4))) <> 0 THEN round(stddev_pop(reward) / abs(avg(reward)), 4) ELSE 0 END AS cv
     FROM ({V.LINE_SQL}) GROUP BY step
     """,
 )
 def reward_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewards here can cancel to a mean of a last digit; that cv is left out."""
-    rows = summary.reward_spread(V.line_steps(spark, sf_dir))
-    shown = rows.withColumn("cv", F.when(F.abs("mean") > 1e-9, F.round("cv", 4)))
-    return rounded(shown, 6, "mean", "variance", "std", "range")
+    """Rewards are taken as decimals, so a mean of 0 is 0 and its variation too."""
+    lines = V.line_steps(spark, sf_dir).withColumn("reward", F.col("reward").cast("decimal(18,4)"))
+    rows = summary.reward_spread(lines)
+    shown = rows.withColumn("range", F.col("range").cast("double"))
+    return rounded(rounded(shown, 6, "mean", "variance", "std", "range"), 4, "cv")
 
 
 @query(
@@ -319,14 +324,14 @@ def world_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "linear_decay",
     f"""
-    SELECT epoch, count(*) AS n, round(sum(1.0 + (0.1 - 1.0) * least(1.0, step / 10000.0)), 4) AS eps_total
+    SELECT epoch, count(*) AS n, round(sum(1.0 + (0.1 - 1.0) * least(1.0, step / 10000.0)), 6) AS eps_total
     FROM ({V.LINE_SQL}) GROUP BY epoch
     """,
 )
 def linear_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.line_steps(spark, sf_dir).withColumn("x", S.linear_decay(F.col("step"), decay=10_000))
     totals = rows.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("x").alias("eps_total"))
-    return rounded(totals, 4, "eps_total")
+    return rounded(totals, 6, "eps_total")
 
 
 @query("downsample_every", f"SELECT step, count(*) AS n FROM ({V.LINE_SQL}) WHERE step % 50 = 0 GROUP BY step")
@@ -412,10 +417,34 @@ _LAST = f"SELECT run, step, key, arg_max(value, seq) AS value FROM ({V.METRIC_SQ
     + f" FROM ({_LAST}) GROUP BY run, step",
 )
 def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.metrics_wide(V.metric_log(spark, sf_dir), V.METRIC_KEYS, ["run", "step"])
+    log = V.metric_log(spark, sf_dir)
+    return reshape.metrics_wide(log, reshape.log_keys(log), ["run", "step"])
 
 
 @query("metrics_long", _LAST)
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = reshape.metrics_wide(V.metric_log(spark, sf_dir), V.METRIC_KEYS, ["run", "step"])
+    log = V.metric_log(spark, sf_dir)
+    wide = reshape.metrics_wide(log, reshape.log_keys(log), ["run", "step"])
     return reshape.metrics_long(wide, ["run", "step"])
+
+
+_NAMED = f"""
+    n AS (SELECT epoch, entity, reward, i / greatest(s, 1) AS rate FROM ({V.STEP_SQL}))
+    SELECT epoch, 'toy_rew_' || entity AS key, round(avg(reward), 6) AS value FROM n GROUP BY epoch, entity
+    UNION ALL SELECT epoch, entity || '_infection_rate', round(max(rate), 6) FROM n GROUP BY epoch, entity
+    UNION ALL SELECT epoch, 'reward_mean', round(avg(reward), 6) FROM n GROUP BY epoch
+    UNION ALL SELECT epoch, 'reward_range', round(max(reward) - min(reward), 6) FROM n GROUP BY epoch
+"""
+
+
+@query("entity_metric_log", f"WITH {_NAMED}")
+def entity_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows of an epoch: a key per entity and metric, and keys over all entities."""
+    rows = V.steps(spark, sf_dir).withColumn("rate", F.col("i") / F.greatest(F.col("s"), F.lit(1.0)))
+    by_entity = rows.groupBy("epoch", "entity").agg(F.avg("reward").alias("reward"), F.max("rate").alias("rate"))
+    spread = summary.reward_spread(rows, ["epoch"])
+    own = reshape.entity_keys(by_entity, {"reward": "toy_rew_{}", "rate": "{}_infection_rate"}, ["epoch"])
+    whole = reshape.metrics_long(
+        spread.select("epoch", F.col("mean").alias("reward_mean"), F.col("range").alias("reward_range")), ["epoch"]
+    )
+    return rounded(own.unionByName(whole), 6, "value")

@@ -11,6 +11,7 @@ from regionflow.operators.summary import epoch_entity_summary
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded, table
 from regionflow.plans.series_queries import EPOCH_ENTITY_SQL, SURFACE_SQL, surface
+from regionflow.operators import calibrate
 from regionflow.session import fresh_path
 from regionflow.sources import metric_log, observations, tables
 
@@ -86,6 +87,34 @@ def observed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(targets, 4, "peak")
 
 
+_CALIBRATED = f"""
+    WITH s AS ({V.SERIES_SQL}), p AS (SELECT n.entity, t.t, coalesce(s.value, 0) AS value
+        FROM {_NAMES} CROSS JOIN range(35) t(t) LEFT JOIN s ON s.entity = n.location AND s.t = t.t),
+    goal AS (SELECT entity, coalesce(min(CASE WHEN value >= 4000 THEN t END), count(*)) AS t_arrive, max(value) AS peak
+        FROM p GROUP BY entity),
+    m AS (SELECT beta, travel, CASE entity WHEN 'view' THEN 'Views' WHEN 'click' THEN 'Clicks' ELSE entity END AS entity,
+        coalesce(min(CASE WHEN value >= 4000 THEN t END), count(*)) AS arrival, max(value) AS peak
+        FROM ({V.TRAJECTORY_SQL}) GROUP BY 1, 2, 3),
+    r AS (SELECT beta, travel, arrival - coalesce(g.t_arrive, arrival) AS a, m.peak - coalesce(g.peak, m.peak) AS b
+        FROM m LEFT JOIN goal g ON g.entity = m.entity),
+    surface AS (SELECT beta, travel, 0.5 * sqrt(avg(a * a)) + 0.5 * sqrt(avg(b * b)) AS loss FROM r GROUP BY beta, travel)
+    SELECT g.beta, g.travel, round(loss, 4) AS loss FROM surface s JOIN ({V.GRID_SQL}) g ON g.beta = s.beta AND g.travel = s.travel
+    ORDER BY s.loss, grid_pos LIMIT 1
+"""
+
+
+@query("calibrate_on_observed", _CALIBRATED)
+def calibrate_on_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations file to targets, the grid's runs against them, and the best cell."""
+    aliases = tables.rows_to_df(spark, _ALIASES, "entity STRING, location STRING")
+    obs = observations.read_observations(spark, _one_a_day(spark, sf_dir))
+    goals = observations.observed_targets(observations.observed_series(obs, aliases, 35), 4000.0)
+    names = F.when(F.col("entity") == "view", "Views").when(F.col("entity") == "click", "Clicks").otherwise(F.col("entity"))
+    runs = V.trajectories(spark, sf_dir).withColumn("entity", names)
+    losses = calibrate.loss_surface(runs, goals, thresh=4000.0)
+    return rounded(calibrate.best_cell(losses, calibrate.param_grid(spark)), 4, "loss")
+
+
 @query("targets_or_default", f"SELECT entity, t_arrive, round(peak, 4) AS peak FROM ({V.TARGET_SQL})")
 def targets_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file is missing, so the default targets are used as a whole."""
@@ -169,7 +198,7 @@ def append_metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "total")
 
 
-LOG_LINES = 2500
+LOGS = 32
 _RAGGED = """
     CASE WHEN event_id % 5 = 4 THEN concat_ws(',', event_id + 1000000, value, event_id % 50, 0.5, user_id)
          WHEN event_id % 5 = 3 THEN concat_ws(',', event_id + 1000000, event_id % 8, value)
@@ -178,13 +207,13 @@ _RAGGED = """
 
 
 def _write_ragged(spark: SparkSession, sf_dir: str) -> str:
-    """Events as headerless logs of three line shapes, one file per 2,500 lines."""
+    """Events as a fixed number of headerless logs of three line shapes, one file each."""
     path = fresh_path(spark, "ragged")
     lines = table(spark, sf_dir, "events").select(
-        F.floor(F.col("event_id") / LOG_LINES).alias("log"), "event_id", F.expr(_RAGGED).alias("line")
+        (F.col("user_id") % LOGS).alias("log"), "event_id", F.expr(_RAGGED).alias("line")
     )
     (
-        lines.repartition("log")
+        lines.repartition(LOGS, "log")
         .sortWithinPartitions("log", "event_id")
         .select("log", "line")
         .write.partitionBy("log")
@@ -217,7 +246,7 @@ def read_ragged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "run_ids",
     f"SELECT event_id + 1000000 AS ts_ms, CAST(sum(CASE WHEN event_id % 5 < 3 AND event_id % 100 = 0 THEN 1 ELSE 0 END) "
-    f"OVER (PARTITION BY event_id // {LOG_LINES} ORDER BY event_id) AS BIGINT) AS run FROM events",
+    f"OVER (PARTITION BY user_id % {LOGS} ORDER BY event_id) AS BIGINT) AS run FROM events",
 )
 def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = metric_log.read_ragged_lines(spark, _write_ragged(spark, sf_dir))

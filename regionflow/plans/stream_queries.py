@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +15,8 @@ from regionflow.streaming import snapshots
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as snapshot rows (country, ts, t, i)."""
     events = table(spark, sf_dir, "events")
-    # as a pattern, the path may be one file or a folder of parts
-    source = snapshots.read_snapshot_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
+    # a pattern of just this name: one file or a folder of parts
+    source = snapshots.read_snapshot_stream(spark, f"{sf_dir}/events.parque[t]", events.schema)
     return source.select(
         F.col("event_type").alias("country"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -33,11 +31,21 @@ def _finish(streaming_query) -> None:
         raise streaming_query.exception()
 
 
-def _complete(spark: SparkSession, results: DataFrame) -> DataFrame:
-    """All groups of an aggregated stream, once its input has been read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    _finish(snapshots.sink_memory(results, name, fresh_path(spark, "checkpoint")))
-    return spark.table(name)
+def _closed(spark: SparkSession, stream: DataFrame, aggregate) -> DataFrame:
+    """All groups of an aggregated stream, as files: a last row far ahead closes every window."""
+    end = fresh_path(spark, "end")
+    last = spark.range(1).select(
+        F.lit(None).cast("string").alias("country"),
+        F.lit("2200-01-01 00:00:00").cast("timestamp").alias("ts"),
+        F.lit(0).cast("int").alias("t"),
+        F.lit(0.0).alias("i"),
+    )
+    last.write.parquet(end)
+    closing = snapshots.read_snapshot_stream(spark, end, last.schema)
+    results = aggregate(stream.unionByName(closing))
+    path = fresh_path(spark, "windows")
+    _finish(snapshots.sink_files(results, path, fresh_path(spark, "checkpoint")))
+    return spark.read.schema(results.schema).parquet(path).filter(F.col("country").isNotNull())
 
 
 _T = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
@@ -96,9 +104,9 @@ def stream_archive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven-day windows sliding by a day, over the stream, in complete mode."""
-    results = snapshots.rolling_snapshot_agg(_stream(spark, sf_dir), "7 days", "1 day")
-    out = _complete(spark, results).withColumn("start", F.to_date("start").cast("string"))
+    """Seven-day windows sliding by a day, over the stream, in append mode to files."""
+    rolling = lambda rows: snapshots.rolling_snapshot_agg(rows, "7 days", "1 day", watermark="1 day")
+    out = _closed(spark, _stream(spark, sf_dir), rolling).withColumn("start", F.to_date("start").cast("string"))
     return rounded(rounded(out, 4, "peak", "total"), 9, "mean_value")
 
 
@@ -108,5 +116,6 @@ def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(max(value), 4) AS peak FROM events GROUP BY 1",
 )
 def stream_series_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = snapshots.stream_series_metrics(_stream(spark, sf_dir), thresh=200.0)
-    return rounded(_complete(spark, results), 4, "peak")
+    """Partials per country and day from the stream, in append mode to files, then put together."""
+    partials = lambda rows: snapshots.series_partials(rows, "1 day", thresh=200.0)
+    return rounded(snapshots.merge_partials(_closed(spark, _stream(spark, sf_dir), partials)), 4, "peak")

@@ -6,12 +6,12 @@ checking engine read, so that only the operators differ between the two sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as K
 from regionflow.functions.scalar import clean_value
-from regionflow.operators.skew import first_per_key
+from regionflow.operators.skew import stored
 from regionflow.plans.registry import table
 
 RAW_VALUE = "CASE WHEN event_id % 17 = 0 THEN NULL ELSE value - 50e0 END"
@@ -176,16 +176,22 @@ def daily(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame
     )
 
 
-def series(spark: SparkSession, sf_dir: str, by: str = "event_type", n: int = 500) -> DataFrame:
-    """The first n days of every entity, by position."""
-    ranked = first_per_key(daily(spark, sf_dir, by), ["entity"], ["day"], n, "rn")
-    return ranked.select("entity", (F.col("rn") - 1).alias("t"), "value")
+def series(spark: SparkSession, sf_dir: str, by: str = "event_type") -> DataFrame:
+    """All days of every entity, numbered from 0."""
+    place = F.row_number().over(Window.partitionBy("entity").orderBy("day")) - 1
+    return daily(spark, sf_dir, by).select("entity", place.alias("t"), "value")
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = (
-        table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"))
-    )
+def nation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers per pair of nations they record (a, b, c), loops included: one pass over customer, written once."""
+    b = F.expr("CAST((c_custkey * 7 + 3) % 25 AS INT)").alias("b")
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("a"), b).agg(F.count("*").alias("c"))
+    return stored(counts, "nation-links")
+
+
+def entities(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
+    ends = nation_links(spark, sf_dir) if ends is None else ends
+    customers = ends.groupBy(F.col("a").alias("k")).agg(F.sum("c").alias("c"))
     nation = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("k"))
     pop = (F.lit(1000) * (F.lit(1) + F.coalesce("c", F.lit(0)))).cast("bigint")
     return nation.join(customers, "k", "left").select(
@@ -196,27 +202,23 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
     """Links between nations that customers record, loops included: (a, b, src, dst)."""
     nation = table(spark, sf_dir, "nation")
-    ends = (
-        table(spark, sf_dir, "customer")
-        .select(F.col("c_nationkey").alias("a"), F.expr("CAST((c_custkey * 7 + 3) % 25 AS INT)").alias("b"))
-        .distinct()
-    )
+    ends = (nation_links(spark, sf_dir) if ends is None else ends).select("a", "b")
     src = nation.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("src"))
     dst = nation.select(F.col("n_nationkey").alias("b"), F.col("n_name").alias("dst"))
     return ends.join(src, "a").join(dst, "b")
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).select("src", "dst")
+def links(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
+    return _linked(spark, sf_dir, ends).select("src", "dst")
 
 
-def pair_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_multipliers(spark: SparkSession, sf_dir: str, ends: DataFrame | None = None) -> DataFrame:
     """Multipliers of the linked pairs whose key sum is divisible by 3."""
     mul = F.expr("1e0 + ((7 * a + 3 * b) % 5) / 10e0").alias("mul")
-    return _linked(spark, sf_dir).filter("(a + b) % 3 = 0").select("src", "dst", mul)
+    return _linked(spark, sf_dir, ends).filter("(a + b) % 3 = 0").select("src", "dst", mul)
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import sys
 import tempfile
 import uuid
 
@@ -62,6 +64,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_FOLDERS: dict[str, tuple[SparkSession, str]] = {}
+
+
+def working_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the program ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = spark, os.path.join(shared_dir(spark), f"regionflow-{uuid.uuid4().hex}")
+        atexit.register(release, spark, app)
+    return _FOLDERS[app][1]
+
+
+def release(spark: SparkSession, app: str | None = None) -> None:
+    """Deletes what this application wrote to the shared folder; tables read from it are gone then."""
+    _, folder = _FOLDERS.pop(app or spark.sparkContext.applicationId, (None, None))
+    if folder is not None:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception as error:  # noqa: BLE001 - the JVM may be gone already
+            print(f"{folder} could not be deleted: {type(error).__name__}", file=sys.stderr)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(working_folder(spark), f"{name}-{uuid.uuid4().hex}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,14 @@ from regionflow.operators.series import (
 )
 
 
+COLUMNS = ("location", "date", "new_cases")
+NO_SOURCE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+class MissingColumn(ValueError):
+    """The source lacks a column that observations need."""
+
+
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """Location, date and new cases from a CSV with a header.
 
@@ -24,6 +32,9 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     values that do not parse become null.
     """
     raw = spark.read.option("header", True).csv(path)
+    missing = [c for c in COLUMNS if c not in raw.columns]
+    if missing:
+        raise MissingColumn(f"{path} has no column {', '.join(missing)}")
     return raw.select(
         "location",
         F.col("date").try_cast("date").alias("date"),
@@ -47,12 +58,15 @@ def observed_targets(series: DataFrame, thresh: float = 10.0) -> DataFrame:
 def targets_or_default(observed: Callable[[], DataFrame], defaults: DataFrame) -> DataFrame:
     """Observed targets, or `defaults` as a whole when the source cannot be read.
 
-    Only the planning is tried: a missing path or column selects the defaults,
-    while a task that fails later still fails the job.
+    Only the planning is tried, and only a missing path or a source without one
+    of its columns selects the defaults; any other error is raised, and a task
+    that fails later still fails the job.
     """
     try:
         table = observed()
         table.schema  # noqa: B018 - resolves the plan
         return table
-    except PySparkException:
-        return defaults
+    except (AnalysisException, MissingColumn) as error:
+        if isinstance(error, MissingColumn) or error.getCondition() in NO_SOURCE:
+            return defaults
+        raise

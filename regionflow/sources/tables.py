@@ -70,8 +70,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def write_csv_single(df: DataFrame, path: str) -> None:
-    """One CSV file with a header: for summaries, as one task writes it."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header: for summaries, as one task writes it.
+
+    The rows are shuffled into that task, so what makes them stays spread out.
+    """
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_both(df: DataFrame, parquet_path: str, csv_path: str) -> None:

@@ -83,6 +83,32 @@ def stream_series_metrics(
     )
 
 
+def series_partials(
+    stream: DataFrame, watermark: str, key: str = "country", t: str = "t", value: str = "i",
+    ts: str = "ts", thresh: float = 10.0,
+) -> DataFrame:
+    """First hit, count and peak per country and day, for append mode; `merge_partials` puts them together."""
+    hit = (F.col(value) >= F.lit(thresh)) & ~F.isnan(value)
+    return (
+        stream.withWatermark(ts, watermark)
+        .groupBy(F.window(ts, "1 day").alias("window"), key)
+        .agg(
+            F.min(F.when(hit, F.col(t).cast("bigint"))).alias("first_hit"),
+            F.count("*").alias("n"),
+            F.max(value).alias("peak"),
+        )
+        .select(F.col("window.start").alias("start"), key, "first_hit", "n", "peak")
+    )
+
+
+def merge_partials(partials: DataFrame, key: str = "country") -> DataFrame:
+    """Arrival and peak per country, as `stream_series_metrics` has them, from the partials of all days."""
+    return partials.groupBy(key).agg(
+        F.coalesce(F.min("first_hit"), F.sum("n")).cast("int").alias("arrival"),
+        F.coalesce(F.max("peak"), F.lit(0.0)).alias("peak"),
+    )
+
+
 def sink_files(
     stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", available_now: bool = True
 ) -> StreamingQuery:

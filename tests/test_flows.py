@@ -138,3 +138,21 @@ def test_entity_without_edges_stays(table):
     edges = table([("a", "b", 0.5, 1), ("a", "a", 9.0, 0)], "src STRING, dst STRING, w DOUBLE, idx INT")
     after = {r["entity"]: (r["s"], r["i"]) for r in flows.flow_step(states, edges, 9).collect()}
     assert after == {"a": (5.0, 1.0), "b": (15.0, 1.0)}
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0, 2])
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e21])
+def test_shares_do_not_depend_on_scale_or_group_size(table, scale, hot_rows):
+    weights = {1: [1, 2, 3, 4, 5, 6], 2: [1] * 7, None: [3, 3, 1], 3: [0, 0]}
+    rows = [(g, n, 10, 10, w * scale) for g, ws in weights.items() for n, w in enumerate(ws)]
+    got: dict = {}
+    for r in apportion(table(rows, SCHEMA), ["g"], {"total": "share"}, hot_rows=hot_rows).orderBy("idx").collect():
+        got.setdefault(r["g"], []).append(r["share"])
+    assert got == {1: [1, 1, 1, 2, 2, 3], 2: [2, 2, 2, 1, 1, 1, 1], None: [4, 4, 2], 3: [0, 0]}
+
+
+def test_edges_without_a_source_are_kept(table):
+    edges = table([("a", "b", 2.0), (None, "b", 4.0), (None, "c", 4.0)], "src STRING, dst STRING, w DOUBLE")
+    got = {(r["src"], r["dst"]): r["w"] for r in network.normalize_outbound(edges, 1.0).collect()}
+    assert got == {("a", "b"): 1.0, (None, "b"): 0.5, (None, "c"): 0.5}
+    assert {r["w"] for r in network.cap_rows(edges, 4.0).collect()} == {2.0}

@@ -48,42 +48,64 @@ def test_sample_n_of_a_big_table(spark):
     assert got.count() == 70_001 and got.distinct().count() == 70_001
 
 
-@pytest.mark.parametrize("fanout,capacity", [(3, 243), (10, 1000), (1000, 1000)])
-def test_weighted_sample_against_a_scan(table, fanout, capacity):
+@pytest.mark.parametrize("fanout", [3, 10, 1000])
+@pytest.mark.parametrize("stride", [1, 3_000_000_000])
+def test_weighted_sample_against_a_scan(table, fanout, stride):
     rng = random.Random(8)
     tds = [rng.uniform(-3, 3) if n != 40 else 900.0 for n in range(90)] + [0.0] * 10
     draws = [(d, rng.random()) for d in range(95)] + [(95, 0.0), (96, 1.0), (150, 0.5)]
     got = sampling.weighted_sample(
-        table(list(enumerate(tds)), "id BIGINT, td DOUBLE"), table(draws, "draw_id BIGINT, u DOUBLE"),
-        capacity=capacity, fanout=fanout,
+        table([(n * stride, x) for n, x in enumerate(tds)], "id BIGINT, td DOUBLE"),
+        table(draws, "draw_id BIGINT, u DOUBLE"),
+        fanout=fanout,
     )
     found = {r["draw_id"]: r for r in got.collect()}
     prio = [(abs(x) + 1e-6) ** 0.6 for x in tds]
     total = sum(prio)
-    assert set(found) == set(range(97))
-    for d, u in draws[:-1]:
+    assert set(found) == {d for d, _ in draws}
+    for d, u in draws:
         acc, picked = 0.0, len(prio) - 1
         for n, p in enumerate(prio):
             acc += p
             if acc >= u * total * (1 - 1e-12):
                 picked = n
                 break
-        assert found[d]["id"] == picked
+        assert found[d]["id"] == picked * stride
         assert found[d]["weight"] == pytest.approx((len(prio) * prio[picked] / total) ** -0.4)
 
 
 def test_tiny_priorities_fall_back_to_the_first_row(table):
     rows = table([(0, 0.0), (1, 0.0)], "id BIGINT, td DOUBLE")
     draws = table([(0, 0.9), (1, 0.0)], "draw_id BIGINT, u DOUBLE")
-    got = sampling.weighted_sample(rows, draws, alpha=3.0, capacity=100)
+    got = sampling.weighted_sample(rows, draws, alpha=3.0)
     assert {r["id"] for r in got.collect()} == {0}
 
 
-def test_slot_outside_the_capacity_is_an_error(table):
-    rows = table([(0, 1.0), (100, 1.0)], "id BIGINT, td DOUBLE")
+def test_draws_are_limited_by_count_not_by_id(table):
+    rows = table([(n, 1.0) for n in range(3)], "id BIGINT, td DOUBLE")
+    draws = table([(d, 0.5) for d in (7, 100, 3, 2_000_000_000, 50)], "draw_id BIGINT, u DOUBLE")
+    assert {r["draw_id"] for r in sampling.weighted_sample(rows, draws).collect()} == {3, 7, 50}
+
+
+@pytest.mark.parametrize("bad", [-1, None])
+def test_bad_slots_are_an_error(table, bad):
+    rows = table([(0, 1.0), (bad, 1.0)], "id BIGINT, td DOUBLE")
     draws = table([(0, 0.5)], "draw_id BIGINT, u DOUBLE")
-    with pytest.raises(Exception, match="outside the capacity"):
-        sampling.weighted_sample(rows, draws, capacity=100).collect()
+    with pytest.raises(Exception, match="missing or negative"):
+        sampling.weighted_sample(rows, draws).collect()
+
+
+def test_no_rows_serve_no_draws(table):
+    draws = table([(0, 0.5)], "draw_id BIGINT, u DOUBLE")
+    assert sampling.weighted_sample(table([], "id BIGINT, td DOUBLE"), draws).count() == 0
+
+
+def test_null_keys_and_slots_are_kept(table):
+    rows = table([("a", 1), ("a", 2), (None, 3), (None, 4), (None, None), ("b", None)], "k STRING, seq INT")
+    got = sorted((r["k"] or "", r["seq"] or 0) for r in sampling.keep_last_n(rows, 2, "seq", ["k"], 1).collect())
+    assert got == [("", 3), ("", 4), ("a", 1), ("a", 2), ("b", 0)]
+    assert sampling.keep_last_n(rows, 6, "seq", chunk=1).count() == 6
+    assert {r["seq"] for r in sampling.keep_last_n(rows, 3, "seq", chunk=1).collect()} == {2, 3, 4}
 
 
 def test_last_priority_wins(table):

@@ -149,3 +149,42 @@ def test_last_write_wins(table):
     assert sorted(tuple(r) for r in wide.collect()) == [(1, 2.0, 3.0, None), (2, None, None, 9.0)]
     long = reshape.metrics_long(wide, ["step"])
     assert sorted(tuple(r) for r in long.collect()) == [(1, "a", 2.0), (1, "b", 3.0), (2, "c", 9.0)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, None])
+def test_null_keys_and_steps_are_averaged_too(table, chunk):
+    rows = [(None, 1, 4.0), (None, 2, 8.0), ("a", 1, 2.0), ("a", None, 6.0)]
+    got = {(r["entity"], r["step"]): r["ema"] for r in summary.ema(table(rows, ROWS), alpha=0.5, chunk=chunk).collect()}
+    assert got == {(None, 1): 2.0, (None, 2): 5.0, ("a", None): 3.0, ("a", 1): 2.5}
+    losses = table([(None, 0, 1.0), (None, 1, 3.0), (1, None, 5.0), (1, 0, 7.0)], "epoch INT, t INT, loss DOUBLE")
+    means = {(r["epoch"], r["t"]): r["running_mean"] for r in summary.running_mean(losses, chunk=1).collect()}
+    assert means == {(None, 0): 1.0, (None, 1): 2.0, (1, None): 5.0, (1, 0): 12.0}
+
+
+def test_ema_over_many_blocks_of_chunks(table, monkeypatch):
+    monkeypatch.setattr(summary, "BLOCK", 4)
+    rng = random.Random(3)
+    data = [rng.random() for _ in range(200)]
+    got = summary.ema(table([("a", n, x) for n, x in enumerate(data)], ROWS), chunk=3).orderBy("step").collect()
+    assert [r["ema"] for r in got] == pytest.approx(loop(data, 0.2))
+
+
+def test_variation_of_a_zero_mean_is_zero(table):
+    rows = table([("a", 1, 0.1), ("b", 1, 0.2), ("c", 1, -0.3)], ROWS)
+    exact = summary.reward_spread(rows.withColumn("reward", F.col("reward").cast("decimal(18,4)"))).first()
+    assert (exact["mean"], exact["cv"]) == (0.0, 0.0)
+
+
+def test_unlisted_keys_and_travels_are_errors(table):
+    log = table([(1, "a", 1.0, 0), (1, "b", 2.0, 1)], "step INT, key STRING, value DOUBLE, seq INT")
+    assert reshape.log_keys(log) == ["a", "b"]
+    with pytest.raises(Exception, match="unlisted key b"):
+        reshape.metrics_wide(log, ["a"]).collect()
+    surface = table([(0.2, 0.5, 1.0), (0.2, 0.6, 2.0)], "beta DOUBLE, travel DOUBLE, loss DOUBLE")
+    with pytest.raises(Exception, match="unlisted travel 0.6"):
+        reshape.surface_pivot(surface, [0.5]).collect()
+
+
+def test_entity_keys(table):
+    got = reshape.entity_keys(table([("a", 3, 1.5), ("b", 3, None)], ROWS), {"reward": "toy_rew_{}"}).collect()
+    assert [(r["step"], r["key"], r["value"]) for r in got] == [(3, "toy_rew_a", 1.5)]
