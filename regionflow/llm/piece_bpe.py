@@ -7,18 +7,18 @@ an Aho-Corasick automaton names the pieces that end at a position, and exactly
 one of them goes with the last piece of the prefix before it (both stay apart
 when merged by themselves). Read backwards from the end, the table gives the ids.
 
-Chunks are learnt in sorted order: what they share with the one before, the
-automaton's states included, is in the table already.
+The different chunks of many texts are worked on side by side, those of one
+length together: one step fills the table for a position of all of them.
 
 Pieces never reach over a space mark that follows other characters, nor over a
-character that is in no piece, so texts are encoded chunk by chunk and frequent
-chunks are looked up. Texts are read whole, and no row meets another one.
+character that is in no piece, so texts are encoded chunk by chunk, each different
+chunk once. Texts are read whole, and no row meets another one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -30,13 +30,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks kept for reuse in each of two generations, and the longest one kept.
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 48
-#: Steps of the table kept for reuse.
-MOST_STEPS = 1_000_000
-START = (0, (-1,))
+#: Characters that the table of states has columns for, and the longest chunk worked on by numpy.
+CLASSES, LONGEST = 160, 32
+#: Slots of the table of pairs that were tried out; half of them are filled at most.
+PAIR_SLOTS = 1 << 21
 #: Bytes of text encoded in one go.
-STEP = 4 << 20
+STEP = 8 << 20
 
 
 def read_model(path: str) -> dict:
@@ -69,7 +68,7 @@ def read_model(path: str) -> dict:
 
 
 #: Texts that are not cut at single spaces alone.
-_ODD = rf"^$|^ |  |[{SPACE}\x00\x01]"
+_ODD = rf"^$|^ |  |[{SPACE}\x00]"
 
 
 class Automaton:
@@ -77,7 +76,6 @@ class Automaton:
 
     def __init__(self, pieces: list[str]):
         self.next: list[dict[str, int]] = [{}]
-        self.depth = [0]
         ending: list[int] = [-1]
         for number, piece in enumerate(pieces):
             state = 0
@@ -85,22 +83,21 @@ class Automaton:
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
                     self.next.append({})
-                    self.depth.append(self.depth[state] + 1)
                     ending.append(-1)
                 state = self.next[state][c]
             ending[state] = number
-        #: For each state the pieces that end there, longest first, as (length, piece), and the lengths of all that may go on.
+        #: For each state the pieces that end there, longest first, as (length, piece).
         self.found: list[tuple] = [()] * len(self.next)
-        self.open: list[tuple[int, ...]] = [(0,)] * len(self.next)
         self.back = [0] * len(self.next)
+        self.order: list[int] = []  # by depth
         queue = deque([0])
         while queue:
             state = queue.popleft()
+            self.order.append(state)
             for c, child in self.next[state].items():
                 self.back[child] = self.move(self.back[state], c) if state else 0
                 own = ((len(pieces[ending[child]]), ending[child]),) if ending[child] >= 0 else ()
                 self.found[child] = own + self.found[self.back[child]]
-                self.open[child] = (self.depth[child], *self.open[self.back[child]])
                 queue.append(child)
 
     def move(self, state: int, c: str) -> int:
@@ -109,6 +106,55 @@ class Automaton:
         return self.next[state].get(c, 0)
 
 
+class Pairs:
+    """Which units stay apart side by side: an open hash table that numpy reads, filled by trying pairs out."""
+
+    def __init__(self, try_out):
+        self.try_out = try_out
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.full(PAIR_SLOTS, -1, np.int64)
+        self.apart = np.zeros(PAIR_SLOTS, bool)
+        self.known: dict[int, bool] = {}
+
+    def one(self, key: int) -> bool:
+        found = self.known.get(key)
+        return self.add(key) if found is None else found
+
+    def add(self, key: int) -> bool:
+        if len(self.known) >= PAIR_SLOTS // 2:
+            self.clear()
+        found = self.known[key] = self.try_out(key)
+        slot = int(self.slots(np.array([key]))[0])
+        while self.keys[slot] >= 0:
+            slot = (slot + 1) % PAIR_SLOTS
+        self.keys[slot], self.apart[slot] = key, found
+        return found
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - (PAIR_SLOTS.bit_length() - 1))).astype(np.int64)
+
+    def many(self, keys: np.ndarray) -> np.ndarray:
+        slots = self.slots(keys)
+        held = self.keys[slots]
+        out = self.apart[slots]
+        open_ = np.flatnonzero(held != keys)
+        while len(open_):
+            new = open_[held[open_] < 0]
+            if len(new):
+                own, back = np.unique(keys[new], return_inverse=True)
+                out[new] = np.array([self.one(k) for k in own.tolist()])[back]
+                open_ = open_[held[open_] >= 0]
+            slots[open_] = (slots[open_] + 1) % PAIR_SLOTS
+            held[open_] = self.keys[slots[open_]]
+            out[open_] = self.apart[slots[open_]]
+            open_ = open_[held[open_] != keys[open_]]
+        return out
+
+
 class Codec:
     """Encoder and decoder of one model; one per Python worker."""
 
@@ -148,17 +194,31 @@ class Codec:
         self.automaton = Automaton(self.units)
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.plain = "\n" not in self.alphabet
-        self.apart: dict[tuple[int, int], bool] = {}
-        #: Packed ids by chunk, those met lately and those met before.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        #: What can still matter of a prefix, and the steps from one to the next by a character.
-        self.contexts: list[tuple[int, tuple[int, ...]]] = [START]
-        self.numbers = {START: 0}
-        self.steps: dict[tuple[int, str], tuple[int, bytes, int]] = {}
+        self.pairs = Pairs(self.try_out)
+        self.unit_ids = np.array([ids.get(u, -1) for u in self.units], np.int64)
+        self._tables(ids)
+
+    def _tables(self, ids: dict[str, int]) -> None:
+        """The automaton as arrays, for the characters that most pieces hold."""
+        uses = Counter(c for p in ids for c in p)
+        common = [c for c, _ in sorted(uses.items(), key=lambda x: (-x[1], x[0])) if c in ids][: CLASSES - 1]
+        self.class_of = np.zeros(0x110000, np.uint8)
+        self.class_of[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        auto = self.automaton
+        self.moves = np.zeros((len(auto.next), CLASSES), np.int32)
+        number = {c: k + 1 for k, c in enumerate(common)}
+        for state in auto.order:
+            if state:
+                self.moves[state] = self.moves[auto.back[state]]
+            for c, child in auto.next[state].items():
+                if c in number:
+                    self.moves[state, number[c]] = child
+        most = max(map(len, auto.found))
+        self.found_unit = np.full((len(auto.next), most), -1, np.int32)
+        self.found_size = np.ones((len(auto.next), most), np.int32)
+        for state, found in enumerate(auto.found):
+            for k, (size, unit) in enumerate(found):
+                self.found_unit[state, k], self.found_size[state, k] = unit, size
 
     def as_bytes(self, c: str) -> bytes:
         """The packed ids of a character that is no piece."""
@@ -177,90 +237,92 @@ class Codec:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def goes_with(self, a: int, b: int) -> bool:
-        """Whether two units stay as they are side by side; a = -1: whether b stands by itself."""
-        known = self.apart.get((a, b))
-        if known is None:
-            want = [self.units[b]] if a < 0 else [self.units[a], self.units[b]]
-            known = self.apart[a, b] = self.merged("".join(want)) == want
-        return known
-
-    def step(self, context: int, c: str) -> tuple[int, bytes, int]:
-        """The row of the table for a prefix and one more character.
-
-        It holds the context after it, and the last piece's packed ids and
-        length. A context is the automaton's state with, for each beginning of a
-        piece that ends here, the last unit of the prefix before that beginning.
-        """
-        if c not in self.alphabet:
-            row = 0, self.as_bytes(c), 1
-        else:
-            state, lasts = self.contexts[context]
-            left = dict(zip(self.automaton.open[state], lasts, strict=True))
+    def try_out(self, key: int) -> bool:
+        """Whether two units stay as they are side by side; without a left one (0): whether the right one stands by itself."""
+        left, right = divmod(key, len(self.units))
+        want = [self.units[left - 1], self.units[right]] if left else [self.units[right]]
+        return self.merged("".join(want)) == want
+
+    def learn(self, chunk: str) -> bytes:
+        """The packed ids of one chunk, by its own table."""
+        state, last, size = 0, [], []
+        for at, c in enumerate(chunk):
             state = self.automaton.move(state, c)
-            length, unit = next(x for x in self.automaton.found[state] if self.goes_with(left[x[0] - 1], x[1]))
-            left[-1] = unit
-            after = state, tuple([left[n - 1] for n in self.automaton.open[state]])
-            number = self.numbers.setdefault(after, len(self.contexts))
-            if number == len(self.contexts):
-                self.contexts.append(after)
-            row = number, self.packed[unit], length
-        self.steps[context, c] = row
-        return row
-
-    def learn(self, chunks: list[str]) -> Iterator[bytes]:
-        """The packed ids of each chunk. Sorted chunks share the rows of the prefix that they have in common."""
-        steps, table, before = self.steps, [], ""
-        for chunk in chunks:
-            k = 0
-            for x, y in zip(before, chunk, strict=False):
-                if x != y:
+            unit, length = -1, 1  # a character in no piece
+            for length, unit in self.automaton.found[state]:  # noqa: B007
+                left = last[at - length] + 1 if at >= length else 0
+                if self.pairs.one(left * len(self.units) + unit):
                     break
-                k += 1
-            del table[k:]
-            context = table[-1][0] if k else 0
-            for c in chunk[k:]:
-                row = steps.get((context, c)) or self.step(context, c)
-                context = row[0]
-                table.append(row)
-            parts, at = [], len(chunk) - 1
-            while at >= 0:
-                _, packed, length = table[at]
-                parts.append(packed)
-                at -= length
-            parts.reverse()
-            yield b"".join(parts)
-            before = chunk
-
-    @staticmethod
-    def chunk_of(key: str) -> str:
-        """The chunk of a key: a word after a space is named by itself, other chunks after a mark."""
-        if key.startswith(("\0", "\1")):
-            return key[1:]
-        return key if key == "\n" else SPACE + key
-
-    def look_up(self, keys: list[str]) -> list[bytes]:
-        """The packed ids of different chunks; those not met lately are learnt in sorted order."""
-        if len(self.steps) > MOST_STEPS:
-            self.forget()
-        if len(self.young) > MOST_CHUNKS:
-            self.old, self.young = self.young, {}
-        found = list(map(self.young.get, keys))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        for i in gaps:
-            found[i] = self.old.get(keys[i])
-        missing = sorted((self.chunk_of(keys[i]), i) for i in gaps if found[i] is None)
-        for (_, i), packed in zip(missing, self.learn([chunk for chunk, _ in missing]), strict=True):
-            found[i] = packed
-        self.young.update((keys[i], found[i]) for i in gaps if len(keys[i]) <= LONGEST_CHUNK)
-        return found
+            last.append(unit)
+            size.append(length)
+        parts, at = [], len(chunk) - 1
+        while at >= 0:
+            parts.append(self.packed[last[at]] if last[at] >= 0 else self.as_bytes(chunk[at]))
+            at -= size[at]
+        return b"".join(reversed(parts))
+
+    def _learn_group(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of one length by the rows of `classes`: their units from the last one on, and how many."""
+        m, n = classes.shape
+        last, size = np.empty((n, m), np.int64), np.empty((n, m), np.int64)
+        state = np.zeros(m, np.int64)
+        for at in range(n):
+            state = self.moves[state, classes[:, at]]
+            rest, k = np.arange(m), 0
+            while len(rest):
+                unit, length = self.found_unit[state[rest], k], self.found_size[state[rest], k]
+                before = at - length
+                left = np.where(before >= 0, last[np.maximum(before, 0), rest] + 1, 0)
+                good = self.pairs.many(left * len(self.units) + unit)
+                done = rest[good]
+                last[at, done], size[at, done] = unit[good], length[good]
+                rest, k = rest[~good], k + 1
+        found, at, rows = np.full((m, n), -1, np.int64), np.full(m, n - 1), np.arange(m)
+        count = np.zeros(m, np.int64)
+        while len(rows):
+            now = at[rows]
+            found[rows, count[rows]] = last[now, rows]
+            count[rows] += 1
+            at[rows] = now - size[now, rows]
+            rows = rows[at[rows] >= 0]
+        return found, count
+
+    def look_up(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks one after the other, and how many each one has."""
+        marked = pc.starts_with(keys, "\0")
+        chunks = pc.if_else(marked, pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise(SPACE, keys, ""))
+        chunks = pc.if_else(pc.equal(keys, "\n"), "\n", chunks)
+        lengths = pc.utf8_length(chunks).to_numpy().astype(np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks)], chunks), "")[0].as_py()
+        classes = self.class_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(lengths) - lengths
+        rare = np.concatenate([[0], np.cumsum(classes == 0)])
+        usual = (rare[starts + lengths] == rare[starts]) & (lengths <= LONGEST) & (lengths > 0)
+        groups = []
+        counts = np.zeros(len(chunks), np.int64)
+        for n in np.unique(lengths[usual]).tolist():
+            which = np.flatnonzero(usual & (lengths == n))
+            found, counts[which] = self._learn_group(classes[starts[which][:, None] + np.arange(n)])
+            groups.append((which, found))
+        special = {}
+        for i in np.flatnonzero(~usual).tolist():
+            special[i] = np.frombuffer(self.learn(text[starts[i] : starts[i] + lengths[i]]), "<u4")
+            counts[i] = len(special[i])
+        ends = np.cumsum(counts)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, "<u4")
+        for which, found in groups:
+            for k in range(int(counts[which].max(initial=0))):
+                own = np.flatnonzero(counts[which] > k)
+                out[ends[which[own]] - 1 - k] = self.unit_ids[found[own, k]]
+        for i, ids in special.items():
+            out[ends[i] - len(ids) : ends[i]] = ids
+        return out, counts
 
     def encode(self, text: str) -> bytes:
         if not text:
             return self.begin + self.end
-        chunks = ["\1" + c for c in self.chunk.findall(SPACE + text.replace(" ", SPACE))]
-        different = list(dict.fromkeys(chunks))
-        packed = dict(zip(different, self.look_up(different), strict=True))
+        chunks = self.chunk.findall(SPACE + text.replace(" ", SPACE))
+        packed = {c: self.learn(c) for c in set(chunks)}
         return self.begin + b"".join(map(packed.__getitem__, chunks)) + self.end
 
     def encode_array(self, texts: pa.Array) -> pa.Array:
@@ -283,9 +345,7 @@ class Codec:
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
         which = coded.indices.to_numpy()
-        packed = self.look_up(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        ids = np.frombuffer(b"".join(packed), "<u4")
+        ids, sizes = self.look_up(coded.dictionary)
         own = sizes[which]
         ids = ids[_spread((np.cumsum(sizes) - sizes)[which], own)]
         bounds = np.concatenate([[0], np.cumsum(own)])[bounds - bounds[0]]
@@ -393,12 +453,16 @@ class PieceModel:
         held = spark.sparkContext.broadcast(_Held(name, read_model(path)))
 
         @F.arrow_udf("binary")
-        def encode(texts: pa.Array) -> pa.Array:
-            return _in_parts(_codec(name, held.value).encode_array, texts, pa.binary(), STEP)
+        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = _codec(name, held.value)
+            for texts in batches:
+                yield _in_parts(codec.encode_array, texts, pa.binary(), STEP)
 
         @F.arrow_udf("string")
-        def decode(ids: pa.Array) -> pa.Array:
-            return _in_parts(_codec(name, held.value).decode_array, ids, pa.string(), 2 * STEP)
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            codec = _codec(name, held.value)
+            for ids in batches:
+                yield _in_parts(codec.decode_array, ids, pa.string(), 2 * STEP)
 
         self._encode, self._decode = encode, decode
 
