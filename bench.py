@@ -9,12 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from regionflow.plans.catalog import catalog
-from regionflow.session import build_session
+from regionflow.session import build_session, release
 
 HEADLINE = [
     "region_report",
@@ -49,9 +50,9 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(
-        "bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, {"spark.driver.memory": "16g"}
-    )
+    shared = tempfile.mkdtemp(prefix="bench-")
+    settings = {"spark.driver.memory": "16g", "spark.checkpoint.dir": shared}
+    spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, settings)
     spark.sparkContext.setLogLevel("ERROR")
     runs = catalog()
     wanted = sys.argv[1:] or HEADLINE
@@ -73,6 +74,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

@@ -15,25 +15,51 @@ from regionflow.plans.registry import query, rounded, table
 from regionflow.sources import tables
 
 
-def _sql_bands(x: str, bands: tuple) -> str:
-    steps, rest = bands
-    return "CASE " + " ".join(f"WHEN {x} > {b} THEN {v}e0" for b, v in steps) + f" ELSE {rest}e0 END"
+# Fixed values, written out here once more so that the SQL does not share the operators' tables.
+_BANDS = {
+    "health": "CASE WHEN {x} > 0.8 THEN 0.2e0 WHEN {x} > 0.5 THEN 0.6e0 ELSE 0.9e0 END",
+    "health_country": "CASE WHEN {x} > 0.8 THEN 0.3e0 WHEN {x} > 0.5 THEN 0.5e0 ELSE 0.7e0 END",
+    "healthcare": "CASE WHEN {x} > 0.8 THEN 0.2e0 WHEN {x} > 0.5 THEN 1e0 ELSE 8e0 END",
+    "gdp": "CASE WHEN {x} > 50000 THEN 0.3e0 WHEN {x} > 20000 THEN 1e0 WHEN {x} > 5000 THEN 2.5e0 ELSE 5e0 END",
+    "gdp_cost": "CASE WHEN {x} > 50000 THEN 0.3e0 WHEN {x} > 20000 THEN 1e0 WHEN {x} > 5000 THEN 3e0 ELSE 8e0 END",
+    "density": "CASE WHEN {x} > 400 THEN 3e0 WHEN {x} > 200 THEN 2e0 WHEN {x} > 100 THEN 1e0 ELSE 0.5e0 END",
+}
+_ACTIONS = {
+    "label": "['None', 'Distancing', 'TravelBan', 'Lockdown', 'NormalCare', 'SurgeCare', 'TargetedVax', 'MassVax']",
+    "stringency": "[0e0, 0.4e0, 0.6e0, 0.8e0, 0.1e0, 0.2e0, 0.1e0, 0.15e0]",
+    "cost": "[0e0, 0.05e0, 0.08e0, 0.15e0, 0.01e0, 0.06e0, 0.03e0, 0.05e0]",
+}
+_PROFILES = """
+    ('USA', 331000000, 39.8, -98.5, 2.9, 1.0, 1.0, 0.05, 36.0, 65000.0, 0.85, 0.9, 0.20, 0.7, 0.95, 0.9),
+    ('Japan', 125000000, 36.2, 138.2, 13.1, 0.8, 0.9, 0.03, 347.0, 42000.0, 0.95, 0.6, 0.30, 0.5, 0.8, 0.8),
+    ('India', 1380000000, 20.6, 78.9, 0.5, 1.3, 1.2, 0.08, 464.0, 2100.0, 0.3, 0.4, 0.07, 0.8, 0.4, 0.3),
+    ('Italy', 60000000, 41.9, 12.6, 3.2, 1.1, 1.4, 0.04, 206.0, 35000.0, 0.8, 0.7, 0.28, 0.6, 0.85, 0.7),
+    ('Germany', 83000000, 51.2, 10.5, 8.0, 0.9, 0.8, 0.03, 240.0, 46000.0, 0.9, 0.8, 0.25, 0.4, 0.9, 0.85),
+    ('China', 1400000000, 35.9, 104.2, 4.3, 1.0, 1.0, 0.06, 153.0, 10500.0, 0.6, 0.5, 0.18, 0.7, 0.7, 0.6)
+"""
+_UNKNOWN_PROFILE = {
+    "pop": 50000000, "lat": 0.0, "lon": 0.0, "beds_per_1k": 3.0, "beta_mul": 1.0, "ifr_mul": 1.0, "noise": 0.05,
+    "density": 100.0, "gdp": 30000.0, "healthcare": 0.7, "mobility": 0.8, "elderly": 0.15, "climate": 0.6,
+    "connectivity": 0.8, "resilience": 0.7,
+}
+
+
+def _sql_bands(x: str, name: str) -> str:
+    return _BANDS[name].format(x=x)
 
 
-def _sql_actions(a: str, position: int) -> str:
-    value = lambda v: f"'{v}'" if isinstance(v, str) else f"{v}e0"
-    whens = " ".join(f"WHEN {row[0]} THEN {value(row[position])}" for row in K.ACTIONS)
-    return f"CASE greatest(0, least(7, {a})) {whens} END"
+def _sql_actions(a: str, name: str) -> str:
+    return f"({_ACTIONS[name]})[1 + greatest(0, least(7, {a}))]"
 
 
-@query("decode_action", f"SELECT k, {_sql_actions('a', 1)} AS label FROM ({V.STATE_SQL})")
+@query("decode_action", f"SELECT k, {_sql_actions('a', 'label')} AS label FROM ({V.STATE_SQL})")
 def decode_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.decode_action(V.states(spark, sf_dir)).select("k", "label")
 
 
 @query(
     "action_stringency",
-    f"SELECT k, {_sql_actions('a', 2)} AS stringency, round(a / 7.0, 6) AS level FROM ({V.STATE_SQL})",
+    f"SELECT k, {_sql_actions('a', 'stringency')} AS stringency, round(a / 7.0, 6) AS level FROM ({V.STATE_SQL})",
 )
 def action_stringency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.states(spark, sf_dir).select(
@@ -46,8 +72,8 @@ def action_stringency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "band_value",
-    f"SELECT k, {_sql_bands('healthcare', K.HEALTH_WEIGHT_MAIN)} AS health, {_sql_bands('gdp', K.GDP_FACTOR)} AS gdp, "
-    f"{_sql_bands('density', K.DENSITY_FACTOR)} AS density FROM ({V.STATE_PROFILE_SQL})",
+    f"SELECT k, {_sql_bands('healthcare', 'health')} AS health, {_sql_bands('gdp', 'gdp')} AS gdp, "
+    f"{_sql_bands('density', 'density')} AS density FROM ({V.STATE_PROFILE_SQL})",
 )
 def band_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.states_with_profile(spark, sf_dir).select(
@@ -272,19 +298,17 @@ def math_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, 6, "p", "q", "s", "c", "a", "r")
 
 
-_LOOKUP = ["pop", "beds_per_1k", "healthcare", "gdp"]
-_REGIONS = [row[0] for row in K.PROFILES] + ["Elsewhere"]
-_PROFILE_ROWS = ", ".join(f"('{r[0]}', {r[1]}, {r[4]}e0, {r[10]}e0, {r[9]}e0)" for r in K.PROFILES)
+_LOOKUP = list(_UNKNOWN_PROFILE)
+_REGIONS = ["USA", "Japan", "India", "Italy", "Germany", "China", "Elsewhere"]
+_FOUND = ", ".join(
+    f"CAST(coalesce(p.{c}, {v}) AS {'BIGINT' if c == 'pop' else 'DOUBLE'}) AS {c}" for c, v in _UNKNOWN_PROFILE.items()
+)
 
 
 @query(
     "lookup_profile",
-    f"""
-    SELECT c_custkey, CAST(coalesce(pop, 50000000) AS BIGINT) AS pop, coalesce(beds_per_1k, 3e0) AS beds_per_1k,
-    coalesce(healthcare, 0.7e0) AS healthcare, coalesce(gdp, 30000e0) AS gdp
-    FROM customer LEFT JOIN (VALUES {_PROFILE_ROWS}) p(entity, pop, beds_per_1k, healthcare, gdp)
-    ON entity = {_REGIONS}[1 + c_nationkey % 7]
-    """.replace('"', "'"),
+    f"SELECT c_custkey, {_FOUND} FROM customer LEFT JOIN (VALUES {_PROFILES}) p(entity, {', '.join(_LOOKUP)}) "
+    f"ON p.entity = {_REGIONS}[1 + c_nationkey % 7]",
 )
 def lookup_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of six known regions and one without a profile."""
@@ -302,14 +326,14 @@ def join_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(V.states(spark, sf_dir), V.entities(spark, sf_dir)).select("k", "pop")
 
 
-_COST = f"""{_sql_actions('a', 3)} * {_sql_bands('gdp', K.GDP_COST_FACTOR)}
+_COST = f"""{_sql_actions('a', 'cost')} * {_sql_bands('gdp', 'gdp_cost')}
     * CASE WHEN a IN (2, 3) THEN 1 + (1 - resilience) * 2 ELSE 1 END * 30"""
 _BONUS = """CASE least(7, a) WHEN 3 THEN 0.05 * resilience WHEN 2 THEN 0.03 * connectivity WHEN 1 THEN 0.02
     WHEN 6 THEN 0.02 * healthcare WHEN 7 THEN 0.04 * healthcare ELSE 0 END"""
 _REWARD = f"""
-    WITH x AS (SELECT *, greatest(1, s_2 + i_2 + r_2 + d_2) AS n, {_sql_bands('healthcare', K.HEALTH_WEIGHT_MAIN)} AS hw,
-        {_sql_bands('healthcare', K.HEALTHCARE_FACTOR)} AS hc, {_sql_bands('gdp', K.GDP_FACTOR)} AS gf,
-        {_sql_bands('density', K.DENSITY_FACTOR)} AS df, {_COST} AS cost, {_BONUS} AS bonus
+    WITH x AS (SELECT *, greatest(1, s_2 + i_2 + r_2 + d_2) AS n, {_sql_bands('healthcare', 'health')} AS hw,
+        {_sql_bands('healthcare', 'healthcare')} AS hc, {_sql_bands('gdp', 'gdp')} AS gf,
+        {_sql_bands('density', 'density')} AS df, {_COST} AS cost, {_BONUS} AS bonus
         FROM ({V.STATE_PROFILE_SQL})),
     y AS (SELECT *, -((i_2 - i) / n * 200 * df * hw * gf + (d_2 - d) / n * 2000 * (1 + elderly * 8) * hc * hw
         + greatest(0, i_2 / greatest(1, hosp_cap) - 1) * 1000 * hw * hc + cost * (1 - hw) * gf) AS base FROM x)
@@ -332,7 +356,7 @@ def reward_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "reward_country",
     f"""
-    WITH x AS (SELECT *, {_sql_bands('healthcare', K.HEALTH_WEIGHT_COUNTRY)} AS hw, {_sql_actions('a', 2)} AS str,
+    WITH x AS (SELECT *, {_sql_bands('healthcare', 'health_country')} AS hw, {_sql_actions('a', 'stringency')} AS str,
         i / (beds_per_1k * pop / 1000) AS load FROM ({V.STATE_PROFILE_SQL}))
     SELECT k, round(-(greatest(0, load - 1) * 10 * hw + str * (gdp / 50000) * (1 - hw)
         + (d_2 - d) * ifr_mul * hw * (1 + elderly)), 10) AS reward FROM x

@@ -21,19 +21,10 @@ TRANSITION = T.StructType(
     ]
 )
 
-OBSERVATION = "location STRING, date DATE, new_cases DOUBLE"
 SERIES = "entity STRING, t INT, value DOUBLE"
 TARGETS = "entity STRING, t_arrive DOUBLE, peak DOUBLE"
 EDGES = "src STRING, dst STRING, w DOUBLE"
 SURFACE = "beta DOUBLE, travel DOUBLE, loss DOUBLE"
-TRAIN_ROW = (
-    "epoch INT, total_reward DOUBLE, avg_loss DOUBLE, epsilon DOUBLE, final_i DOUBLE, final_d DOUBLE"
-)
-ENTITY_TRAIN_ROW = (
-    "epoch INT, step INT, entity STRING, reward DOUBLE, s DOUBLE, i DOUBLE, r DOUBLE, d DOUBLE, "
-    "v DOUBLE, eps DOUBLE"
-)
-METRIC_LOG = "run STRING, step BIGINT, key STRING, value DOUBLE, seq BIGINT"
 SNAPSHOT = "country STRING, t INT, i DOUBLE, arrival INT, peak DOUBLE, loss DOUBLE"
 
 
