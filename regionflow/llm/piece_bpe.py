@@ -35,7 +35,7 @@ CLASSES, LONGEST = 160, 32
 #: Slots of the table of pairs that were tried out; half of them are filled at most.
 PAIR_SLOTS = 1 << 21
 #: Bytes of text encoded in one go.
-STEP = 8 << 20
+STEP = 4 << 20
 
 
 def read_model(path: str) -> dict:

@@ -122,3 +122,10 @@ def records(archive: DataFrame) -> DataFrame:
     """The exact bytes of each record of `read_archive`, as `record`."""
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return archive.withColumn("record", F.concat(F.col("head").cast("binary"), body, F.lit((END + END).encode())))
+
+
+def export_warc(archive: DataFrame, path: str) -> None:
+    """Writes the records of `read_archive` as plain WARC files, one per task. Payloads must be UTF-8 text."""
+    body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    whole = F.decode(F.concat(F.col("head").cast("binary"), body), "UTF-8")
+    archive.select(whole.alias("value")).write.option("lineSep", END + END).text(path)

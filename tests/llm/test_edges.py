@@ -80,6 +80,24 @@ def test_archive_rebuilds_records(spark):
     assert next(r.url for r in got if r.page_id == 3) == "http://a/%0D%0AX: y"
 
 
+def test_plain_files_hold_all_records(spark, tmp_path):
+    rows = [(n, f"http://x/{n}", f"<p>{'é' * (n % 3 * 60)}\r\n\r\nWARC/1.1\r\n</p>", "", "") for n in range(20)]
+    path = fresh_path(spark, "archive")
+    warc.write_archive(spark.createDataFrame(rows, PAGES), path)
+    archive = warc.read_archive(spark, path)
+    warc.export_warc(archive, str(tmp_path / "plain"))
+    found = Counter()
+    for file in sorted((tmp_path / "plain").glob("part-*")):
+        data, at = file.read_bytes(), 0
+        while at < len(data):  # records follow each other by their lengths
+            head_end = data.index(b"\r\n\r\n", at) + 4
+            fields = dict(x.split(": ", 1) for x in data[at:head_end].decode().strip().split("\r\n")[1:])
+            stop = head_end + int(fields["Content-Length"]) + 4
+            found[data[at:stop]] += 1
+            at = stop
+    assert found == Counter(bytes(r.record) for r in warc.records(archive).collect())
+
+
 def test_archive_refuses_a_changed_payload(spark):
     path = fresh_path(spark, "archive")
     warc.write_archive(spark.createDataFrame([(1, "u", "p" * 200, "", "")], PAGES), path)
@@ -248,7 +266,7 @@ def test_thresholds_suffice():
 def test_language_of_hard_texts(spark, hard, empty, docs_of):
     none = langid.fit(empty.select("lang", "text", F.col("doc_id").alias("key")))
     assert {tuple(r.p) for r in hard.select(langid.predict(spark, none, F.col("text")).alias("p")).collect()} == {("und", 0.0)}
-    taught = docs_of([(i, t * 3, lang, "s") for i in range(20) for t, lang in [("the cat and the dog ", "en"), ("der hund und die katze ", "de"), (None, "xx"), ("lost", None)]])
+    taught = docs_of([(i, t and t * 3, lang, "s") for i in range(20) for t, lang in [("the cat and the dog ", "en"), ("der hund und die katze ", "de"), (None, "xx"), ("lost", None)]])
     model = langid.fit(taught.select("lang", "text", F.col("doc_id").alias("key")))
     assert model.languages == ("de", "en")
     rows = docs_of(["the dog", "die katze und", "12 34", None, "", "der hund " * 200_000]).select("text", langid.predict(spark, model, F.col("text")).alias("p")).collect()
