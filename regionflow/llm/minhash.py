@@ -117,14 +117,12 @@ def likeness(a: Column, b: Column) -> Column:
 STRETCH, MOST_STRETCHES = 500, 4096
 
 
-def with_next(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", tie: str = "tie") -> DataFrame:
-    """`docs` with the columns `keys` of the next row, as `next_<key>`, by descending `doc_id`; the first follows the last.
-
-    Rows of equal id follow each other by `tie`, a long, descending; rows without
-    id come last. A row alone is its own next one. Ids are cut at quantiles into
-    stretches, so no task sorts more than a stretch; each stretch also gets a
-    copy of the row that begins the next one. Cut points and first rows are at
-    most MOST_STRETCHES, whatever the data.
+def stretched(docs: DataFrame, doc_id: str = "doc_id", tie: str = "tie") -> DataFrame:
+    """`docs` cut into `stretch`es of descending ids, each with a copy (`copied` = 1) of the row that begins the next one.
+
+    Ids are cut at quantiles, rows without id by `tie`, so no task sorts more
+    than a stretch. Cut points and first rows are at most MOST_STRETCHES each,
+    whatever the data, and so may be broadcast.
     """
     stats = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("known")).first()
     parts = max(1, min(MOST_STRETCHES, stats["known"] // STRETCH))
@@ -148,10 +146,18 @@ def with_next(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", tie: str
         .withColumn("stretch", F.col("before"))
         .drop("s", "f", "before")
     )
-    both = cut.withColumn("copied", F.lit(0)).unionByName(copies.withColumn("copied", F.lit(1)))
+    return cut.withColumn("copied", F.lit(0)).unionByName(copies.withColumn("copied", F.lit(1)))
+
+
+def next_of(rows: DataFrame, keys: list[str], doc_id: str = "doc_id") -> DataFrame:
+    """The rows of `stretched` with `next_<key>`: the columns of the next row by descending id; the first follows the last.
+
+    Rows of equal id follow each other by tie, descending; rows without id come
+    last. A row alone is its own next one.
+    """
     along = Window.partitionBy("stretch").orderBy("copied", F.col(doc_id).desc_nulls_last(), F.desc("tie_"))
     return (
-        both.withColumns({f"next_{k}": F.lead(k).over(along) for k in keys})
+        rows.withColumns({f"next_{k}": F.lead(k).over(along) for k in keys})
         .filter("copied = 0")
         .drop("copied", "stretch", "tie_")
     )
@@ -165,8 +171,8 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     empty; equal ids follow each other by a hash of their texts.
     """
     rows = docs.select(col(doc_id).alias("doc_id"), F.coalesce(col(text), F.lit("")).alias("text"))
-    rows = with_fingerprint(rows.withColumn("tie", F.xxhash64("text")), F.col("text"), "fingerprint")
-    joined = with_next(rows, ["text", "fingerprint"])
+    rows = stretched(rows.withColumn("tie", F.xxhash64("text")))
+    joined = next_of(with_fingerprint(rows, F.col("text"), "fingerprint"), ["text", "fingerprint"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.left("text", n - third), F.left("next_text", third))

@@ -337,7 +337,7 @@ def test_next_over_stretches(spark, monkeypatch):
     rows = [(i, (t * 0x9E3779B97F4A7C15) % (1 << 63) * (-1) ** t if t else 0, x) for i, t, x in rows]
     random.shuffle(rows)
     want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -r[1]))
-    got = {r.text: r.next_text for r in minhash.with_next(spark.createDataFrame(rows, "doc_id long, tie long, text string"), ["text"]).collect()}
+    got = {r.text: r.next_text for r in minhash.next_of(minhash.stretched(spark.createDataFrame(rows, "doc_id long, tie long, text string")), ["text"]).collect()}
     assert got == {r[2]: want[(k + 1) % len(want)][2] for k, r in enumerate(want)}
 
 
