@@ -14,14 +14,17 @@ and the ends and beginnings around them agree.
    for each of its distinct windows.
 3. Places whose string holds no such trigger are grouped into cells: neighbours
    with the same triggers, hence the same core. A cell travels as the hash of its
-   core and the few bytes around it. Cells meet by core, each of their strings
-   is counted, and each chunk gets back a bit for each of them.
-4. Covered bytes are removed.
+   core and the few bytes around it, and cells meet by core.
+4. There the different phrase ends form a dictionary with its suffix array, and
+   what follows the cores in the parse is sorted too. Both together put the
+   strings into corpus order, where a string that occurs again stands next to an
+   equal one. Each chunk gets back a bit for each of its strings.
+5. Covered bytes are removed.
 
 What leaves a chunk is distinct within it, so a string that is everywhere is
-shuffled once per chunk. Suffixes of phrases that continue alike are brought
-together by hash instead of a lexicographic order of all suffixes: only equal
-heads of LENGTH bytes matter, not which of two is smaller.
+shuffled once per chunk, and equal cells of many chunks enter the order once.
+Corpus order is made bucket by bucket, cores being dealt out by hash: which of
+two different cores is smaller decides nothing here.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ LENGTH, WINDOW, PERIOD = 200, 64, 24
 #: Bytes of text in a chunk (a longer text has one of its own), bytes worked on at once, bytes of text for each bucket.
 CHUNK, TILE, BUCKET = 1 << 20, 1 << 18, 4 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
+#: Pairs of continuations compared in one go.
+COMPARED = 1 << 16
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -289,27 +294,132 @@ def _emit_cells(buckets: int):
     return run
 
 
-def _strings(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each string of the cells, cell by cell, and whether its cell occurs again in its chunk."""
-    body = zstandard.decompress(packed)
-    n = int(np.frombuffer(body, np.uint32, 1)[0])
-    key = np.frombuffer(body, _U, n, 4)
-    size, left, right, again = np.frombuffer(body, "<u2", 4 * n, 4 + 8 * n).reshape(n, 4).astype(np.int64).T
-    rolling = Rolling(np.frombuffer(body, np.uint8, offset=4 + 16 * n))
-    cell = np.repeat(np.arange(n), size)
-    step = _spread(np.zeros(n, np.int64), size)
-    left_from, right_from = np.cumsum(left) - left, left.sum() + np.cumsum(right) - right
-    before = left[cell] - step  # bytes of the string before its core
-    after = right[cell] - (size[cell] - 1 - step)
-    ends = rolling.of(left_from[cell] + step, before), rolling.of(right_from[cell], after)
-    return _mixed(key[cell] ^ _mixed(ends[0] * _K2 + ends[1])), again[cell]
+@dataclass
+class Ends:
+    """Cells of one bucket: core, size, and the bytes before and after the core, in two arrays one after the other."""
+
+    key: np.ndarray
+    size: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    again: np.ndarray
+
+    @staticmethod
+    def unpacked(packed: bytes) -> Ends:
+        body = zstandard.decompress(packed)
+        n = int(np.frombuffer(body, np.uint32, 1)[0])
+        key = np.frombuffer(body, _U, n, 4)
+        size, left, right, again = np.frombuffer(body, "<u2", 4 * n, 4 + 8 * n).reshape(n, 4).astype(np.int64).T
+        around = np.frombuffer(body, np.uint8, offset=4 + 16 * n)
+        return Ends(key, size, left, right, around[: left.sum()], around[left.sum() :], again)
+
+    @staticmethod
+    def joined(parts: list[Ends]) -> Ends:
+        return Ends(*[np.concatenate([getattr(p, f) for p in parts]) for f in Ends.__annotations__])
+
+    def take(self, which: np.ndarray) -> Ends:
+        spans = [(n, np.cumsum(n) - n) for n in (self.left, self.right)]
+        before, after = (x[_spread(at[which], n[which])] for x, (n, at) in zip((self.before, self.after), spans, strict=True))
+        return Ends(self.key[which], self.size[which], self.left[which], self.right[which], before, after, self.again[which])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first of each kind of cell; of which kind each one is; how often each kind occurs (2: more than once)."""
+        _, left, _ = _kinds(self.before, self.left)
+        _, right, _ = _kinds(self.after, self.right)
+        whole = _mixed(self.key ^ _mixed(left * _K2 + right) + self.size.astype(_U))
+        _, first, kind = np.unique(whole, return_index=True, return_inverse=True)
+        return first, kind, np.bincount(kind, weights=1 + self.again)
+
+
+def _kinds(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings one after the other: where each begins, its hash, and its kind, numbered by hash."""
+    starts = np.cumsum(lengths) - lengths
+    hashes = Rolling(data).of(starts, lengths)
+    return starts, hashes, np.unique(hashes, return_inverse=True)[1]
+
+
+def _suffix_ranks(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The rank of each suffix among all, by doubling; a suffix ends at its string's `last` place, a terminator 0."""
+    at = np.arange(len(symbols))
+    value = np.zeros(len(symbols), np.int64)
+    for k in range(7):
+        value = value * 512 + np.where(at + k <= last, symbols[np.minimum(at + k, last)], 0)
+    rank, seen = np.unique(value, return_inverse=True)[1], 7
+    longest = int((last - at).max(initial=0)) + 1
+    while seen < longest:
+        follows = np.where(at + seen <= last, rank[np.minimum(at + seen, last)] + 1, 0)
+        rank, seen = np.unique(rank * (len(symbols) + 1) + follows, return_inverse=True)[1], 2 * seen
+    return rank
+
+
+def _dictionary(cells: Ends) -> np.ndarray:
+    """The rank, in the suffix array of the dictionary, of what stands before the core in each string of the cells.
+
+    The dictionary holds the different phrase ends; a string's part of it is a
+    suffix, and equal suffixes have equal ranks.
+    """
+    starts, _, kind = _kinds(cells.before, cells.left)
+    first = np.unique(kind, return_index=True)[1]
+    lengths = cells.left[first]
+    place = np.cumsum(lengths + 1) - (lengths + 1)
+    symbols = np.zeros(int((lengths + 1).sum()), np.int64)
+    symbols[_spread(place, lengths)] = cells.before[_spread(starts[first], lengths)].astype(np.int64) + 1
+    ranks = _suffix_ranks(symbols, np.repeat(place + lengths, lengths + 1))
+    return ranks[_spread(place[kind], cells.size)]
+
+
+def _continuations(cells: Ends) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of what follows each cell's core, and the continuations as rows in that order, 0 after their end."""
+    starts, _, kind = _kinds(cells.after, cells.right)
+    first = np.unique(kind, return_index=True)[1]
+    lengths = cells.right[first]
+    rows = np.zeros((len(first), int(lengths.max(initial=0)) + 1), np.uint8)
+    # no byte of UTF-8 is 255, so one more fits
+    rows[np.repeat(np.arange(len(first)), lengths), _spread(np.zeros_like(lengths), lengths)] = cells.after[_spread(starts[first], lengths)] + np.uint8(1)
+    order = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[kind], rows[order]
+
+
+def _same_neighbours(cells: Ends) -> np.ndarray:
+    """Whether each string of the cells is equal to another one: its neighbour in corpus order agrees with it throughout.
+
+    Corpus order: by the part before the core in the dictionary's suffix array,
+    then by core, then by what follows it in the parse.
+    """
+    cell = np.repeat(np.arange(len(cells.key)), cells.size)
+    step = _spread(np.zeros_like(cells.size), cells.size)
+    core = np.unique(cells.key, return_inverse=True)[1]
+    group = _dictionary(cells) * (len(core) + 1) + core[cell]
+    rank, rows = _continuations(cells)
+    rank = rank[cell]
+    wanted = cells.right[cell] - (cells.size[cell] - 1 - step)  # bytes after the core; one number within a group
+    order = np.lexsort((rank, group))
+    a, b = order[:-1], order[1:]
+    near = np.flatnonzero(group[a] == group[b])
+    a, b = a[near], b[near]
+    same = rank[a] == rank[b]
+    other = np.flatnonzero(~same)
+    for start in range(0, len(other), COMPARED):
+        part = other[start : start + COMPARED]
+        differ = rows[rank[a[part]]] != rows[rank[b[part]]]
+        same[part] = differ.argmax(axis=1) >= wanted[a[part]]
+    found = np.zeros(len(cell), bool)
+    found[a[same]] = found[b[same]] = True
+    return found
 
 
 def _count_strings(rows: pa.Table) -> pa.Table:
-    parts, again = zip(*(_strings(x.as_py()) for x in rows["cells"]), strict=True)
-    _, index = np.unique(np.concatenate(parts), return_inverse=True)
-    repeated = np.bincount(index, weights=1 + np.concatenate(again)) > 1
-    return _bits_back(rows, repeated[index], [len(p) for p in parts])
+    parts = [Ends.unpacked(x.as_py()) for x in rows["cells"]]
+    cells = Ends.joined(parts)
+    first, kind, count = cells.distinct()
+    one = cells.take(first)
+    found = _same_neighbours(one) | np.repeat(count > 1, one.size)
+    at = np.cumsum(one.size) - one.size
+    return _bits_back(rows, found[_spread(at[kind], cells.size)], [int(p.size.sum()) for p in parts])
 
 
 # --- result --------------------------------------------------------------------------------
