@@ -35,7 +35,7 @@ CLASSES, LONGEST = 160, 32
 #: Slots of the table of pairs that were tried out; half of them are filled at most.
 PAIR_SLOTS = 1 << 21
 #: Bytes of text encoded in one go.
-STEP = 4 << 20
+STEP = 2 << 20
 
 
 def read_model(path: str) -> dict:
@@ -453,16 +453,12 @@ class PieceModel:
         held = spark.sparkContext.broadcast(_Held(name, read_model(path)))
 
         @F.arrow_udf("binary")
-        def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            codec = _codec(name, held.value)
-            for texts in batches:
-                yield _in_parts(codec.encode_array, texts, pa.binary(), STEP)
+        def encode(texts: pa.Array) -> pa.Array:
+            return _in_parts(_codec(name, held.value).encode_array, texts, pa.binary(), STEP)
 
         @F.arrow_udf("string")
-        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            codec = _codec(name, held.value)
-            for ids in batches:
-                yield _in_parts(codec.decode_array, ids, pa.string(), 2 * STEP)
+        def decode(ids: pa.Array) -> pa.Array:
+            return _in_parts(_codec(name, held.value).decode_array, ids, pa.string(), STEP)
 
         self._encode, self._decode = encode, decode
 
