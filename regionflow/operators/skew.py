@@ -14,9 +14,9 @@ def first_per_key(
 ) -> DataFrame:
     """The first `n` rows per key, with their rank from 1.
 
-    Spark cuts each task's rows to n per key before the shuffle, so a hot key
-    reaches its final task with at most n rows per input task. `order` should
-    leave no ties.
+    For n up to spark.sql.optimizer.windowGroupLimitThreshold Spark cuts each
+    task's rows to n per key before the shuffle, so a hot key reaches its final
+    task with at most n rows per input task. `order` should leave no ties.
     """
     place = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(place)).filter(F.col(rank) <= n)
