@@ -43,8 +43,9 @@ from regionflow.llm.common import col
 from regionflow.operators.skew import stored
 
 LENGTH, WINDOW, PERIOD = 200, 64, 24
-#: Bytes of text in a chunk (a longer text has one of its own), bytes worked on at once, bytes of text for each bucket.
-CHUNK, TILE, BUCKET = 1 << 20, 1 << 18, 4 << 20
+#: Bytes of text in a chunk at least and at most (a longer text has one of its own), bytes worked on at once, bytes of
+#: text for each bucket. A chunk sends at most a row to each bucket, so chunks grow with the text.
+CHUNK, MOST_CHUNK, TILE, BUCKET = 1 << 20, 128 << 20, 1 << 18, 4 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
 #: Pairs of continuations compared in one go.
 COMPARED = 1 << 16
@@ -492,7 +493,7 @@ def _power_of_two(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept), one row per row of `docs`.
 
     A byte goes if it lies in a string of LENGTH bytes that starts anywhere else
@@ -504,6 +505,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
     spark = docs.sparkSession
     source = docs.select(col(key).alias("key"), col(text).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk_bytes = chunk_bytes or min(MOST_CHUNK, max(CHUNK, total // MOST_BUCKETS))
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, _power_of_two(max(total / BUCKET, 4 * parallel, LEAST_BUCKETS)))
     key_ddl = source.schema["key"].dataType.simpleString()
