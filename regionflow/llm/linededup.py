@@ -39,8 +39,8 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "do
     null with 0 lines; a text of fewer lines than `window` is kept as it is.
     """
     rows = keyed(docs, "lines", id=col(doc_id))
-    split = rows.select("rid", "id", "row", F.split(F.col("row")[text], "\n", -1).alias("lines"))
-    windows = _windows(split, window)
+    lines = F.split(F.col("row")[text], "\n", -1)
+    windows = _windows(rows.select("rid", "id", lines.alias("lines")), window)
     place = F.struct("no_id", "id", "rid", "pos")
     first = stored(
         windows.groupBy("h1", "h2")
@@ -59,7 +59,8 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "do
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered), lambda i: F.get("lines", i)
     )
-    merged = split.join(marks, "rid", "left").withColumn("left", F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept))
+    # the lines are cut again after the join, which so moves each text once
+    merged = rows.join(marks, "rid", "left").withColumn("lines", lines).withColumn("left", F.when(F.col("marks").isNull(), F.col("lines")).otherwise(kept))
     n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
     return merged.select(
         "row",
