@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.llm import langid, linededup, piece_bpe, queries, simhash
-from regionflow.llm.common import col, keyed
+from regionflow.llm.common import col, identified, small_batches
+from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
 
 #: A document is rejected below this probability of its likeliest language.
@@ -36,20 +37,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of the smallest id (null last)."""
-    rows = keyed(docs, "near", doc_id=col("doc_id"), fp=simhash.fingerprint(col("text")))
-    found = simhash.near_duplicates(rows.select("doc_id", "rid", "fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))
-    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    small_batches(spark)
+    rows = identified(docs)
+    slim = rows.select(F.col("row.doc_id").alias("doc_id"), "same", simhash.fingerprint(F.col("row.text")).alias("fp"))
+    found = simhash.near_duplicates(stored(slim, "near"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.same").alias("same"))
+    return rows.join(kept, "same", "left_semi").dropDuplicates(["same"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; one that it does not take goes."""
-    rows = keyed(docs, "mix")
-    slim = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"), "rid")
-    taken = queries.mixed(spark, slim, sf_dir).filter("copies > 0").select("rid", "copies")
+    """Repeats each document as often as the mix takes it; one that it does not take goes.
+
+    Equal rows are mixed one by one and come back as that many copies of one.
+    """
+    rows = identified(docs)
+    slim = rows.select(*[F.col("row")[c].alias(c) for c in ("doc_id", "source", "text")], F.col("same").alias("rid"))
+    taken = queries.mixed(spark, slim, sf_dir).groupBy("rid").agg(F.sum("copies").alias("copies")).filter("copies > 0")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return rows.join(taken, "rid").select("row", each.alias("copy")).select("row.*")
+    once = rows.dropDuplicates(["same"]).join(taken, F.col("same") == F.col("rid"))
+    return once.select("row", each.alias("copy")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionflow.operators.skew import stored
 
@@ -28,6 +29,25 @@ def keyed(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     return stored(packed, name)
 
 
+def identified(df: DataFrame) -> DataFrame:
+    """(row, same): the rows packed into one struct, and 128 bits that are equal for equal rows only.
+
+    Unlike a row number it needs no table: it is the same whenever and wherever a
+    row is read. Rows that it holds for equal agree in every column (but maps).
+    """
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    parts = [x for c in hashed for x in (col(c).isNull(), col(c))]  # hashes pass over nulls
+    same = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("again"), *parts).alias("b"))
+    return df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), same.alias("same"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python: at most `rows` in an Arrow batch of this session, or fewer if it says so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def words_in(text: Column) -> Column:
     """How many runs of characters other than ASCII white space a text holds (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

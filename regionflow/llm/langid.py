@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regionflow.llm.common import small_batches
+
 #: Hash slots of the model, lengths of the n-grams, added to every count, documents to fit on for each language.
 SLOTS, NGRAMS, SMOOTHING, FIT_DOCS = 1 << 16, (2, 3), 0.5, 5000
 #: A model holds SLOTS numbers a language; beyond so many languages it is refused.
@@ -134,6 +136,7 @@ def predict(spark, model: LanguageModel, text: Column) -> Column:
     `und` with score 0 for a null text, a text without letters, and a model
     without languages. Equal probabilities go to the first language by name.
     """
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)  # SLOTS x languages, both bounded
 
     @F.arrow_udf("lang_pred string, score double")

@@ -75,7 +75,7 @@ def mix(
 ) -> DataFrame:
     """`rows` with `source_size`, `target`, `copies` and `taken` (size times copies).
 
-    `rows` holds `source`, `size` (not null), `rid` (distinct) and `key` in [0, inf), the
+    `rows` holds `source`, `size` (not null), `rid` (sets ties in order) and `key` in [0, inf), the
     exponential key; other columns are carried on. All documents of a source are taken
     floor(target / source_size) times; of the rest of the target, those first in
     key order once more, up to the one whose middle passes it, so the source

@@ -29,11 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from regionflow.llm.common import small_batches
+
 SPACE = "▁"
 #: Characters that the table of states has columns for, and the longest chunk worked on by numpy.
-CLASSES, LONGEST = 160, 32
+CLASSES, LONGEST = 128, 32
 #: Slots of the table of pairs that were tried out; half of them are filled at most.
 PAIR_SLOTS = 1 << 21
+#: Pairs kept for chunks that numpy does not work on.
+MOST_ASKED = 100_000
 #: Bytes of text encoded in one go.
 STEP = 2 << 20
 
@@ -116,21 +120,26 @@ class Pairs:
     def clear(self) -> None:
         self.keys = np.full(PAIR_SLOTS, -1, np.int64)
         self.apart = np.zeros(PAIR_SLOTS, bool)
-        self.known: dict[int, bool] = {}
+        self.filled = 0
+        self.asked: dict[int, bool] = {}
 
     def one(self, key: int) -> bool:
-        found = self.known.get(key)
-        return self.add(key) if found is None else found
+        found = self.asked.get(key)
+        if found is None:
+            if len(self.asked) >= MOST_ASKED:
+                self.asked.clear()
+            found = self.asked[key] = bool(self.many(np.array([key]))[0])
+        return found
 
     def add(self, key: int) -> bool:
-        if len(self.known) >= PAIR_SLOTS // 2:
+        if self.filled >= PAIR_SLOTS // 2:
             self.clear()
-        found = self.known[key] = self.try_out(key)
         slot = int(self.slots(np.array([key]))[0])
         while self.keys[slot] >= 0:
             slot = (slot + 1) % PAIR_SLOTS
-        self.keys[slot], self.apart[slot] = key, found
-        return found
+        self.keys[slot], self.apart[slot] = key, self.try_out(key)
+        self.filled += 1
+        return bool(self.apart[slot])
 
     @staticmethod
     def slots(keys: np.ndarray) -> np.ndarray:
@@ -146,7 +155,7 @@ class Pairs:
             new = open_[held[open_] < 0]
             if len(new):
                 own, back = np.unique(keys[new], return_inverse=True)
-                out[new] = np.array([self.one(k) for k in own.tolist()])[back]
+                out[new] = np.array([self.add(k) for k in own.tolist()])[back]
                 open_ = open_[held[open_] >= 0]
             slots[open_] = (slots[open_] + 1) % PAIR_SLOTS
             held[open_] = self.keys[slots[open_]]
@@ -449,6 +458,7 @@ class PieceModel:
 
         with open(path, "rb") as file:
             name = hashlib.sha256(file.read()).hexdigest()
+        small_batches(spark)
         # a vocabulary has a fixed size, whatever the data
         held = spark.sparkContext.broadcast(_Held(name, read_model(path)))
 

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import col
+from regionflow.llm.common import col, small_batches
 from regionflow.operators.skew import stored
 
 LENGTH, WINDOW, PERIOD = 200, 64, 24
@@ -503,6 +503,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
     empty; null and repeated keys are kept as they are, each row for itself.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(col(key).alias("key"), col(text).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunk_bytes = chunk_bytes or min(MOST_CHUNK, max(CHUNK, total // MOST_BUCKETS))

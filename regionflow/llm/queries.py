@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
-from regionflow.llm.common import col, words_in
+from regionflow.llm.common import col, small_batches, words_in
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
 
@@ -194,6 +194,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", simhash.fingerprint(F.col("text")).alias("fp"))
     found = simhash.near_duplicates(stored(docs, "simhash"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
