@@ -105,6 +105,19 @@ def normalize_outbound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(network.normalize_outbound(_routes(spark, sf_dir), 0.01), 9, "w")
 
 
+@query(
+    "normalize_null_sources",
+    "WITH x AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE src END AS src, dst, w FROM "
+    f"(SELECT *, CAST(dst AS BIGINT) AS o_orderkey FROM ({_ROUTES_SQL}))) "
+    "SELECT src, dst, round(w * (0.01 / sum(w) OVER (PARTITION BY src)), 9) AS w FROM x",
+)
+def normalize_null_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without a source are scaled together."""
+    known = F.col("dst").cast("bigint") % 17 != 0
+    routes = _routes(spark, sf_dir).withColumn("src", F.when(known, F.col("src")))
+    return rounded(network.normalize_outbound(routes, 0.01), 9, "w")
+
+
 @query(
     "cap_rows",
     f"SELECT src, dst, round(w * least(1.0, 2000000 / sum(w) OVER (PARTITION BY src)), 4) AS w FROM ({_ROUTES_SQL})",

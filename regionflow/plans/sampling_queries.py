@@ -28,6 +28,19 @@ def keep_last_n_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.keep_last_n(rows, 50, "event_id", ["user_id"])
 
 
+@query(
+    "keep_last_n_null_keys",
+    "WITH x AS (SELECT CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS user_id, event_id FROM events) "
+    "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM x) "
+    "WHERE n <= 50",
+)
+def keep_last_n_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without a user share a buffer."""
+    user = F.when(F.col("event_id") % 17 != 0, F.col("user_id")).alias("user_id")
+    rows = table(spark, sf_dir, "events").select(user, "event_id")
+    return sampling.keep_last_n(rows, 50, "event_id", ["user_id"])
+
+
 @query(
     "keep_last_transitions",
     f"SELECT k, a, r, s2_i FROM (SELECT k, a, i_2 - i AS r, i_2 AS s2_i, row_number() OVER (PARTITION BY entity ORDER BY k DESC) "

@@ -407,6 +407,46 @@ def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("epoch", "step", "running_mean"), 6, "running_mean")
 
 
+_NULLABLE = "CASE WHEN step % 17 = 0 THEN NULL ELSE {} END"
+
+
+def _some_null(rows: DataFrame, key: str) -> DataFrame:
+    """Every seventeenth step without its key."""
+    return rows.withColumn(key, F.when(F.col("step") % 17 != 0, F.col(key)))
+
+
+@query(
+    "running_mean_null_keys",
+    f"""
+    WITH x AS (SELECT {_NULLABLE.format('epoch')} AS epoch, step, loss FROM ({V.STEP_SQL}))
+    SELECT epoch, step, round(sum(loss) OVER (PARTITION BY epoch ORDER BY step ROWS UNBOUNDED PRECEDING)
+    / greatest(1, step + 1), 6) AS running_mean FROM x
+    """,
+)
+def running_mean_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without an epoch have a running mean of their own."""
+    rows = _some_null(V.steps(spark, sf_dir).select("epoch", "step", "loss"), "epoch")
+    out = summary.running_mean(rows, t="step", chunk=5_000)
+    return rounded(out.select("epoch", "step", "running_mean"), 6, "running_mean")
+
+
+@query(
+    "ema_null_keys",
+    f"""
+    WITH RECURSIVE x AS (SELECT entity, step, reward, row_number() OVER (PARTITION BY entity ORDER BY step) AS k
+        FROM (SELECT {_NULLABLE.format('entity')} AS entity, step, reward FROM ({V.STEP_SQL}))),
+    e AS (SELECT entity, k, step, 0.2 * reward AS ema FROM x WHERE k = 1
+          UNION ALL SELECT x.entity, x.k, x.step, 0.2 * x.reward + 0.8 * e.ema
+          FROM e JOIN x ON x.entity IS NOT DISTINCT FROM e.entity AND x.k = e.k + 1)
+    SELECT entity, step, round(ema, 6) AS ema FROM e
+    """,
+)
+def ema_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps without an entity are averaged together."""
+    rows = _some_null(V.steps(spark, sf_dir).select("entity", "step", "reward"), "entity")
+    return rounded(summary.ema(rows).select("entity", "step", "ema"), 6, "ema")
+
+
 _LAST = f"SELECT run, step, key, arg_max(value, seq) AS value FROM ({V.METRIC_SQL}) GROUP BY run, step, key"
 
 
