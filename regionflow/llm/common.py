@@ -37,7 +37,8 @@ def identified(df: DataFrame) -> DataFrame:
     """
     hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     parts = [x for c in hashed for x in (col(c).isNull(), col(c))]  # hashes pass over nulls
-    same = F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("again"), *parts).alias("b"))
+    # one text, as parts of a struct may differ in whether they can be null, which would shuffle twice
+    same = F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("again"), *parts)))
     return df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), same.alias("same"))
 
 
