@@ -9,7 +9,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest_data import SF_DIR, brute_components, brute_repeats, brute_simhash, jaccard, shingles
