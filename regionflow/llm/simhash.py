@@ -27,6 +27,8 @@ from regionflow.operators.skew import stored
 BITS, SHINGLE, DISTANCE, SEED = 64, 4, 4, 42
 #: Cost of comparing one candidate, in units of one probe row that is shuffled and sorted.
 CANDIDATE_COST = 0.1
+#: Highest threshold of a group: the masks of a probe are part of the plan, here at most 2,081 of them.
+MOST_THRESHOLD = 2
 #: Shingles voted on in one go.
 STEP = 1 << 15
 
@@ -119,7 +121,8 @@ def _near_share(agree: np.ndarray, most: int) -> np.ndarray:
 
 def plan_probes(n: int, together: np.ndarray, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the groups to probe, of the least estimated work."""
-    share = together.diagonal() / max(n, 1)
+    n = max(n, 1)  # no fingerprints make no work, but then every plan would do
+    share = together.diagonal() / n
     agree = share**2 + (1 - share) ** 2
     best: tuple[float, list[tuple[list[int], int]]] = (np.inf, [])
     for m in range(1, distance + 2):
@@ -130,6 +133,7 @@ def plan_probes(n: int, together: np.ndarray, distance: int = DISTANCE) -> list[
             near = _near_share(agree[bits], distance)
             probes = np.cumsum([comb(len(bits), t) for t in range(distance + 1)])
             work = [0.0] + [n * probes[t] + CANDIDATE_COST * n * n / 2 * near[t] for t in range(distance + 1)]
+            work = [w if k <= MOST_THRESHOLD + 1 else np.inf for k, w in enumerate(work)]
             table = [
                 min(((table[s - k][0] + work[k], [*table[s - k][1], k - 1]) for k in range(s + 1)), key=lambda x: x[0])
                 for s in range(distance + 2)

@@ -252,12 +252,13 @@ def test_links_of_any_fingerprints(spark, flips):
 def test_thresholds_suffice():
     rng = np.random.default_rng(1)
     bits = rng.random((500, 64)) < np.linspace(0.05, 0.95, 64)
-    for n in (500, 10**6, 10**9):
+    for n in (0, 1, 500, 10**6, 10**9, 10**12):
         together = (bits.T.astype(float) @ bits) / 500 * n
         chosen = simhash.plan_probes(n, together)
         assert sum(t + 1 for _, t in chosen) == simhash.DISTANCE + 1
         used = [b for g, _ in chosen for b in g]
         assert len(used) == len(set(used)) and all(t >= 0 for _, t in chosen)
+        assert max(t for _, t in chosen) <= 2  # few masks, whatever the number of fingerprints
 
 
 # --- language ---
