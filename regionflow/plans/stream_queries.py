@@ -32,7 +32,10 @@ def _finish(streaming_query) -> None:
 
 
 def _closed(spark: SparkSession, stream: DataFrame, aggregate) -> DataFrame:
-    """All groups of an aggregated stream, as files: a last row far ahead closes every window."""
+    """All groups of an aggregated stream, as files: a last row far ahead closes every window.
+
+    The key tells that row from the events, whatever those hold: a struct of a mark and the country.
+    """
     end = fresh_path(spark, "end")
     last = spark.range(1).select(
         F.lit(None).cast("string").alias("country"),
@@ -42,10 +45,19 @@ def _closed(spark: SparkSession, stream: DataFrame, aggregate) -> DataFrame:
     )
     last.write.parquet(end)
     closing = snapshots.read_snapshot_stream(spark, end, last.schema)
-    results = aggregate(stream.unionByName(closing))
+    marked = lambda rows, mark: rows.withColumn("country", F.struct(F.lit(mark).alias("closing"), "country"))
+    results = aggregate(marked(stream, False).unionByName(marked(closing, True)))
     path = fresh_path(spark, "windows")
     _finish(snapshots.sink_files(results, path, fresh_path(spark, "checkpoint")))
-    return spark.read.schema(results.schema).parquet(path).filter(F.col("country").isNotNull())
+    found = spark.read.schema(results.schema).parquet(path).filter(~F.col("country.closing"))
+    return found.withColumn("country", F.col("country.country"))
+
+
+def _untimed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """The stream's events without a time, as files; no window takes them."""
+    path = fresh_path(spark, "untimed")
+    _finish(snapshots.sink_files(stream.filter(F.col("ts").isNull()), path, fresh_path(spark, "checkpoint")))
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 _T = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
@@ -104,9 +116,19 @@ def stream_archive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven-day windows sliding by a day, over the stream, in append mode to files."""
+    """Seven-day windows sliding by a day, over the stream, in append mode to files.
+
+    An event without a time counts, as any other, in seven windows; their start is null.
+    """
     rolling = lambda rows: snapshots.rolling_snapshot_agg(rows, "7 days", "1 day", watermark="1 day")
-    out = _closed(spark, _stream(spark, sf_dir), rolling).withColumn("start", F.to_date("start").cast("string"))
+    stream = _stream(spark, sf_dir)
+    windows = _closed(spark, stream, rolling)
+    sevenfold = _untimed(spark, stream).select("country", "i", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    unknown = sevenfold.groupBy("country").agg(
+        F.count("*").alias("n"), F.avg("i").alias("mean_value"), F.max("i").alias("peak"), F.sum("i").alias("total")
+    )
+    out = windows.unionByName(unknown.withColumn("start", F.lit(None).cast("timestamp")))
+    out = out.withColumn("start", F.to_date("start").cast("string"))
     return rounded(rounded(out, 4, "peak", "total"), 9, "mean_value")
 
 

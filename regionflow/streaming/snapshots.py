@@ -87,18 +87,30 @@ def series_partials(
     stream: DataFrame, watermark: str, key: str = "country", t: str = "t", value: str = "i",
     ts: str = "ts", thresh: float = 10.0,
 ) -> DataFrame:
-    """First hit, count and peak per country and day, for append mode; `merge_partials` puts them together."""
+    """First hit, count and peak per country and day, for append mode; `merge_partials` puts them together.
+
+    A row without a time has no day that could close: it is a partial of its own, with a null start.
+    """
     hit = (F.col(value) >= F.lit(thresh)) & ~F.isnan(value)
-    return (
+    first_hit = F.when(hit, F.col(t).cast("bigint"))
+    days = (
         stream.withWatermark(ts, watermark)
         .groupBy(F.window(ts, "1 day").alias("window"), key)
         .agg(
-            F.min(F.when(hit, F.col(t).cast("bigint"))).alias("first_hit"),
+            F.min(first_hit).alias("first_hit"),
             F.count("*").alias("n"),
             F.max(value).alias("peak"),
         )
         .select(F.col("window.start").alias("start"), key, "first_hit", "n", "peak")
     )
+    untimed = stream.filter(F.col(ts).isNull()).select(
+        F.lit(None).cast("timestamp").alias("start"),
+        key,
+        first_hit.alias("first_hit"),
+        F.lit(1).cast("bigint").alias("n"),
+        F.col(value).alias("peak"),
+    )
+    return days.unionByName(untimed)
 
 
 def merge_partials(partials: DataFrame, key: str = "country") -> DataFrame:

@@ -62,6 +62,34 @@ def test_cleaned_series_is_ordered(spark):
     assert rows == sorted(rows)
 
 
+@pytest.fixture(scope="module")
+def null_dir(tmp_path_factory):
+    """Events without a type, without a time and without both, beside whole ones."""
+    folder = tmp_path_factory.mktemp("nulls")
+    for name in os.listdir(SF_DIR):
+        if name != "events.parquet":
+            os.symlink(f"{SF_DIR}/{name}", folder / name)
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for n in range(240):
+        kind = ["view", "click", None][n % 3]
+        ts = None if n % 7 == 0 else start + datetime.timedelta(days=n % 30, seconds=n)
+        rows.append((n, ts, n % 7, kind, 150.0 + n / 2, "{}"))
+    schema = pq.read_schema(f"{SF_DIR}/events.parquet")
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+    pq.write_table(pa.table(columns, schema=schema), folder / "events.parquet")
+    return str(folder)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["rolling_snapshot_agg", "stream_series_metrics"])
+def test_streams_keep_null_types_and_times(spark, null_dir, name):
+    problem, *_ = check(spark, connect(null_dir), RUNS[name].run, RUNS[name].sql, null_dir)
+    assert problem is None
+    rows = RUNS[name].run(spark, null_dir).collect()
+    assert any(r["country"] is None for r in rows)
+
+
 def plan_of(spark, name):
     return RUNS[name].run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
