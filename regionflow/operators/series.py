@@ -45,9 +45,15 @@ def series_sort(df: DataFrame, key: str = "entity", day: str = "day") -> DataFra
     return df.orderBy(key, day)
 
 
+def longest(series: DataFrame, least: int = 0, key: str = "entity") -> Column:
+    """The rows of the entity that has most of them, and at least `least`; a scalar subquery."""
+    counts = series.groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.agg(F.greatest(F.lit(least), F.max("_n")).cast("int").alias("n")).scalar()
+
+
 def first_n_padded(
     series: DataFrame,
-    n: int,
+    n: int | Column,
     entities: DataFrame | None = None,
     key: str = "entity",
     day: str = "day",

@@ -81,7 +81,7 @@ def observed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def observed() -> DataFrame:
         obs = observations.read_observations(spark, path)
-        return observations.observed_targets(observations.observed_series(obs, aliases, 35), 4000.0)
+        return observations.observed_targets(observations.observed_series(obs, aliases, least=35), 4000.0)
 
     targets = observations.targets_or_default(observed, V.targets(spark, sf_dir))
     return rounded(targets, 4, "peak")
@@ -108,7 +108,7 @@ def calibrate_on_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations file to targets, the grid's runs against them, and the best cell."""
     aliases = tables.rows_to_df(spark, _ALIASES, "entity STRING, location STRING")
     obs = observations.read_observations(spark, _one_a_day(spark, sf_dir))
-    goals = observations.observed_targets(observations.observed_series(obs, aliases, 35), 4000.0)
+    goals = observations.observed_targets(observations.observed_series(obs, aliases, least=35), 4000.0)
     names = F.when(F.col("entity") == "view", "Views").when(F.col("entity") == "click", "Clicks").otherwise(F.col("entity"))
     runs = V.trajectories(spark, sf_dir).withColumn("entity", names)
     losses = calibrate.loss_surface(runs, goals, thresh=4000.0)

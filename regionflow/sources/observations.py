@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from regionflow.operators.series import (
     clean_series,
     first_n_padded,
+    longest,
     map_entity_names,
     select_cast,
     series_metrics,
@@ -42,10 +43,10 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def observed_series(obs: DataFrame, aliases: DataFrame, n: int) -> DataFrame:
-    """Cleaned, ordered and padded series of the aliased entities."""
+def observed_series(obs: DataFrame, aliases: DataFrame, least: int = 0) -> DataFrame:
+    """Cleaned and ordered series of the aliased entities, whole, all padded to the longest and at least to `least`."""
     named = clean_series(select_cast(map_entity_names(obs, aliases)))
-    return first_n_padded(named, n, entities=aliases)
+    return first_n_padded(named, longest(named, least), entities=aliases)
 
 
 def observed_targets(series: DataFrame, thresh: float = 10.0) -> DataFrame:

@@ -56,6 +56,14 @@ def test_long_series(spark, long_dir, name):
     assert problem is None and n > 0
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["observed_targets", "calibrate_on_observed"])
+def test_goals_of_whole_series(spark, long_dir, name):
+    sql = RUNS[name].sql.replace("range(35)", "range(720)")
+    problem, n, *_ = check(spark, connect(long_dir), RUNS[name].run, sql, long_dir)
+    assert problem is None and n > 0
+
+
 @needs_tables
 def test_cleaned_series_is_ordered(spark):
     rows = [(r["entity"], r["day"]) for r in RUNS["cleaned_series"].run(spark, SF_DIR).collect()]
