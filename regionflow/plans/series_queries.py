@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from regionflow import constants as K
 from regionflow.functions import scalar as S
 from regionflow.operators import calibrate, reshape, series, summary
+from regionflow.operators.skew import stored
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded
 from regionflow.sources.tables import rows_to_df
 
-#: Days that a report covers, counted from an entity's first day; later days are not in it.
+#: Days that a report covers at least; longer series are covered whole.
 HORIZON = 40
 THRESH = 400.0
 
@@ -46,12 +47,14 @@ def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily rows to padded series to arrival, peak and final, plain and per head, of the first `days` of `n_days` days."""
+    """Daily rows to padded series to arrival, peak and final, plain and per head, of an entity's `n_days` days padded to `days`."""
+    daily = stored(V.daily(spark, sf_dir, "user_id"), "daily")
+    days = series.longest(daily, HORIZON)
     report = series.region_metrics(
-        _padded_users(spark, sf_dir), _user_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
+        series.first_n_padded(daily, days), _user_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
     )
-    seen = V.daily(spark, sf_dir, "user_id").groupBy("entity").agg(F.count("*").alias("n_days"))
-    named = report.withColumn("days", F.lit(HORIZON)).join(seen, "entity")
+    seen = daily.groupBy("entity").agg(F.count("*").alias("n_days"))
+    named = report.withColumn("days", days).join(seen, "entity")
     return rounded(rounded(named, 4, "peak", "final"), 6, "peak_n")
 
 

@@ -64,6 +64,13 @@ def test_goals_of_whole_series(spark, long_dir, name):
     assert problem is None and n > 0
 
 
+@needs_tables
+def test_report_of_whole_series(spark, long_dir):
+    sql = RUNS["region_report"].sql.replace("range(40)", "range(720)").replace("40 AS days", "720 AS days")
+    problem, n, *_ = check(spark, connect(long_dir), RUNS["region_report"].run, sql, long_dir)
+    assert problem is None and n == 7
+
+
 @needs_tables
 def test_cleaned_series_is_ordered(spark):
     rows = [(r["entity"], r["day"]) for r in RUNS["cleaned_series"].run(spark, SF_DIR).collect()]
