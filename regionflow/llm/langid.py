@@ -83,15 +83,15 @@ class LanguageModel:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, slot counts as bytes), one row per language and task."""
+    """(lang, text, copies) to (lang, slot counts as bytes), one row per language and task."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+        for lang, text, copies in zip(*(batch[c].to_pylist() for c in ("lang", "text", "copies")), strict=True):
             own = counts.setdefault(lang, np.zeros(SLOTS, np.int64))
             codes = _codes(text)
             for n in NGRAMS:
                 for piece in _pieces(codes, n):
-                    own += np.bincount(_slots(piece, n), minlength=SLOTS)
+                    own += copies * np.bincount(_slots(piece, n), minlength=SLOTS)
     if counts:
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(counts, pa.string()), "counts": pa.array([c.tobytes() for c in counts.values()], pa.binary())}
@@ -101,19 +101,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, per_language: int = FIT_DOCS) -> LanguageModel:
     """Learns from (lang, text, key); rows without language or text teach nothing.
 
-    The n-gram counts are taken from whole texts of about `per_language`
-    documents a language, those with the smallest hash of `key`; that bounds the
-    work of fitting and nothing else. The languages' shares come from all rows.
+    The n-gram counts are taken from whole texts of about `per_language` different
+    documents a language, those with the smallest hash of `key` and text; that
+    bounds the work of fitting and nothing else. Equal rows are drawn together and
+    read once, with their number. The languages' shares come from all rows.
     """
     taught = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    shares = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    place = F.xxhash64(F.col("key"), F.col("text"))
+    sizes = taught.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(place).alias("different"))
+    found = sizes.limit(MOST_LANGUAGES + 1).collect()
+    shares = {r["lang"]: r["n"] for r in found}
     if len(shares) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not shares:
         return LanguageModel((), np.zeros((SLOTS, 0), np.float32), np.zeros(0))
-    drawn = (F.shiftrightunsigned(F.xxhash64(F.col("key")), 11) / F.lit(float(2**53))).alias("u")
-    share = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, min(1.0, per_language / n))])
-    sample = taught.filter(drawn < F.element_at(share, F.col("lang"))).repartition(FIT_TASKS, "key").select("lang", "text")
+    drawn = (F.shiftrightunsigned(place, 11) / F.lit(float(2**53))).alias("u")
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, per_language / min(r["n"], r["different"])))])
+    sample = _sample(taught.filter(drawn < F.element_at(share, F.col("lang"))))
     # the sample is small, so few tasks count it and give one row a language
     counted = sample.mapInArrow(_count, COUNTS).groupBy("lang").applyInArrow(_add_up, COUNTS)
     totals = {r["lang"]: np.frombuffer(r["counts"], np.int64) for r in counted.collect()}
@@ -125,6 +129,12 @@ def fit(rows: DataFrame, per_language: int = FIT_DOCS) -> LanguageModel:
     )
 
 
+def _sample(drawn: DataFrame) -> DataFrame:
+    """(lang, text, copies) of the rows drawn, dealt out without a key, as many rows may share one."""
+    each = drawn.groupBy("lang", "key", "text").agg(F.count("*").alias("copies"))
+    return each.select("lang", "text", "copies").repartition(FIT_TASKS)
+
+
 def _add_up(counts: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in counts["counts"])
     return pa.table({"lang": counts["lang"][:1], "counts": pa.array([total.tobytes()], pa.binary())})

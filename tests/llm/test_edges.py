@@ -275,6 +275,16 @@ def test_language_of_hard_texts(spark, hard, empty, docs_of):
     assert all(0.5 <= r.p.score <= 1 for r in rows if r.p.lang_pred != "und")
 
 
+def test_sample_of_rows_without_id_and_of_copies(spark):
+    rows = [("en", f"document {i:04d}", None) for i in range(600)] + [("de", "hund", 5)] * 300 + [("de", f"katze {i}", i) for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string, key long"), 100)
+    assert model.languages == ("de", "en")
+    # the smallest probability, that of an empty slot, tells how many n-grams were counted
+    de, en = langid.SMOOTHING / np.exp(model.log_ngrams.min(axis=0).astype(float)) - langid.SMOOTHING * langid.SLOTS
+    assert 50 < en / (2 * len("document 0000") - 3) < 160
+    assert round(de) == sum(2 * len(text) - 3 for lang, text, _ in rows if lang == "de")
+
+
 def test_scores_do_not_depend_on_the_batch():
     rng = np.random.default_rng(0)
     model = langid.LanguageModel(("a", "b"), rng.standard_normal((langid.SLOTS, 2)).astype(np.float32), np.zeros(2))
