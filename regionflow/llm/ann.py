@@ -25,13 +25,13 @@ SHARD, BLOCK, TREES, BITS = 8192, 2048, 128, 32
 #: Strings under the common prefixes, as a share of the shard, at which a query stops ascending; in small shards at least so many.
 ENOUGH, LEAST = 0.5, 4000
 SEED = 7
-_FOUND = "query_id long, vec_id long, score double"
+_FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, v) of the vectors that take part: with an id, at least one component not 0, none null or not finite.
 
-    Of several vectors with one id the smallest counts.
+    Exact repeats of a row count once; different vectors with one id are rows of their own.
     """
     infinite = F.lit(float("inf"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite)
@@ -42,7 +42,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         & F.forall("v", sound)
         & F.exists("v", lambda x: x != 0)
     )
-    return kept.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return kept.dropDuplicates(["vec_id", "v"])
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -103,40 +103,46 @@ class Forest:
 
 
 def _search(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
-    found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    found: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
     if queries.num_rows and shard.num_rows:
         dim = shard["dim"][0].as_py()
         vectors, asked = _matrix(shard["v"], dim), _matrix(queries["v"], dim)
-        ids, own = shard["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+        ids, own, rows = shard["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["query_row"].to_numpy()
         enough = max(LEAST, int(ENOUGH * len(vectors)))
         for q, near in enumerate(Forest(vectors).candidates(asked, enough)):
-            near = near[ids[near] != own[q]]
+            itself = ids[near] == own[q]
+            itself[itself] = (vectors[near[itself]] == asked[q]).all(axis=1)
+            near = near[~itself]
             scores = cosines(vectors[near], asked[q])
             best = np.lexsort((ids[near], -scores))[:k]
+            found["query_row"] += [rows[q]] * len(best)
             found["query_id"] += [own[q]] * len(best)
             found["vec_id"] += ids[near][best].tolist()
             found["score"] += scores[best].tolist()
-    return pa.table({"query_id": pa.array(found["query_id"], pa.int64()), "vec_id": pa.array(found["vec_id"], pa.int64()), "score": pa.array(found["score"], pa.float64())})
+    types = {"score": pa.float64()}
+    return pa.table({name: pa.array(values, types.get(name, pa.int64())) for name, values in found.items()})
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` vectors of largest cosine found for each query, ties to the smaller id.
 
-    Both tables are those of `usable`. A query meets vectors of its own length
-    and of another id. Fewer than `k` rows mean that there are no more.
+    Both tables are those of `usable`. A query meets vectors of its own length, all
+    rows but its own; queries that share an id have `k` rows each. Fewer than `k`
+    rows mean that there are no more.
     """
-    vectors, queries = stored(vectors, "vectors"), stored(queries, "queries")
+    vectors = stored(vectors, "vectors")
+    queries = stored(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
     n, asked = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-asked // BLOCK))
-    part = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(of)).cast("int")
+    part = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     keys = ["dim", "shard", "block"]
     index = vectors.select("vec_id", "v", F.size("v").alias("dim"), part(1, shards).alias("shard")).withColumn("block", every(blocks))
-    wanted = queries.select("vec_id", "v", F.size("v").alias("dim"), part(2, blocks).alias("block")).withColumn("shard", every(shards))
+    wanted = queries.select("query_row", "vec_id", "v", F.size("v").alias("dim"), part(2, blocks).alias("block")).withColumn("shard", every(shards))
     found = (
         wanted.groupBy(*keys)
         .cogroup(index.groupBy(*keys))
         .applyInArrow(lambda left, right: _search(left, right, k), _FOUND)
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

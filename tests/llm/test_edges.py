@@ -310,6 +310,13 @@ def test_nearest_of_hard_vectors(spark):
     assert ann.nearest(usable.limit(0), usable.limit(0), 2).count() == 0
 
 
+def test_vectors_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0])]
+    usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = ann.nearest(usable.filter("vec_id = 0"), usable, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in got) == [(0, 1, 0, 0.707), (0, 1, 0, 0.707), (0, 2, 1, 0.0), (0, 2, 1, 0.707)]
+
+
 def test_shards_and_ties(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 64)
     rng = np.random.default_rng(2)
