@@ -44,7 +44,7 @@ FROM p JOIN f ON p.g = f.g
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    archive = warc.read_archive(spark, path)
+    archive = warc.checked(warc.records(warc.read_archive(spark, path)))
     return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -124,6 +124,15 @@ def records(archive: DataFrame) -> DataFrame:
     return archive.withColumn("record", F.concat(F.col("head").cast("binary"), body, F.lit((END + END).encode())))
 
 
+def checked(archive: DataFrame) -> DataFrame:
+    """The rows of `records`; one whose bytes are not as many as its head says fails the job."""
+    header = F.octet_length(F.substring_index("head", END + END, 1)) + len(END + END)
+    block = F.regexp_extract("head", r"\r\nContent-Length: ([0-9]+)\r\n", 1).try_cast("long")
+    sound = F.octet_length("record").eqNullSafe(header + block + len(END + END))
+    refused = F.raise_error(F.concat(F.lit("a record of another length than its head says: "), F.col("payload_digest")))
+    return archive.withColumn("payload_digest", F.when(sound, F.col("payload_digest")).otherwise(refused.cast("string")))
+
+
 def export_warc(archive: DataFrame, path: str) -> None:
     """Writes the records of `read_archive` as plain WARC files, one per task. Payloads must be UTF-8 text."""
     body = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))

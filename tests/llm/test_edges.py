@@ -109,6 +109,23 @@ def test_archive_refuses_a_changed_payload(spark):
         warc.read_archive(spark, other).collect()
 
 
+def test_query_rebuilds_records(spark, tmp_path, monkeypatch):
+    write = warc.write_archive
+
+    def damaged(pages, path):
+        write(pages, f"{path}-whole")
+        spark.read.parquet(f"{path}-whole/payloads").write.parquet(f"{path}/payloads")
+        heads = spark.read.parquet(f"{path}-whole/records")
+        heads.select(F.regexp_replace("head", r"\r\nContent-Length: (\d+)\r\n\r\n", "\r\nContent-Length: 1$1\r\n\r\n").alias("head")).write.parquet(f"{path}/records")
+
+    pages = spark.createDataFrame([(1, "u", "é" * 200), (2, None, "é" * 200), (None, "v", None)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert len(q.QUERIES["op1_warc"](spark, str(tmp_path)).collect()) == 3
+    monkeypatch.setattr(warc, "write_archive", damaged)
+    with pytest.raises(Exception, match="another length than its head says"):
+        q.QUERIES["op1_warc"](spark, str(tmp_path)).collect()
+
+
 def test_empty_archive(spark):
     path = fresh_path(spark, "archive")
     warc.write_archive(spark.createDataFrame([], PAGES), path)
