@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
+from regionflow.llm import ann, chat, importance, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
 from regionflow.llm.common import col, small_batches, words_in
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
@@ -247,3 +247,55 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         prefixfree.n_spans(F.col("spans")).alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+#: CTE `crc_table`: the register after each byte, from an empty one.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                              lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS v
+        FROM range(256) r(i)))"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes; needs `crc_table`."""
+    octets = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce({octets}, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::BIGINT))"
+
+
+def _features_sql(table: str, name: str) -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""{name}_words AS (
+  SELECT row_number() OVER () AS r, * FROM (
+    SELECT *, coalesce(regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM {table})),
+{name}_features AS (
+  SELECT r, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS f FROM {name}_words)"""
+
+
+@_query(
+    "op13_importance",
+    f"""
+WITH {_CRC_TABLE},
+{_features_sql("documents", "d")},
+{_features_sql("benchmark", "b")},
+buckets AS (SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT f FROM d_features UNION SELECT f FROM b_features), crc_table),
+d AS (SELECT r, bucket FROM d_features JOIN buckets USING (f)),
+s AS (SELECT bucket, count(*) AS s FROM d GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b_features JOIN buckets USING (f) GROUP BY bucket),
+gains AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE)
+            / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM d JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5)
+               / 4294967296.0::DOUBLE)))::BIGINT AS score
+           FROM d_words LEFT JOIN weights USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+             floor(5 * count(*) FILTER (n_words >= 20) OVER () / 100) AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM placed
+""",
+)
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
