@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import ann, chat, importance, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
+from regionflow.llm import ann, chat, importance, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, spelling, subtrees, warc
 from regionflow.llm.common import col, small_batches, words_in
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
@@ -299,3 +299,53 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= m
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@_query(
+    "op11_spelling",
+    f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+named AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("name")} AS h FROM named, crc_table),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+        FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+open_ AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS k FROM places),
+less AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS k FROM places),
+near AS (SELECT a.word, b.word AS other FROM open_ a JOIN open_ b ON a.k = b.k AND a.word <> b.word
+         UNION SELECT less.word, words.word FROM less JOIN words ON words.word = k
+         UNION SELECT words.word, less.word FROM less JOIN words ON words.word = k),
+best AS (SELECT near.word, count(*) AS n_near, min((-w.n, other)) AS best FROM near JOIN words w ON w.word = other GROUP BY near.word),
+found AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near,
+            CASE WHEN -(best[1]) >= 10 * n THEN best[2] END AS form, CASE WHEN -(best[1]) >= 10 * n THEN -(best[1]) END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+up AS (SELECT word, form AS root FROM found WHERE form IS NOT NULL
+       UNION ALL SELECT up.word, found.form FROM up JOIN found ON found.word = up.root WHERE found.form IS NOT NULL),
+tops AS (SELECT up.word, up.root FROM up JOIN found ON found.word = up.root WHERE found.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n::BIGINT AS form_n FROM found LEFT JOIN tops USING (word)
+""",
+)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counted(spelling.corpus_words(_table(spark, sf_dir, "documents"))))
+
+
+@_query(
+    "op12_substrings",
+    r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(50)) AS i FROM s JOIN f USING (g) WHERE doc_id > least),
+k AS (SELECT l.doc_id, string_agg(word, ' ' ORDER BY l.i) AS kept, count(*) AS n
+      FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) l
+      LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i WHERE gone.i IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+)
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = subtrees.remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
