@@ -36,14 +36,18 @@ def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "region_report",
     f"""
-    WITH p AS ({_USER_PADDED}),
+    WITH s AS ({V.SERIES_USER_SQL}),
+    d AS (SELECT entity, count(*) AS n_days FROM s GROUP BY entity),
+    longest AS (SELECT CAST(greatest({HORIZON}, max(n_days)) AS INTEGER) AS days FROM d),
+    p AS (SELECT g.entity, CAST(g.t AS INTEGER) AS t, coalesce(s.value, 0e0) AS value
+          FROM (SELECT entity, unnest(range(days)) AS t FROM d, longest) g LEFT JOIN s ON s.entity = g.entity AND s.t = g.t),
     m AS (SELECT entity, {_METRICS.format(thresh=THRESH)} FROM p GROUP BY entity),
     n AS (SELECT entity, count(*) * 37 + 1000 AS pop FROM ({V.OBS_USER_SQL}) GROUP BY entity),
     r AS (SELECT p.entity, CAST(coalesce(min(CASE WHEN value / greatest(1, pop) >= 0.05 THEN t END), count(*)) AS INTEGER)
           AS arrival_n, round(max(value / greatest(1, pop)), 6) AS peak_n
           FROM p JOIN n ON n.entity = p.entity GROUP BY p.entity)
-    SELECT m.entity, arrival, peak, final, arrival_n, peak_n, {HORIZON} AS days, n_days FROM m JOIN r ON m.entity = r.entity
-    JOIN (SELECT entity, count(*) AS n_days FROM ({V.SERIES_USER_SQL}) GROUP BY entity) d ON d.entity = m.entity
+    SELECT m.entity, arrival, peak, final, arrival_n, peak_n, days, n_days
+    FROM m JOIN r ON m.entity = r.entity JOIN d ON d.entity = m.entity, longest
     """,
 )
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:

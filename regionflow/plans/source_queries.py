@@ -63,13 +63,18 @@ def _one_a_day(spark: SparkSession, sf_dir: str) -> str:
 
 _ALIASES = [("Views", "view"), ("Clicks", "click"), ("Nowhere", "nowhere")]
 _NAMES = "(VALUES ('Views', 'view'), ('Clicks', 'click'), ('Nowhere', 'nowhere')) n(entity, location)"
+#: CTE `p` over `s`: the aliased entities' series, padded to the longest of them and to at least 35 days.
+_OBSERVED = f"""
+    d AS (SELECT unnest(range((SELECT greatest(35, max(n)) FROM (
+            SELECT count(*) AS n FROM s JOIN {_NAMES} ON s.entity = n.location GROUP BY location)))) AS t),
+    p AS (SELECT n.entity, d.t, coalesce(s.value, 0) AS value
+        FROM {_NAMES} CROSS JOIN d LEFT JOIN s ON s.entity = n.location AND s.t = d.t)"""
 
 
 @query(
     "observed_targets",
     f"""
-    WITH s AS ({V.SERIES_SQL}), p AS (SELECT n.entity, t.t, coalesce(s.value, 0) AS value
-        FROM {_NAMES} CROSS JOIN range(35) t(t) LEFT JOIN s ON s.entity = n.location AND s.t = t.t)
+    WITH s AS ({V.SERIES_SQL}), {_OBSERVED}
     SELECT entity, CAST(coalesce(min(CASE WHEN value >= 4000 THEN t END), count(*)) AS DOUBLE) AS t_arrive,
     round(max(value), 4) AS peak FROM p GROUP BY entity
     """,
@@ -88,8 +93,7 @@ def observed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CALIBRATED = f"""
-    WITH s AS ({V.SERIES_SQL}), p AS (SELECT n.entity, t.t, coalesce(s.value, 0) AS value
-        FROM {_NAMES} CROSS JOIN range(35) t(t) LEFT JOIN s ON s.entity = n.location AND s.t = t.t),
+    WITH s AS ({V.SERIES_SQL}), {_OBSERVED},
     goal AS (SELECT entity, coalesce(min(CASE WHEN value >= 4000 THEN t END), count(*)) AS t_arrive, max(value) AS peak
         FROM p GROUP BY entity),
     m AS (SELECT beta, travel, CASE entity WHEN 'view' THEN 'Views' WHEN 'click' THEN 'Clicks' ELSE entity END AS entity,

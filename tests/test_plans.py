@@ -23,7 +23,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 RUNS = catalog()
 SERIES = [
     "series_metrics", "normalised_metrics", "rmse", "join_targets", "loss_surface", "best_cell", "param_grid",
-    "surface_pivot", "surface_file", "ema_spread", "targets_or_default", "calibrate_on_observed", "cleaned_series",
+    "surface_pivot", "surface_file", "ema_spread", "targets_or_default", "observed_targets", "calibrate_on_observed", "region_report", "cleaned_series",
 ]
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables")
@@ -56,21 +56,6 @@ def test_long_series(spark, long_dir, name):
     assert problem is None and n > 0
 
 
-@needs_tables
-@pytest.mark.parametrize("name", ["observed_targets", "calibrate_on_observed"])
-def test_goals_of_whole_series(spark, long_dir, name):
-    sql = RUNS[name].sql.replace("range(35)", "range(720)")
-    problem, n, *_ = check(spark, connect(long_dir), RUNS[name].run, sql, long_dir)
-    assert problem is None and n > 0
-
-
-@needs_tables
-def test_report_of_whole_series(spark, long_dir):
-    sql = RUNS["region_report"].sql.replace("range(40)", "range(720)").replace("40 AS days", "720 AS days")
-    problem, n, *_ = check(spark, connect(long_dir), RUNS["region_report"].run, sql, long_dir)
-    assert problem is None and n == 7
-
-
 @needs_tables
 def test_cleaned_series_is_ordered(spark):
     rows = [(r["entity"], r["day"]) for r in RUNS["cleaned_series"].run(spark, SF_DIR).collect()]
