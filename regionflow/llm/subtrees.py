@@ -4,8 +4,9 @@ Every window of words has an anchor: the run of GRAM words in it with the least
 hash. Suffixes start at anchors, about one in eighteen places, and windows with
 equal words have equal anchors at equal offsets. Prefixes split the suffixes into
 groups that fit in memory: GRAM words, or, where more suffixes share these than a
-subtree may hold, all words of a window, whose group is a single node. A prefix in
-one document alone ends there. The suffixes of the other groups travel with
+subtree may hold, all words around an anchor, and then all words of a window; such
+a group is a single node. A prefix in one document alone ends there. The suffixes of
+the other groups travel with
 the words before them, and a subtree is built over them as a sorted list with the
 lengths of common prefixes: a run of suffixes that share `d` words is the node of
 depth d. The nodes deep enough for a window, met with those of the words before,
@@ -79,26 +80,34 @@ def _scan(window: int, gram: int):
 
 
 def _suffix_type(id_type: T.DataType) -> T.StructType:
-    return (
-        T.StructType()
-        .add("whole", T.BooleanType())
-        .add("k1", T.LongType())
-        .add("k2", T.LongType())
-        .add("id", id_type)
-        .add("h1", T.LongType())
-        .add("h2", T.LongType())
-        .add("first", T.IntegerType())
-        .add("pos", T.IntegerType())
-        .add("windows", T.IntegerType())
-        .add("words", T.BinaryType())
-    )
+    """`firsts`: the first windows of equal suffixes of a text; `before`: words before the suffix; `windows`: how many there are."""
+    kind = T.StructType().add("whole", T.BooleanType()).add("k1", T.LongType()).add("k2", T.LongType()).add("id", id_type)
+    kind = kind.add("h1", T.LongType()).add("h2", T.LongType()).add("firsts", T.ArrayType(T.IntegerType()))
+    return kind.add("before", T.IntegerType()).add("windows", T.IntegerType()).add("words", T.BinaryType())
+
+
+_NAMES = ["whole", "k1", "k2", "id", "h1", "h2", "firsts", "before", "windows", "words"]
+
+
+def _batches(batch: pa.RecordBatch, i: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Suffix rows (whole, k1, k2, firsts, before, windows, words) of a batch's row i."""
+    for s in range(0, len(rows), 4096):
+        whole, k1, k2, firsts, before, windows, words = zip(*rows[s : s + 4096], strict=True)
+        same = [batch[c].take(pa.array([i] * len(whole))) for c in ("id", "h1", "h2")]
+        columns = [pa.array(whole), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), *same, pa.array(firsts, pa.list_(pa.int32()))]
+        columns += [pa.array(before, pa.int32()), pa.array(windows, pa.int32()), pa.array(words, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _hash(words: bytes) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxh3_128_digest(words), np.int64).tolist())
 
 
 def _suffixes(window: int):
-    """Texts with their wanted anchors to suffix rows.
+    """Texts with their anchors and the wanted prefixes to suffix rows, each with the words of all its windows.
 
-    A suffix of a short prefix has the words of all its windows; one of a prefix
-    that too many share is a row for each window, with the hash of its words.
+    Suffixes of a prefix that too many share get the hash of these words for a key,
+    and those of one text with equal words are one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,23 +115,36 @@ def _suffixes(window: int):
             for i in range(batch.num_rows):
                 data = batch["text"][i].as_py().encode("utf-8", "surrogatepass")
                 starts, ends = (x.tolist() for x in _places(data))
+                wanted = {w["prefix"]: w["whole"] for w in batch["wanted"][i].as_py()}
                 rows: list[tuple] = []
-                for w in batch["wanted"][i].as_py():
-                    if not w["whole"]:
-                        words = data[starts[w["first"]] : ends[w["last"] + window - 1]]
-                        rows.append((False, w["prefix"], 0, w["first"], w["pos"], w["last"] - w["first"] + 1, words))
+                equal: dict[tuple, list[int]] = {}
+                for a in batch["anchors"][i].as_py():
+                    whole = wanted.get(a["prefix"])
+                    if whole is None:
                         continue
-                    for at in range(w["first"], w["last"] + 1):
-                        own = b" ".join(data[starts[at] : ends[at + window - 1]].split())
-                        k1, k2 = np.frombuffer(xxh3_128_digest(own), np.int64).tolist()
-                        rows.append((True, k1, k2, at, at, 1, None))
-                for s in range(0, len(rows), 4096):
-                    part = list(zip(*rows[s : s + 4096], strict=True))
-                    same = lambda c, n=len(part[0]): batch[c].take(pa.array([i] * n))  # noqa: B023, E731
-                    ints = lambda x: pa.array(x, pa.int32())
-                    columns = [pa.array(part[0]), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), same("id"), same("h1"), same("h2")]
-                    columns += [ints(part[3]), ints(part[4]), ints(part[5]), pa.array(part[6], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["whole", "k1", "k2", "id", "h1", "h2", "first", "pos", "windows", "words"])
+                    words = data[starts[a["first"]] : ends[a["last"] + window - 1]]
+                    size = a["pos"] - a["first"], a["last"] - a["first"] + 1
+                    if whole:
+                        equal.setdefault((*size, b" ".join(words.split())), []).append(a["first"])
+                    else:
+                        rows.append((False, a["prefix"], 0, [a["first"]], *size, words))
+                rows += [(True, *_hash(words), firsts, *size, words) for (*size, words), firsts in equal.items()]
+                yield from _batches(batch, i, rows)
+
+    return run
+
+
+def _windows(window: int):
+    """Suffix rows to one for each of their windows, by the hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, firsts = batch["words"][i].as_py().split(), batch["firsts"][i].as_py()
+                rows = []
+                for k in range(batch["windows"][i].as_py()):
+                    rows.append((True, *_hash(b" ".join(words[k : k + window])), [f + k for f in firsts], 0, 1, None))
+                yield from _batches(batch, i, rows)
 
     return run
 
@@ -148,8 +170,8 @@ def _repeats(table: pa.Table, window: int, gram: int) -> pa.Table:
     flat = np.array([numbers.setdefault(w, len(numbers) + 1) for t in texts for w in t], np.int32)
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes) - sizes
-    first, pos, windows = (table[c].to_numpy().astype(np.int64) for c in ("first", "pos", "windows"))
-    before = pos - first  # words before the suffix
+    first = np.array([x[0].as_py() for x in table["firsts"]])  # suffixes of short prefixes are not folded
+    before, windows = (table[c].to_numpy().astype(np.int64) for c in ("before", "windows"))
     reach = np.arange(window)
     at = before[:, None] + reach
     after = np.where(at < sizes[:, None], flat[np.minimum(begin[:, None] + at, len(flat) - 1)], 0)
@@ -210,24 +232,37 @@ def repeats(
     place = F.struct(F.col("id").isNull().alias("none"), "id")
     scanned = docs.select("h1", "h2", place.alias("place"), _scan(window, gram)(F.col("text")).alias("anchors"))
     texts = stored(scanned.groupBy("h1", "h2").agg(F.min("place").alias("least"), F.any_value("anchors").alias("anchors")), "anchors")
-    anchors = texts.select("h1", "h2", "least", F.inline("anchors"))
-    shared = anchors.groupBy("prefix").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
+    # all suffixes are counted, but a text asks for each of its prefixes once
+    prefixes = texts.select("h1", "h2", "least", F.explode(F.transform("anchors", lambda a: a["prefix"])).alias("prefix"))
+    shared = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
     shared = shared.filter("a < b").select("prefix", (F.col("n") > most).alias("whole"))
-    wanted = anchors.join(shared, "prefix").groupBy("h1", "h2").agg(
-        F.min("least").alias("least"), F.collect_list(F.struct("prefix", "pos", "first", "last", "whole")).alias("wanted")
-    )
+    asked = texts.select("h1", "h2", F.explode(F.array_distinct(F.transform("anchors", lambda a: a["prefix"]))).alias("prefix"))
+    wanted = asked.join(shared, "prefix").groupBy("h1", "h2").agg(F.collect_list(F.struct("prefix", "whole")).alias("wanted"))
     once = docs.groupBy("h1", "h2").agg(F.any_value("text").alias("text"))
-    sent = once.join(wanted, ["h1", "h2"]).select("h1", "h2", F.col("least.id").alias("id"), "text", "wanted")
+    sent = once.join(wanted, ["h1", "h2"]).join(texts, ["h1", "h2"])
+    sent = sent.select("h1", "h2", F.col("least.id").alias("id"), "text", "anchors", "wanted")
     kind = _suffix_type(docs.schema["id"].dataType)
     suffixes = stored(sent.mapInArrow(_suffixes(window), kind), "suffixes")
 
+    grouped = suffixes.filter("NOT whole").select("k1", "id", "h1", "h2", "firsts", "before", "windows", "words")
     spans = "h1 long, h2 long, first int, stop int"
-    grouped = suffixes.filter("NOT whole").select("k1", "id", "h1", "h2", "first", "pos", "windows", "words")
     inner = grouped.repartition("k1").sortWithinPartitions("k1").mapInArrow(_subtrees(window, gram, at_once), spans)
-    nodes = suffixes.filter("whole").select("k1", "k2", place.alias("place"), "h1", "h2", "first")
-    deep = nodes.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
-    whole = nodes.join(deep, ["k1", "k2"]).filter("place > least")
-    whole = whole.select("h1", "h2", "first", (F.col("first") + window).cast("int").alias("stop"))
+
+    def nodes(rows: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows whose keys are in several documents, with the `least` of these; with all others if `how` is left."""
+        rows = rows.withColumn("place", place)
+        deep = rows.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
+        return rows.join(deep.drop("most"), ["k1", "k2"], how)
+
+    def covered(rows: DataFrame) -> DataFrame:
+        """The words of all windows of rows that a smaller document has as they are."""
+        found = rows.filter("place > least").select("h1", "h2", F.explode("firsts").alias("first"), "windows")
+        return found.select("h1", "h2", "first", (F.col("first") + F.col("windows") + (window - 1)).cast("int").alias("stop"))
+
+    # equal words around an anchor are met as a whole; what is left of them, and all others, window by window
+    around = stored(nodes(suffixes.filter("whole"), "left"), "around")
+    left = around.filter("least IS NULL OR place <= least").select(*_NAMES)
+    whole = covered(around).unionByName(covered(nodes(left.mapInArrow(_windows(window), kind))))
     return texts.select("h1", "h2", "least"), inner.unionByName(whole)
 
 
