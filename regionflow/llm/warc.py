@@ -40,6 +40,7 @@ def write_archive(
     url: str = "url",
     payload: str = "html",
     least_bytes: int = LEAST_BYTES,
+    date: Column | None = None,
 ) -> None:
     """Writes one record per row of `pages` to the archive folder `path`.
 
@@ -48,12 +49,17 @@ def write_archive(
     others revisit them; smaller payloads are always responses. Null ids come
     last: they revisit any row with an id, and are responses among themselves.
     Repeated rows of the smallest id are each a response. A null address leaves
-    its header line out. Other columns are ignored.
+    its header line out. `date`, the time of a record, is that of writing if it is
+    not given. A record is named by its id, whatever its type, or by a random name
+    if that is null. Other columns are ignored.
     """
+    named = lambda x: F.concat(F.lit("<urn:page:"), F.url_encode(x.cast("string")), F.lit(">"))
+    time = F.date_format(F.to_utc_timestamp(F.current_timestamp() if date is None else date, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = (
         pages.select(
             col(page_id).alias("id"),
             col(url).cast("string").alias("url"),
+            time.alias("date"),
             F.coalesce(col(payload).cast("string"), F.lit("")).alias("payload"),
         )
         .withColumn("digest", F.sha2("payload", 256))
@@ -61,7 +67,7 @@ def write_archive(
     )
     rows.groupBy("digest").agg(F.first("payload").cast("binary").alias("payload")).write.parquet(f"{path}/payloads")
 
-    heads = rows.select("id", "url", "digest", "bytes")
+    heads = rows.select("id", "url", "date", "digest", "bytes")
     first = heads.groupBy("digest").agg(F.min("id").alias("first_id"))
     revisit = (F.col("bytes") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first_id"))
     http = F.concat(
@@ -76,11 +82,12 @@ def write_archive(
             F.concat(
                 F.lit(f"WARC/1.1{END}"),
                 _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-                _line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))),
+                _line("WARC-Record-ID", F.coalesce(named(F.col("id")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))),
+                _line("WARC-Date", F.col("date")),
                 _line("WARC-Target-URI", F.col("url")),
                 _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
                 _line("WARC-Payload-Length", F.col("bytes").cast("string")),
-                _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("first_id").cast("string"), F.lit(">")))),
+                _line("WARC-Refers-To", F.when(revisit, named(F.col("first_id")))),
                 _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
                 F.when(revisit, F.lit("")).otherwise(F.lit(f"Content-Type: application/http;msgtype=response{END}")),
                 F.lit("Content-Length: "),
@@ -93,29 +100,34 @@ def write_archive(
     )
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: its parsed head, `head`, `payload`.
+def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """One row per record: its parsed head, `head`, `payload`; ids are read as `id_type`.
 
-    Every payload is hashed again; one that is missing or does not match its
-    digest fails the job.
+    Every stored payload is hashed again, once; one that does not match its digest,
+    or is missing or of another length than a record says, fails the job.
     """
+
+    def page(name: str) -> Column:
+        found = F.regexp_extract("head", rf"\r\n{name}: <urn:page:([^>\r]*)>", 1)
+        return F.when(F.contains(F.col("head"), F.lit(f"\r\n{name}: <urn:page:")), F.url_decode(found)).cast(id_type)
+
+    def sure(fits: Column) -> Column:
+        refused = F.raise_error(F.concat(F.lit("no sound payload for "), F.col("payload_digest")))
+        return F.when(fits, F.col("payload_digest")).otherwise(refused.cast("string"))
+
     heads = spark.read.parquet(f"{path}/records").select(
         "head",
-        F.regexp_extract("head", r"\r\nWARC-Record-ID: <urn:page:([^>\r]*)>", 1).try_cast("long").alias("page_id"),
+        page("WARC-Record-ID").alias("page_id"),
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Target-URI").alias("url"),
         F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("payload_digest"),
         _field("WARC-Payload-Length").cast("long").alias("payload_bytes"),
-        F.regexp_extract("head", r"\r\nWARC-Refers-To: <urn:page:([^>\r]*)>", 1).try_cast("long").alias("refers_to"),
+        page("WARC-Refers-To").alias("refers_to"),
     )
     payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("payload_digest"), "payload")
-    sound = F.sha2("payload", 256).eqNullSafe(F.col("payload_digest")) & (
-        F.octet_length("payload") == F.col("payload_bytes")
-    )
-    verified = F.when(sound, F.col("payload_digest")).otherwise(
-        F.raise_error(F.concat(F.lit("no sound payload for "), F.col("payload_digest"))).cast("string")
-    )
-    return heads.join(payloads, "payload_digest", "left").withColumn("payload_digest", verified)
+    payloads = payloads.withColumn("payload_digest", sure(F.sha2("payload", 256) == F.col("payload_digest")))
+    whole = heads.join(payloads, "payload_digest", "left")
+    return whole.withColumn("payload_digest", sure(F.octet_length("payload").eqNullSafe(F.col("payload_bytes"))))
 
 
 def records(archive: DataFrame) -> DataFrame:
