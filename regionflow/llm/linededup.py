@@ -22,9 +22,9 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
         ),
     )
     return (
-        rows.select(F.col("id").isNull().alias("no_id"), "id", "rid", F.posexplode(hashed).alias("pos", "w"))
+        rows.select(F.col("id").isNull().alias("no_id"), "id", "own", "rid", F.posexplode(hashed).alias("pos", "w"))
         .filter("w.said")
-        .select("no_id", "id", "rid", "pos", "w.h1", "w.h2")
+        .select("no_id", "id", "own", "rid", "pos", "w.h1", "w.h2")
     )
 
 
@@ -33,15 +33,16 @@ def remove_repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "do
 
     Lines end at line feeds. Every run of `window` consecutive lines is hashed
     (128 bits); of equal runs with any text in them, wherever they stand, the
-    first in the order (doc_id, row, line) stays and every other one marks its
-    lines. Marked lines go; overlapping marks are merged. A null id comes last;
+    first in the order (doc_id, hash of the text, line) stays and every other one
+    marks its lines, so that it does not matter how the rows are stored. Marked lines go; overlapping marks are merged. A null id comes last;
     repeated rows count as copies, so one of them stays whole. A null text stays
     null with 0 lines; a text of fewer lines than `window` is kept as it is.
     """
     rows = keyed(docs, "lines", id=col(doc_id))
     lines = F.split(F.col("row")[text], "\n", -1)
-    windows = _windows(rows.select("rid", "id", lines.alias("lines")), window)
-    place = F.struct("no_id", "id", "rid", "pos")
+    own = F.conv(F.substring(F.md5(F.col("row")[text]), 1, 15), 16, 10).cast("long").alias("own")
+    windows = _windows(rows.select("rid", "id", own, lines.alias("lines")), window)
+    place = F.struct("no_id", "id", "own", "rid", "pos")
     first = stored(
         windows.groupBy("h1", "h2")
         .agg(F.min(place).alias("first"), F.count("*").alias("n"))
