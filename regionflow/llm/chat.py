@@ -40,7 +40,8 @@ def preference_pairs(convs: DataFrame) -> DataFrame:
     the smallest id is chosen against each of the others. A conversation alone
     with its first turn is chosen against itself with a stale last answer, that
     is, its last assistant turn replaced by its first one; without an assistant
-    turn it makes no pair. Openings are compared by a SHA-256 of role and text.
+    turn it makes no pair. Sides that are equal turn by turn, which leave nothing to
+    prefer, make no pair. Openings are compared by a SHA-256 of role and text.
     """
     convs = stored(convs, "conversations")
     first = F.get("turns", F.lit(0))
@@ -78,7 +79,8 @@ def preference_pairs(convs: DataFrame) -> DataFrame:
         .filter(F.size("answers") > 0)
         .select("chosen_id", F.col("conv_id").alias("rejected_id"), F.col("turns").alias("chosen"), stale.alias("rejected"))
     )
-    return against_others.unionByName(against_itself)
+    both = against_others.unionByName(against_itself)
+    return both.filter(~F.col("chosen").eqNullSafe(F.col("rejected")))
 
 
 def _head(turn: Column) -> Column:
