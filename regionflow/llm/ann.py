@@ -29,9 +29,11 @@ _FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the vectors that take part: with an id, at least one component not 0, none null or not finite.
+    """(vec_id, v, copies) of the vectors that take part: with an id, at least one component not 0, none null or not finite.
 
-    Exact repeats of a row count once; different vectors with one id are rows of their own.
+    Exact repeats of a row are one row here, with their number; they are
+    found, and ask, as often as they occur. Different vectors with one id are rows
+    of their own.
     """
     infinite = F.lit(float("inf"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < infinite)
@@ -42,7 +44,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         & F.forall("v", sound)
         & F.exists("v", lambda x: x != 0)
     )
-    return kept.dropDuplicates(["vec_id", "v"])
+    return kept.groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -108,11 +110,12 @@ def _search(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
         dim = shard["dim"][0].as_py()
         vectors, asked = _matrix(shard["v"], dim), _matrix(queries["v"], dim)
         ids, own, rows = shard["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["query_row"].to_numpy()
+        copies = np.minimum(shard["copies"].to_numpy(), k + 1)
         enough = max(LEAST, int(ENOUGH * len(vectors)))
         for q, near in enumerate(Forest(vectors).candidates(asked, enough)):
             itself = ids[near] == own[q]
             itself[itself] = (vectors[near[itself]] == asked[q]).all(axis=1)
-            near = near[~itself]
+            near = np.repeat(near, copies[near] - itself)  # a query's other copies are candidates
             scores = cosines(vectors[near], asked[q])
             best = np.lexsort((ids[near], -scores))[:k]
             found["query_row"] += [rows[q]] * len(best)
@@ -127,8 +130,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the `k` vectors of largest cosine found for each query, ties to the smaller id.
 
     Both tables are those of `usable`. A query meets vectors of its own length, all
-    rows but its own; queries that share an id have `k` rows each. Fewer than `k`
-    rows mean that there are no more.
+    rows but its own; queries that share an id have `k` rows each, copies of a
+    query included. Fewer than `k` rows mean that there are no more.
     """
     vectors = stored(vectors, "vectors")
     queries = stored(queries.withColumn("query_row", F.monotonically_increasing_id()), "queries")
@@ -137,7 +140,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     part = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     keys = ["dim", "shard", "block"]
-    index = vectors.select("vec_id", "v", F.size("v").alias("dim"), part(1, shards).alias("shard")).withColumn("block", every(blocks))
+    index = vectors.select("vec_id", "v", "copies", F.size("v").alias("dim"), part(1, shards).alias("shard")).withColumn("block", every(blocks))
     wanted = queries.select("query_row", "vec_id", "v", F.size("v").alias("dim"), part(2, blocks).alias("block")).withColumn("shard", every(shards))
     found = (
         wanted.groupBy(*keys)
@@ -145,4 +148,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
         .applyInArrow(lambda left, right: _search(left, right, k), _FOUND)
     )
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    repeated = queries.filter("copies > 1").select("query_row", "copies")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long"))))
+    return ranked.join(repeated, "query_row", "left").select("query_id", "rank", "vec_id", "score", each.alias("copy")).drop("copy")
