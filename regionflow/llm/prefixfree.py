@@ -38,6 +38,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from regionflow.llm.common import col, small_batches
 from regionflow.operators.skew import stored
@@ -510,7 +511,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, _power_of_two(max(total / BUCKET, 4 * parallel, LEAST_BUCKETS)))
     key_ddl = source.schema["key"].dataType.simpleString()
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_ddl]
+    key_type = to_arrow_type(source.schema["key"].dataType)
 
     packed = source.mapInArrow(_pack(chunk_bytes, key_type), f"chunk long, keys array<{key_ddl}>, lengths array<long>, data binary")
     chunks = stored(packed, "chunks")
