@@ -42,9 +42,9 @@ FROM p JOIN f ON p.g = f.g
 """,
 )
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    archive = warc.checked(warc.records(warc.read_archive(spark, path)))
+    path, pages = fresh_path(spark, "warc"), _table(spark, sf_dir, "pages")
+    warc.write_archive(pages, path)
+    archive = warc.checked(warc.records(warc.read_archive(spark, path, pages.schema["page_id"].dataType.simpleString())))
     return archive.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -71,7 +71,7 @@ sides AS (SELECT chosen_id, rejected_id, 'chosen' AS side, i, role, text FROM pa
 both_ AS (SELECT chosen_id, rejected_id, i,
                  count(*) = 2 AND count(DISTINCT coalesce('=' || role, '-') || chr(10) || coalesce('=' || text, '-')) = 1 AS same
           FROM sides GROUP BY ALL),
-cut AS (SELECT chosen_id, rejected_id, coalesce(min(i) FILTER (NOT same) - 1, max(i)) AS n FROM both_ GROUP BY ALL),
+cut AS (SELECT chosen_id, rejected_id, min(i) FILTER (NOT same) - 1 AS n FROM both_ GROUP BY ALL HAVING NOT bool_and(same)),
 r AS (SELECT *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) AS head,
              coalesce(text, '') || '<|end|>' || chr(10) AS body FROM sides JOIN cut USING (chosen_id, rejected_id)),
 rest AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY chosen_id, rejected_id, side ORDER BY i
@@ -100,7 +100,9 @@ SEED = 17
 def mixed(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, text, rid) mixed as the contract says, without the text.
 
-    Quality: documents labelled good weigh 2, bad 0.5, others 1.
+    Quality: documents labelled good weigh 2, bad 0.5, others 1. A row's place
+    follows from its id and text alone, so reruns agree however the rows are stored;
+    `rid` only tells apart rows that are equal in both.
     """
     labels = (
         _table(spark, sf_dir, "labels")
@@ -109,17 +111,19 @@ def mixed(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
         .agg(F.max("quality").alias("quality"))
     )
     quality = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    key = -F.log(mixing.uniform(SEED, F.col("doc_id"))) / quality
-    sized = rows.select("doc_id", "source", words_in(F.col("text")).alias("size"), "rid")
-    return mixing.mix(sized.join(labels, "doc_id", "left").withColumn("key", key).drop("quality"))
+    own = F.struct("doc_id", F.md5("text").alias("text"), "rid")
+    key = -F.log(mixing.uniform(SEED, F.col("rid.doc_id"), F.col("rid.text"))) / quality
+    sized = rows.select("doc_id", "source", words_in(F.col("text")).alias("size"), own.alias("rid"))
+    mix = mixing.mix(sized.join(labels, "doc_id", "left").withColumn("key", key).drop("quality"))
+    return mix.withColumn("rid", F.col("rid.rid"))
 
 
 @_query(
     "op4_mixing",
     r"""
 WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
-d AS (SELECT d.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-        -ln((('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+d AS (SELECT d.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(text) AS h,
+        -ln((('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
           / CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS key
       FROM documents d LEFT JOIN l ON d.doc_id = l.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -133,7 +137,7 @@ lv AS (SELECT *, row_number() OVER (ORDER BY lim / w, source NULLS LAST) AS pos,
 t AS (SELECT source, source_size, least(lim, (SELECT arg_min(level, pos) FROM lv WHERE level <= lim / w) * w) AS target FROM lv),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 r AS (SELECT doc_id, size, source_size, target, epochs,
-             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, h NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (epochs + CASE WHEN size > 0 AND before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
@@ -148,20 +152,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "op9_line_dedup",
     r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-w AS (SELECT doc_id, i AS pos, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c
-      FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines) - 2)) AS i FROM d)),
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, substr(md5(text), 1, 15)) AS r, doc_id, text,
+             string_split(text, chr(10)) AS lines FROM documents),
+w AS (SELECT r, i AS pos, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c
+      FROM (SELECT r, lines, unnest(generate_series(1, len(lines) - 2)) AS i FROM d)),
 s AS (SELECT * FROM w WHERE regexp_matches(a || b || c, '[^\x20\x09-\x0D]')),
-f AS (SELECT a, b, c, min((doc_id, pos)) AS first FROM s GROUP BY a, b, c HAVING count(*) > 1),
-marks AS (SELECT DISTINCT doc_id, pos + k AS pos
-          FROM (SELECT s.doc_id, s.pos FROM s JOIN f ON s.a = f.a AND s.b = f.b AND s.c = f.c WHERE (s.doc_id, s.pos) <> f.first),
+f AS (SELECT a, b, c, min((r, pos)) AS first FROM s GROUP BY a, b, c HAVING count(*) > 1),
+marks AS (SELECT DISTINCT r, pos + k AS pos
+          FROM (SELECT s.r, s.pos FROM s JOIN f ON s.a = f.a AND s.b = f.b AND s.c = f.c WHERE (s.r, s.pos) <> f.first),
                (SELECT unnest([0, 1, 2]) AS k)),
-l AS (SELECT doc_id, i AS pos, lines[i] AS line FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i FROM d)),
-k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS kept, count(*) AS n
-      FROM l LEFT JOIN marks m ON m.doc_id = l.doc_id AND m.pos = l.pos WHERE m.pos IS NULL GROUP BY l.doc_id)
+l AS (SELECT r, i AS pos, lines[i] AS line FROM (SELECT r, lines, unnest(generate_series(1, len(lines))) AS i FROM d)),
+k AS (SELECT l.r, string_agg(line, chr(10) ORDER BY l.pos) AS kept, count(*) AS n
+      FROM l LEFT JOIN marks m ON m.r = l.r AND m.pos = l.pos WHERE m.pos IS NULL GROUP BY l.r)
 SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines), 0) - coalesce(n, 0))::BIGINT AS n_removed,
        CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept, '')) END AS kept_sha256
-FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+FROM d LEFT JOIN k ON k.r = d.r
 """,
 )
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
 import hashlib
+import math
 import random
+import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -126,6 +132,22 @@ def test_query_rebuilds_records(spark, tmp_path, monkeypatch):
         q.QUERIES["op1_warc"](spark, str(tmp_path)).collect()
 
 
+def test_records_have_what_the_format_asks_for(spark):
+    rows = [("a1", "u", "x" * 200), ("a>\r\n2 %", "u", "x" * 200), (None, "u", "x" * 200), (None, "u", "y"), ("é", None, "z")]
+    path = fresh_path(spark, "archive")
+    warc.write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = warc.checked(warc.records(warc.read_archive(spark, path, "string"))).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter(
+        [("a1", "response", None), ("a>\r\n2 %", "revisit", "a1"), (None, "revisit", "a1"), (None, "response", None), ("é", "response", None)]
+    )
+    names = set()
+    for r in got:
+        fields = dict(x.split(": ", 1) for x in bytes(r.record).partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        names.add(fields["WARC-Record-ID"])
+    assert len(names) == 5 and all(n.startswith("<urn:") for n in names)
+
+
 def test_empty_archive(spark):
     path = fresh_path(spark, "archive")
     warc.write_archive(spark.createDataFrame([], PAGES), path)
@@ -141,15 +163,20 @@ def test_preferences(spark):
     rows = [
         (1, 0, "user", "q"), (1, 1, "assistant", "yes"),
         (2, 0, "user", "q"), (2, 1, "assistant", "no"), (2, 2, "user", None),
-        (3, 0, "user", "q"), (3, 1, "assistant", "yes"),
+        (3, 0, "user", "q"), (3, 1, "assistant", "yes"), (3, 2, "user", "and"), (13, 0, "user", "q"), (13, 1, "assistant", "yes"),
         (4, 0, "user", "alone"), (4, 1, "assistant", "first"), (4, 2, "user", "more"), (4, 3, "assistant", "last"),
         (5, 0, "user", "no answer"),
+        (7, 0, "user", "single"), (7, 1, "assistant", "only"),
+        (8, 0, "user", "same"), (8, 1, "assistant", "s"), (9, 0, "user", "same"), (9, 1, "assistant", "s"),
+        (10, 0, "user", "tied"), (10, 0, "user", "tied"), (10, 1, "assistant", "a"), (10, 1, "assistant", "b"),
+        (11, 0, "user", "long"), (11, 1, "assistant", "w " * 50_000), (12, 0, "user", "long"), (12, 1, None, None),
         (6, None, None, None),
         (None, 0, "user", "q"),
     ]
     table = spark.createDataFrame([(*r, "t", 1) for r in rows], TURNS)
     got = {(r.chosen_id, r.rejected_id): r for r in chat.format_preferences(chat.preference_pairs(chat.conversations(table))).collect()}
-    assert set(got) == {(1, 2), (1, 3), (4, 4)}
+    assert set(got) == {(1, 2), (1, 3), (4, 4), (10, 10), (11, 12)}  # 13 is as 1, 9 as 8
+    assert got[10, 10].n_prompt == 3 and got[11, 12].chosen_spans == "14:100008"
     pair = got[1, 2]
     assert pair.prompt == "<|user|>\nq<|end|>\n" and pair.n_prompt == 1
     assert pair.chosen_completion == "<|assistant|>\nyes<|end|>\n" and pair.chosen_spans == "14:11"
@@ -186,6 +213,15 @@ def test_pieces_as_the_library(codec, library, text):
     assert codec.decode(codec.encode(text)) == library.decode(want)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aeiothnr  \n▁éß日\x00"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=30))
+def test_arrays_of_texts_as_the_library(codec, library, texts):
+    want = [library.encode(t, add_bos=True, add_eos=True) for t in texts]
+    ids = codec.encode_array(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == want
+    assert codec.decode_array(ids).to_pylist() == [library.decode(x) for x in want]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 31_999)), max_size=12))
 def test_decoding_any_ids(codec, library, ids):
@@ -233,6 +269,18 @@ def test_mix_takes_near_its_targets(spark, docs_of):
         assert all(r[5] in (epochs, epochs + 1) for r in own)
 
 
+def test_reruns_agree_however_rows_are_stored(spark, docs_of, tmp_path):
+    draw = random.Random(8)
+    rows = [(None if i % 3 == 0 else i % 250, "w " * draw.randrange(30) + f"x{i % 400}", "en", draw.choice(["a", "b", None])) for i in range(600)]
+    found = []
+    for n, order in ((1, 1), (7, 1), (50, -1)):
+        docs_of(rows[::order]).repartition(n).write.parquet(str(tmp_path / f"p{n}"))
+        docs = spark.read.parquet(str(tmp_path / f"p{n}")).withColumn("rid", F.monotonically_increasing_id())
+        taken = q.mixed(spark, docs, SF_DIR).join(docs.select("rid", F.col("text").alias("own")), "rid").select("doc_id", "own", "taken")
+        found.append(Counter(map(tuple, taken.collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def test_mix_of_hard_and_empty_tables(spark, hard, empty):
     run = lambda df: q.mixed(spark, df.withColumn("rid", F.monotonically_increasing_id()), SF_DIR)
     rows = run(hard).collect()
@@ -292,6 +340,37 @@ def test_language_of_hard_texts(spark, hard, empty, docs_of):
     assert all(0.5 <= r.p.score <= 1 for r in rows if r.p.lang_pred != "und")
 
 
+def test_language_as_a_plain_classifier(spark):
+    """Every row of the query against naive Bayes in plain Python, with the n-grams' slots by the same hash."""
+    m = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F]
+
+    def slots(text):
+        codes = [ord(c) for c in text.lower()]
+        for n in (2, 3):
+            for i in range(len(codes) - n + 1):
+                h = codes[i] * m[0] % 2**32
+                for k in range(1, n):
+                    h = ((h ^ h >> 15) * m[k] + codes[i + k]) % 2**32
+                yield (h ^ h >> 13) * m[n] % 2**32 >> 16
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    taught = [r for r in docs if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    counts, shares = {}, Counter(r.lang for r in taught)
+    for r in taught:
+        counts.setdefault(r.lang, Counter()).update(slots(r.text))
+    totals = {lang: sum(c.values()) + 0.5 * 65536 for lang, c in counts.items()}
+    got = {r.doc_id: r for r in q.QUERIES["op6_langid"](spark, SF_DIR).collect()}
+    for r in docs:
+        if r.text is None or not any(unicodedata.category(c)[0] == "L" for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        own = Counter(slots(r.text))
+        joint = {lang: math.log(shares[lang] / len(taught)) + sum(n * math.log((c[s] + 0.5) / totals[lang]) for s, n in own.items()) for lang, c in counts.items()}
+        best = max(sorted(joint), key=joint.get)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(max(x - joint[best], -700)) for x in joint.values()), abs=1e-3)
+
+
 def test_sample_of_rows_without_id_and_of_copies(spark):
     rows = [("en", f"document {i:04d}", None) for i in range(600)] + [("de", "hund", 5)] * 300 + [("de", f"katze {i}", i) for i in range(20)]
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string, key long"), 100)
@@ -331,7 +410,17 @@ def test_vectors_that_share_an_id(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 1.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0])]
     usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = ann.nearest(usable.filter("vec_id = 0"), usable, 5).collect()
-    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in got) == [(0, 1, 0, 0.707), (0, 1, 0, 0.707), (0, 2, 1, 0.0), (0, 2, 1, 0.707)]
+    one, other = [(0, 1, 0, 1.0), (0, 2, 0, 0.707), (0, 3, 1, 0.0)], [(0, 1, 0, 0.707), (0, 2, 0, 0.707), (0, 3, 1, 0.707)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 3)) for r in got) == sorted(one + one + other)
+
+
+def test_every_row_is_a_candidate(spark):
+    """63 rows, three of them exact repeats: each query meets 62."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(60)]
+    usable = ann.usable(spark.createDataFrame(rows + [rows[0], rows[0], rows[7]], "vec_id long, embedding array<double>"))
+    got = Counter(r.query_id for r in ann.nearest(usable.filter("vec_id % 50 = 0"), usable, 100).collect())
+    assert got == {0: 3 * 62, 50: 62}
 
 
 def test_shards_and_ties(spark, monkeypatch):
@@ -401,6 +490,17 @@ def test_lines_of_hard_texts(hard, empty):
     assert linededup.remove_repeated_lines(empty).count() == 0
 
 
+def test_lines_do_not_depend_on_how_rows_are_stored(spark, docs_of, tmp_path):
+    passage = "one line\nanother line\na third line\n"
+    rows = [(None if i % 4 else i % 3, f"{passage}own {i}\nown too\n" + passage * (i % 2), "en", "s") for i in range(40)]
+    found = []
+    for n, order in ((1, 1), (7, 1), (13, -1)):
+        docs_of(rows[::order]).repartition(n).write.parquet(str(tmp_path / f"p{n}"))
+        done = linededup.remove_repeated_lines(spark.read.parquet(str(tmp_path / f"p{n}")))
+        found.append(Counter(map(tuple, done.select("row.doc_id", "row.text", "kept").collect())))
+    assert found[0] == found[1] == found[2]
+
+
 def test_one_copy_of_repeated_rows_stays(docs_of):
     text = "one\ntwo\nthree\nfour"
     rows = [(None, text, "en", "s")] * 3 + [(4, text, "en", "s"), (2, "zero\n" + text, "en", "s"), (2, "zero\n" + text, "en", "s")]
@@ -472,6 +572,13 @@ def _by_bucket(count, rows):
     return out
 
 
+@pytest.mark.parametrize("kind,make", [("smallint", int), ("decimal(9,2)", decimal.Decimal), ("date", lambda k: datetime.date(2024, 1, 1 + k))])
+def test_repeats_with_other_ids(spark, kind, make):
+    rows = [(make(k), f"{k} " + "passage " * 40) for k in range(4)]
+    done = prefixfree.remove_repeats(spark.createDataFrame(rows, f"doc_id {kind}, text string")).select("key", "n_removed").collect()
+    assert {r.key for r in done} == {make(k) for k in range(4)} and all(r.n_removed >= 200 for r in done)
+
+
 def test_repeated_keys_are_rows_of_their_own(docs_of):
     rows = prefixfree.remove_repeats(docs_of([(1, "k" * 300, "en", "s"), (1, "k" * 300, "en", "s"), (None, None, "en", "s")])).collect()
     assert sorted((r.key or 0, r.n_bytes, r.n_removed) for r in rows) == [(0, 0, 0), (1, 300, 300), (1, 300, 300)]
