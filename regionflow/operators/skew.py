@@ -27,40 +27,6 @@ def key_of(names: Sequence[str]) -> Column:
     return F.struct(*[F.col(n) for n in names])
 
 
-def running_total(
-    rows: DataFrame,
-    keys: Sequence[str],
-    chunk: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    out: str,
-) -> DataFrame:
-    """Running sum of `value` per key, `order` ascending, current row included.
-
-    `chunk` columns cut each key's order into consecutive pieces. Rows are only
-    sorted within their piece; the pieces' totals, summed before the shuffle,
-    give each piece its start. Null keys form a group of their own, and nulls in
-    the order come first.
-    """
-    at = key_of([*keys, *chunk])
-    near = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    far = Window.partitionBy(*[F.col("_at")[k] for k in keys]).orderBy(*[F.col("_at")[c] for c in chunk])
-    before = far.rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_at", at)
-    starts = (
-        placed.groupBy("_at")
-        .agg(F.sum(value).alias("_total"))
-        .withColumn("_start", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .drop("_total")
-    )
-    return (
-        placed.withColumn(out, F.sum(value).over(near))
-        .join(starts, "_at")
-        .withColumn(out, F.col(out) + F.col("_start"))
-        .drop("_start", "_at")
-    )
-
-
 def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
     """The keys of groups above `hot_rows` rows, or None if there are none.
 

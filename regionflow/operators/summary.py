@@ -8,11 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.operators.skew import key_of, running_total
+from regionflow.operators.scan import entering, running_total
+from regionflow.operators.skew import key_of
 
 MAX_CHUNK = 100_000
-#: Chunk ends that are gathered in one row.
-BLOCK = 512
 
 
 def downsample_every(df: DataFrame, k: int, step: str = "step") -> DataFrame:
@@ -87,7 +86,7 @@ def running_mean(
 ) -> DataFrame:
     """Sum of the values so far over max(1, t + 1), within each key."""
     cut = rows.withColumn("_chunk", F.floor(F.col(t) / F.lit(chunk)))
-    total = running_total(cut, keys, ["_chunk"], [t], value, "_so_far")
+    total = running_total(cut, keys, "_chunk", [t], value, "_so_far")
     steps = F.greatest(F.lit(1), F.col(t) + 1).cast("double")
     return total.withColumn(out, F.col("_so_far") / steps).drop("_chunk", "_so_far")
 
@@ -108,7 +107,7 @@ def ema(
     With `seed_first` the first non-zero value becomes e as it is.
 
     e is a weighted running sum, so each chunk of steps is summed on its own and
-    then receives the e the chunk before it ended with. A chunk is short enough
+    then receives the e that the chunks before it come to (`scan.entering`). A chunk is short enough
     that the growing weights stay far from overflow. Null keys are an entity of
     their own; rows without a step come before all others.
     """
@@ -140,65 +139,17 @@ def ema(
     so_far = near.rowsBetween(Window.unboundedPreceding, 0)
     piece = F.floor(F.col(step) / F.lit(every * chunk))
     local = (
-        kept.withColumn("_at", F.struct(F.col("_at")[key].alias("key"), piece.alias("chunk")))
+        kept.withColumn("_at", F.struct(F.col("_at").alias("key"), piece.alias("chunk")))
         .withColumn("_pos", F.row_number().over(near))
         .withColumn("_x", weight * F.col(value) / power(F.col("_pos")))
         .withColumn("_local", F.sum("_x").over(so_far) * power(F.col("_pos")))
         .drop("_x", "_first")
     )
     ends = local.groupBy("_at").agg(
-        F.max("_pos").cast("bigint").alias("_n"), F.max_by("_local", "_pos").alias("_end")
+        power(F.max("_pos")).alias("a"), F.coalesce(F.max_by("_local", "_pos"), F.lit(0.0)).alias("b")
     )
     return (
-        local.join(_entering(ends, keep), "_at")
+        local.join(entering(ends), "_at")
         .withColumn(out, F.col("_local") + F.col("_in") * power(F.col("_pos")))
         .drop("_at", "_pos", "_local", "_in")
     )
-
-
-def _entering(ends: DataFrame, keep: float) -> DataFrame:
-    """The average each chunk (key, chunk) begins with, from every chunk's own end and length.
-
-    Chunks are taken BLOCK at a time: first within each block, then from block
-    to block, so no task holds more than a block's ends or a key's blocks.
-    """
-    fade = lambda n: F.pow(F.lit(keep), n.cast("double"))
-    come = lambda acc: F.struct(acc["e"].alias("e"), acc["n"].alias("n"))
-    step = lambda acc, x: F.struct(
-        (acc["e"] * fade(x["n"]) + x["end"]).alias("e"),
-        (acc["n"] + x["n"]).alias("n"),
-        F.concat(acc["ins"], F.array(come(acc))).alias("ins"),
-    )
-    start = F.struct(
-        F.lit(0.0).alias("e"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<struct<e:double,n:bigint>>").alias("ins")
-    )
-    row = lambda at, n, end: F.struct(at.alias("at"), n.alias("n"), end.alias("end"))
-
-    def carried(rows: DataFrame, by: list[str], at: str) -> DataFrame:
-        """Rows of a group in order of `at`, each with what comes in from those before it in the group."""
-        gathered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(row(F.col(at), F.col("_n"), F.col("_end")))).alias("rows"))
-        run = gathered.withColumn("run", F.aggregate("rows", start, step))
-        return run.withColumn("pair", F.arrays_zip("rows", F.col("run.ins").alias("ins")))
-
-    blocks = ends.select(
-        F.struct(F.col("_at.key").alias("key"), F.floor(F.col("_at.chunk") / F.lit(BLOCK)).alias("block")).alias("_block"),
-        F.col("_at.chunk").alias("chunk"),
-        "_n",
-        "_end",
-    )
-    inner = carried(blocks, ["_block"], "chunk")
-    whole = inner.select(
-        F.struct(F.col("_block.key").alias("key")).alias("_key"),
-        F.col("_block.block").alias("block"),
-        F.col("run.n").alias("_n"),
-        F.col("run.e").alias("_end"),
-    )
-    outer = carried(whole, ["_key"], "block").select("_key", F.explode("pair").alias("p"))
-    entering = outer.select(
-        F.struct(F.col("_key.key").alias("key"), F.col("p.rows.at").alias("block")).alias("_block"), F.col("p.ins.e").alias("_base")
-    )
-    each = inner.select("_block", F.explode("pair").alias("p"))
-    return each.join(entering, "_block").select(
-        F.struct(F.col("_block.key").alias("key"), F.col("p.rows.at").alias("chunk")).alias("_at"),
-        (F.col("p.ins.e") + F.col("_base") * fade(F.col("p.ins.n"))).alias("_in"),
-    )

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded, table
 from regionflow.session import fresh_path
-from regionflow.streaming import snapshots
-
+from regionflow.streaming import snapshots, stateful, versions
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,33 +30,38 @@ def _finish(streaming_query) -> None:
         raise streaming_query.exception()
 
 
-def _closed(spark: SparkSession, stream: DataFrame, aggregate) -> DataFrame:
-    """All groups of an aggregated stream, as files: a last row far ahead closes every window.
+def _partials(spark: SparkSession, stream: DataFrame, thresh: float = 10.0) -> DataFrame:
+    """The partials per country and day of all that a stream reads: closed days from its files, open ones from its state."""
+    path, checkpoint = fresh_path(spark, "days"), fresh_path(spark, "checkpoint")
+    days = snapshots.series_partials(stream, "1 day", thresh=thresh)
+    _finish(snapshots.sink_files(days, path, checkpoint))
+    return spark.read.schema(days.schema).parquet(path).unionByName(snapshots.open_partials(spark, checkpoint))
+
+
+#: Rounds that a stream is run in, and files of each; a batch takes one file.
+ROUNDS, FILES = 3, 3
 
-    The key tells that row from the events, whatever those hold: a struct of a mark and the country.
-    """
-    end = fresh_path(spark, "end")
-    last = spark.range(1).select(
-        F.lit(None).cast("string").alias("country"),
-        F.lit("2200-01-01 00:00:00").cast("timestamp").alias("ts"),
-        F.lit(0).cast("int").alias("t"),
-        F.lit(0.0).alias("i"),
-    )
-    last.write.parquet(end)
-    closing = snapshots.read_snapshot_stream(spark, end, last.schema)
-    marked = lambda rows, mark: rows.withColumn("country", F.struct(F.lit(mark).alias("closing"), "country"))
-    results = aggregate(marked(stream, False).unionByName(marked(closing, True)))
-    path = fresh_path(spark, "windows")
-    _finish(snapshots.sink_files(results, path, fresh_path(spark, "checkpoint")))
-    found = spark.read.schema(results.schema).parquet(path).filter(~F.col("country.closing"))
-    return found.withColumn("country", F.col("country.country"))
 
+def _rounds(spark: SparkSession, sf_dir: str, start) -> None:
+    """Events by time in some rounds: a round's files are added, then `start(stream, watermark)` runs until all are read.
 
-def _untimed(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """The stream's events without a time, as files; no window takes them."""
-    path = fresh_path(spark, "untimed")
-    _finish(snapshots.sink_files(stream.filter(F.col("ts").isNull()), path, fresh_path(spark, "checkpoint")))
-    return spark.read.schema(stream.schema).parquet(path)
+    Each run goes on from the checkpoint of the one before, a file a batch. Files of
+    a round may be read in any order, so the watermark waits as long as a round
+    lasts. Events without a time come first.
+    """
+    events = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("country"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("i")
+    )
+    path = fresh_path(spark, "rounds")
+    day = F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    first, last = events.agg(F.min(day), F.max(day)).first()
+    days = 1 if first is None else (last - first) // ROUNDS + 1
+    dated = events.withColumn("t", day)
+    for k in range(ROUNDS):
+        part = F.coalesce(F.floor((F.col("t") - F.lit(first or 0)) / F.lit(days)), F.lit(0)) == k
+        dated.filter(part).repartitionByRange(FILES, "ts").write.mode("append").parquet(path)
+        stream = snapshots.read_snapshot_stream(spark, path, dated.schema, max_files=1)
+        _finish(start(stream, f"{days} days"))
 
 
 _T = "date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))"
@@ -116,20 +120,12 @@ def stream_archive_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven-day windows sliding by a day, over the stream, in append mode to files.
+    """Seven-day windows sliding by a day, over the stream, from its days.
 
     An event without a time counts, as any other, in seven windows; their start is null.
     """
-    rolling = lambda rows: snapshots.rolling_snapshot_agg(rows, "7 days", "1 day", watermark="1 day")
-    stream = _stream(spark, sf_dir)
-    windows = _closed(spark, stream, rolling)
-    sevenfold = _untimed(spark, stream).select("country", "i", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    unknown = sevenfold.groupBy("country").agg(
-        F.count("*").alias("n"), F.avg("i").alias("mean_value"), F.max("i").alias("peak"), F.sum("i").alias("total")
-    )
-    out = windows.unionByName(unknown.withColumn("start", F.lit(None).cast("timestamp")))
-    out = out.withColumn("start", F.to_date("start").cast("string"))
-    return rounded(rounded(out, 4, "peak", "total"), 9, "mean_value")
+    out = snapshots.rolling_from_days(_partials(spark, _stream(spark, sf_dir)), 7)
+    return rounded(rounded(out.withColumn("start", F.col("start").cast("string")), 4, "peak", "total"), 9, "mean_value")
 
 
 @query(
@@ -139,5 +135,95 @@ def rolling_snapshot_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_series_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partials per country and day from the stream, in append mode to files, then put together."""
-    partials = lambda rows: snapshots.series_partials(rows, "1 day", thresh=200.0)
-    return rounded(snapshots.merge_partials(_closed(spark, _stream(spark, sf_dir), partials)), 4, "peak")
+    return rounded(snapshots.merge_partials(_partials(spark, _stream(spark, sf_dir), 200.0)), 4, "peak")
+
+
+@query(
+    "rolling_restarts",
+    """
+    WITH w AS (SELECT event_type AS country, value, unnest(range(3)) AS back, CAST(ts AS DATE) AS day FROM events)
+    SELECT country, CAST(day - CAST(back AS INTEGER) AS VARCHAR) AS start, count(*) AS n, round(avg(value), 9) AS mean_value,
+    round(max(value), 4) AS peak, round(sum(value), 4) AS total FROM w GROUP BY 1, 2
+    """,
+)
+def rolling_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-day windows over a stream of many batches that is stopped and started again."""
+    path, checkpoint = fresh_path(spark, "days"), fresh_path(spark, "checkpoint")
+    kinds = []
+
+    def start(stream: DataFrame, watermark: str):
+        days = snapshots.series_partials(stream, watermark)
+        kinds.append(days.schema)
+        return snapshots.sink_files(days, path, checkpoint)
+
+    _rounds(spark, sf_dir, start)
+    closed = spark.read.schema(kinds[0]).parquet(path)
+    out = snapshots.rolling_from_days(closed.unionByName(snapshots.open_partials(spark, checkpoint)), 3)
+    return rounded(rounded(out.withColumn("start", F.col("start").cast("string")), 4, "peak", "total"), 9, "mean_value")
+
+
+@query(
+    "stream_ema",
+    """
+    WITH RECURSIVE x AS (SELECT event_type AS country, event_id, value,
+        row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
+    e AS (SELECT country, event_id, k, 0.2 * coalesce(value, 0) AS ema FROM x WHERE k = 1
+          UNION ALL SELECT x.country, x.event_id, x.k, 0.2 * coalesce(x.value, 0) + 0.8 * e.ema
+          FROM e JOIN x ON x.country IS NOT DISTINCT FROM e.country AND x.k = e.k + 1)
+    SELECT country, event_id, round(ema, 6) AS ema FROM e
+    """,
+)
+def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moving averages by time over a stream of many batches that is stopped and started again."""
+    path, checkpoint = fresh_path(spark, "averages"), fresh_path(spark, "checkpoint")
+    kinds = []
+
+    def start(stream: DataFrame, watermark: str):
+        averages = stateful.stream_ema(stream, watermark, key="country", step="event_id", value="i")
+        kinds.append(averages.schema)
+        return snapshots.sink_files(averages, path, checkpoint)
+
+    _rounds(spark, sf_dir, start)
+    done = spark.read.schema(kinds[0]).parquet(path)
+    out = done.unionByName(stateful.waiting_ema(spark, checkpoint, kinds[0]))
+    return rounded(out.select("country", "event_id", "ema"), 6, "ema")
+
+
+@query(
+    "stream_last_n",
+    "SELECT country, event_id, i FROM (SELECT event_type AS country, event_id, value AS i, "
+    "row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 40",
+)
+def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buffer of 40 slots per country, kept in the state of a stream that is stopped and started again."""
+    path, checkpoint = fresh_path(spark, "given-up"), fresh_path(spark, "checkpoint")
+    kinds = []
+
+    def start(stream: DataFrame, watermark: str):
+        kinds.append(stream.schema)
+        return snapshots.sink_files(stateful.stream_last_n(stream, 40, "event_id", ["country"], salts=4), path, checkpoint)
+
+    _rounds(spark, sf_dir, start)
+    return stateful.last_n(spark, checkpoint, kinds[0], 40, "event_id", ["country"]).select("country", "event_id", "i")
+
+
+@query(
+    "stream_versions",
+    f"SELECT event_type AS country, CAST(coalesce(min(CASE WHEN value >= 200 THEN {_T} END), count(*)) AS INTEGER) AS arrival, "
+    "round(max(value), 4) AS peak FROM events GROUP BY 1",
+)
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival and peak as versions in append-only files, compacted after every run of the stream."""
+    path, checkpoint = fresh_path(spark, "versions"), fresh_path(spark, "checkpoint")
+    kinds, keys = [], ["country", "part"]
+
+    def start(stream: DataFrame, watermark: str):
+        if kinds:
+            versions.compact(spark, path, kinds[0], keys)
+        rows = stateful.stream_series_versions(stream, thresh=200.0, rows_per_part=["event_id"], parts=4)
+        kinds.append(rows.schema)
+        return snapshots.sink_files(rows, path, checkpoint)
+
+    _rounds(spark, sf_dir, start)
+    newest = versions.newest(spark, path, kinds[0], keys)
+    return rounded(snapshots.merge_partials(stateful.series_partials_of(newest)), 4, "peak")

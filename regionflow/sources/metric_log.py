@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.operators.skew import running_total
+from regionflow.operators.scan import running_total
 
 LOG_SHAPES = {
     "steps": (4, ["eps", "loss", "step"]),
@@ -63,6 +63,6 @@ def run_ids(lines: DataFrame) -> DataFrame:
     """
     starts = (F.size("fields") == LOG_SHAPES["steps"][0]) & (_number(3) == 0)
     marked = lines.withColumn("_start_line", F.when(starts, 1).otherwise(0).cast("bigint"))
-    return running_total(marked, ["file"], ["block"], ["line"], "_start_line", "run").drop(
+    return running_total(marked, ["file"], "block", ["line"], "_start_line", "run").drop(
         "_start_line"
     )

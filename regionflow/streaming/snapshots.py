@@ -12,8 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from regionflow import schemas
 from regionflow.operators.series import arrival_time, peak
 from regionflow.operators.summary import downsample_every
+from regionflow.streaming.stateful import open_state
 
 EPOCH_START = "2020-01-01 00:00:00"
+_SUMS = ("first_hit", "n", "peak", "total", "n_values")
 
 
 def snapshot_rows(rows: DataFrame, every: int = 50, last_step: str | None = None) -> DataFrame:
@@ -87,11 +89,14 @@ def series_partials(
     stream: DataFrame, watermark: str, key: str = "country", t: str = "t", value: str = "i",
     ts: str = "ts", thresh: float = 10.0,
 ) -> DataFrame:
-    """First hit, count and peak per country and day, for append mode; `merge_partials` puts them together.
+    """First hit, counts, peak and sum per country and day, for append mode.
 
-    A row without a time has no day that could close: it is a partial of its own, with a null start.
+    `merge_partials` and `rolling_from_days` put them together. Days that are still
+    open come from `open_partials`. A row without a time has no day that could
+    close: it is a partial of its own, with a null start.
     """
-    hit = (F.col(value) >= F.lit(thresh)) & ~F.isnan(value)
+    x = F.col(value).cast("double")
+    hit = (x >= F.lit(thresh)) & ~F.isnan(x)
     first_hit = F.when(hit, F.col(t).cast("bigint"))
     days = (
         stream.withWatermark(ts, watermark)
@@ -99,20 +104,54 @@ def series_partials(
         .agg(
             F.min(first_hit).alias("first_hit"),
             F.count("*").alias("n"),
-            F.max(value).alias("peak"),
+            F.max(x).alias("peak"),
+            F.sum(x).alias("total"),
+            F.count(x).alias("n_values"),
         )
-        .select(F.col("window.start").alias("start"), key, "first_hit", "n", "peak")
+        .select(F.col("window.start").alias("start"), key, *_SUMS)
     )
     untimed = stream.filter(F.col(ts).isNull()).select(
         F.lit(None).cast("timestamp").alias("start"),
         key,
         first_hit.alias("first_hit"),
         F.lit(1).cast("bigint").alias("n"),
-        F.col(value).alias("peak"),
+        x.alias("peak"),
+        x.alias("total"),
+        F.when(x.isNotNull(), 1).otherwise(0).cast("bigint").alias("n_values"),
     )
     return days.unionByName(untimed)
 
 
+def open_partials(spark: SparkSession, checkpoint: str, key: str = "country") -> DataFrame:
+    """The days of `series_partials` that its stream has not closed, from the state of its last finished batch.
+
+    Together with the stream's files they hold every row that it has read: a day
+    leaves the state in the batch that writes it.
+    """
+    kinds = "struct<first_hit:bigint,n:bigint,peak:double,total:double,n_values:bigint>"
+    state = open_state(spark, checkpoint)
+    # the state's parts are the aggregates of `series_partials` in their order
+    return state.select(F.col("key.window.start").alias("start"), F.col("key")[key].alias(key), F.col("value").cast(kinds).alias("v")).select(
+        "start", key, "v.*"
+    )
+
+
+def rolling_from_days(partials: DataFrame, days: int = 7, key: str = "country") -> DataFrame:
+    """`rolling_snapshot_agg` over windows of whole days that slide by one, from the partials of days.
+
+    A partial goes to each of the windows that hold its day; one without a day to
+    as many, whose start is null. `start` is a date.
+    """
+    back = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("_back")
+    spread = partials.groupBy(F.to_date("start").alias("day"), key).agg(
+        F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.max("peak").alias("peak"), F.sum("total").alias("total")
+    ).select("*", back)
+    return (
+        spread.groupBy(F.date_sub("day", F.col("_back")).alias("start"), key)
+        .agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n_values")).alias("mean_value"), F.max("peak").alias("peak"), F.sum("total").alias("total"))
+    )
+
+
 def merge_partials(partials: DataFrame, key: str = "country") -> DataFrame:
     """Arrival and peak per country, as `stream_series_metrics` has them, from the partials of all days."""
     return partials.groupBy(key).agg(

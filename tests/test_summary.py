@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regionflow.operators import calibrate, reshape, summary
+from regionflow.operators import calibrate, reshape, scan, summary
 from regionflow.operators.quality import check_finite
 from regionflow.sources.tables import rows_to_df
 
@@ -161,12 +161,39 @@ def test_null_keys_and_steps_are_averaged_too(table, chunk):
     assert means == {(None, 0): 1.0, (None, 1): 2.0, (1, None): 5.0, (1, 0): 12.0}
 
 
-def test_ema_over_many_blocks_of_chunks(table, monkeypatch):
-    monkeypatch.setattr(summary, "BLOCK", 4)
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_ema_over_many_levels_of_chunks(table, monkeypatch, fan):
+    monkeypatch.setattr(scan, "FAN", fan)
     rng = random.Random(3)
-    data = [rng.random() for _ in range(200)]
-    got = summary.ema(table([("a", n, x) for n, x in enumerate(data)], ROWS), chunk=3).orderBy("step").collect()
-    assert [r["ema"] for r in got] == pytest.approx(loop(data, 0.2))
+    data = [(n * 7 if n % 5 else n * 7 + 3, rng.random()) for n in range(200)]
+    got = summary.ema(table([("a", n, x) for n, x in data], ROWS), chunk=3).orderBy("step").collect()
+    assert [r["ema"] for r in got] == pytest.approx(loop([x for _, x in data], 0.2))
+    total = summary.running_mean(table([(1, n, x) for n, x in data], "epoch INT, t INT, loss DOUBLE"), chunk=2).orderBy("t").collect()
+    so_far = 0.0
+    for r, (n, x) in zip(total, data, strict=True):
+        so_far += x
+        assert r["running_mean"] == pytest.approx(so_far / (n + 1))
+
+
+def test_one_key_over_many_chunks(spark):
+    """50,000 chunk ends of one key: no task reads more than 10,000 of them, and the values are those of a loop."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit("a").alias("entity"), F.col("id").alias("step"), ((F.col("id") * 7919) % 1000 / 1000.0).alias("reward"))
+    out = summary.ema(rows, chunk=20)
+    got = {r["step"]: r["ema"] for r in out.filter("step % 99991 = 0 OR step = 999999").collect()}
+    e = 0.0
+    for k in range(n):
+        e = 0.2 * ((k * 7919) % 1000 / 1000.0) + 0.8 * e
+        if k in got:
+            assert got.pop(k) == pytest.approx(e, rel=1e-9)
+    assert not got
+
+
+def test_levels_are_dealt_to_many_tasks(spark):
+    ends = spark.range(50_000).select(F.struct(F.struct(F.lit("a").alias("k")).alias("key"), F.col("id").alias("chunk")).alias("_at"), F.lit(0.5).alias("a"), F.lit(1.0).alias("b"))
+    assert scan.entering(ends).filter("_in >= 1.99").count() == 50_000 - 8
+    cut = ends.select(F.struct(F.floor(F.col("_at.chunk") / scan.FAN)).alias("_block")).repartition(-(-50_000 // scan.TASK_ROWS) * 2, "_block")
+    assert max(r["n"] for r in cut.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) <= 10_000
 
 
 def test_variation_of_a_zero_mean_is_zero(table):
