@@ -164,7 +164,7 @@ def _nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _repeats(table: pa.Table, window: int, gram: int) -> pa.Table:
-    """(h1, h2, first, stop): the words of windows that a smaller document holds too, for whole groups of suffixes."""
+    """(h1, h2, firsts, n): `n` words from `firsts` on that a smaller document holds too, for whole groups of suffixes."""
     numbers: dict[bytes, int] = {}
     texts = [w.as_py().split() for w in table["words"]]
     flat = np.array([numbers.setdefault(w, len(numbers) + 1) for t in texts for w in t], np.int32)
@@ -192,9 +192,9 @@ def _repeats(table: pa.Table, window: int, gram: int) -> pa.Table:
     edge = np.diff(marked.astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
     stop = np.nonzero(edge == -1)[1]
-    ints = lambda x: pa.array(x, pa.int32())
+    firsts = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1), pa.int32()), pa.array(first[row] + start, pa.int32()))
     named = {c: table[c].take(pa.array(row)) for c in ("h1", "h2")}
-    return pa.table(named | {"first": ints(first[row] + start), "stop": ints(first[row] + stop + window - 1)})
+    return pa.table(named | {"firsts": firsts, "n": pa.array(stop - start + window - 1, pa.int32())})
 
 
 def _subtrees(window: int, gram: int, at_once: int):
@@ -227,7 +227,7 @@ def repeats(
     """From (id, h1, h2, text): the least document of each text, and the spans of it that smaller documents hold.
 
     The first table is (h1, h2, least) with least = struct(none, id); the second
-    (h1, h2, first, stop) counts words. Equal texts are read as one.
+    (h1, h2, firsts, n): `n` words from each of `firsts` on. Equal texts are read as one.
     """
     place = F.struct(F.col("id").isNull().alias("none"), "id")
     scanned = docs.select("h1", "h2", place.alias("place"), _scan(window, gram)(F.col("text")).alias("anchors"))
@@ -245,7 +245,7 @@ def repeats(
     suffixes = stored(sent.mapInArrow(_suffixes(window), kind), "suffixes")
 
     grouped = suffixes.filter("NOT whole").select("k1", "id", "h1", "h2", "firsts", "before", "windows", "words")
-    spans = "h1 long, h2 long, first int, stop int"
+    spans = "h1 long, h2 long, firsts array<int>, n int"
     inner = grouped.repartition("k1").sortWithinPartitions("k1").mapInArrow(_subtrees(window, gram, at_once), spans)
 
     def nodes(rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -256,8 +256,7 @@ def repeats(
 
     def covered(rows: DataFrame) -> DataFrame:
         """The words of all windows of rows that a smaller document has as they are."""
-        found = rows.filter("place > least").select("h1", "h2", F.explode("firsts").alias("first"), "windows")
-        return found.select("h1", "h2", "first", (F.col("first") + F.col("windows") + (window - 1)).cast("int").alias("stop"))
+        return rows.filter("place > least").select("h1", "h2", "firsts", (F.col("windows") + (window - 1)).cast("int").alias("n"))
 
     # equal words around an anchor are met as a whole; what is left of them, and all others, window by window
     around = stored(nodes(suffixes.filter("whole"), "left"), "around")
@@ -276,8 +275,9 @@ def _keep(window: int):
             if copied.as_py() and len(words) >= window:
                 edge[0] = 1
             for s in own.as_py() or ():
-                edge[s["first"]] += 1
-                edge[s["stop"]] -= 1
+                for first in s["firsts"]:
+                    edge[first] += 1
+                    edge[first + s["n"]] -= 1
             stays = np.cumsum(edge[:-1]) == 0
             kept = b" ".join(compress(words, stays)).decode("utf-8", "surrogatepass")
             found.append({"kept": kept, "n_words": len(words), "n_removed": int(len(words) - stays.sum())})
@@ -311,7 +311,7 @@ def remove_repeats(
         F.xxhash64(F.lit("again"), said).alias("h2"),
     )
     least, spans = repeats(rows.select("id", "h1", "h2", "text"), window, gram, most, at_once)
-    gathered = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    gathered = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("firsts", "n")).alias("spans"))
     place = F.struct(F.col("id").isNull().alias("none"), "id")
     known = least.join(gathered, ["h1", "h2"], "left")
     done = rows.drop("text").join(known, ["h1", "h2"], "left").withColumn("later", place > F.col("least"))
