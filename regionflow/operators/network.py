@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow import constants as K
+from regionflow.constants import EARTH_RADIUS_KM
 from regionflow.functions.geo import air_weight, gravity_weight, haversine_km
 from regionflow.operators.skew import key_of
 from regionflow.sources.tables import rows_to_df
@@ -147,3 +149,51 @@ def one_hop(edges: DataFrame, src: str, dst: str, rate: float = K.ONE_HOP_RATE)
         return zeros
     only = rows_to_df(edges.sparkSession, [(src, dst, rate)], "src STRING, dst STRING, w DOUBLE")
     return zeros.filter(~hit).unionByName(only)
+
+
+def _reach(lat: Column, angle: float) -> Column:
+    """The largest difference in longitude, in degrees, to a point at most `angle` (radians) away; null if a pole is."""
+    share = F.lit(math.sin(angle)) / F.cos(F.radians(lat))
+    return F.when(F.abs(lat) + F.lit(math.degrees(angle)) < 90.0, F.degrees(F.asin(F.least(share, F.lit(1.0)))))
+
+
+def pairs_within(places: DataFrame, km: float, id: str = "id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(src, dst, km): the pairs of places, src < dst, at most `km` apart by great circles; no links are needed.
+
+    Places lie in cells of a grid: bands of latitude as high as the distance, cut
+    into cells of longitude as wide as it is at the band's far edge; a band that a
+    pole is near is one cell. A place meets the cells that its circle can
+    touch, over the date line too, so pairs come from an equality join on cells.
+    Places without an id or a position have no pairs. `km` is below a quarter of
+    the way around the earth.
+    """
+    angle = km / EARTH_RADIUS_KM * (1 + 1e-9) + 1e-9
+    if not (km > 0 and angle < math.pi / 2):
+        raise ValueError("the distance must be above 0 and below a quarter of the way around the earth")
+    height = math.degrees(angle)
+    bands = math.ceil(180.0 / height)
+    x, y = F.pmod(F.col("lon") + 180.0, F.lit(360.0)), F.col("lat")
+    band = F.least(F.floor((y + 90.0) / height), F.lit(bands - 1)).cast("int")
+
+    def width(b: Column) -> Column:
+        """How wide the cells of a band are, in degrees; they go around evenly."""
+        far = F.greatest(F.abs(b * height - 90.0), F.abs((b + 1) * height - 90.0))
+        return F.lit(360.0) / F.coalesce(F.greatest(F.floor(F.lit(360.0) / _reach(far, angle)), F.lit(1)), F.lit(1))
+
+    own = places.select(F.col(id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    own = own.filter("id IS NOT NULL AND abs(lat) <= 90 AND lon IS NOT NULL AND NOT isnan(lon)").withColumn("band", band)
+    last = lambda w: F.round(F.lit(360.0) / w).cast("int") - 1
+    cell = F.least(F.floor(x / width(F.col("band"))).cast("int"), last(width(F.col("band"))))
+    index = own.select(F.col("id").alias("dst"), F.col("lat").alias("dst_lat"), F.col("lon").alias("dst_lon"), "band", cell.alias("cell"))
+
+    near = F.sequence(F.greatest(F.col("band") - 1, F.lit(0)), F.least(F.col("band") + 1, F.lit(bands - 1)))
+    asked = own.select("id", "lat", "lon", F.explode(near).alias("band")).withColumn("w", width(F.col("band")))
+    reach, n = _reach(F.col("lat"), angle), last(F.col("w")) + 1
+    first, end = F.floor((x - reach) / F.col("w")).cast("int"), F.floor((x + reach) / F.col("w")).cast("int")
+    part = F.transform(F.sequence(first, end), lambda c: F.pmod(c, n))
+    whole = F.sequence(F.lit(0), n - 1)
+    cells = F.when(reach.isNull() | (end - first + 1 >= n), whole).otherwise(part)
+    probes = asked.select(F.col("id").alias("src"), F.col("lat").alias("src_lat"), F.col("lon").alias("src_lon"), "band", F.explode(cells).alias("cell"))
+    met = probes.join(index, ["band", "cell"]).filter("src < dst")
+    apart = haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))
+    return met.select("src", "dst", apart.alias("km")).filter(F.col("km") <= km)

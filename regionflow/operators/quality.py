@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from regionflow.session import fresh_path
+
 
 def state_mass(state: str = "") -> Column:
     """All five compartments, rounded, as BIGINT."""
@@ -57,7 +60,7 @@ def check_edges(edges: DataFrame, cap: float = 0.12, slack: float = 1e-12) -> Da
 
 def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that occur more often in `a` (surplus > 0) or in `b` (surplus < 0)."""
-    columns = a.columns
+    columns = ["`" + c.replace("`", "``") + "`" for c in a.columns]
     both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
     return (
         both.groupBy(*columns).agg(F.sum("_n").alias("surplus")).filter(F.col("surplus") != 0)
@@ -78,3 +81,31 @@ def require_empty(violations: DataFrame, message: str) -> None:
     first = violations.limit(1).collect()
     if first:
         raise ValueError(f"{message}: {first[0].asDict(recursive=True)}")
+
+
+@dataclass(frozen=True)
+class Checked:
+    """The rows that pass, the others with their `reasons`, and how many rows there were and fail each check."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int]
+
+
+def split_rows(rows: DataFrame, checks: Mapping[str, Column], clean: Mapping[str, Column] | None = None) -> Checked:
+    """Rows checked in one pass over their source; a check that holds is a reason to reject a row.
+
+    `clean` adds or replaces columns of the rows that pass; rejects stay as they were
+    read. Both go to one table in the shared folder, and the counts (`rows`,
+    `rejected` and each check) are gathered while it is written.
+    """
+    spark, seen = rows.sparkSession, Observation()
+    reasons = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda r: r.isNotNull())
+    marked = rows.withColumn("reasons", reasons).withColumn("rejected", F.size("reasons") > 0)
+    each = [F.count_if(F.array_contains("reasons", name)).alias(name) for name in checks]
+    observed = marked.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("rejected").alias("rejected"), *each)
+    path = fresh_path(spark, "checked")
+    observed.write.partitionBy("rejected").parquet(path)
+    table = spark.read.schema(marked.schema).parquet(path)
+    passed = table.filter("NOT rejected").select(*rows.columns).withColumns(dict(clean or {}))
+    return Checked(passed, table.filter("rejected").drop("rejected"), dict(seen.get))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from regionflow.plans.registry import REGISTRY, Query
 
-MODULES = ["series_queries", "network_queries", "scoring_queries", "sampling_queries", "source_queries", "stream_queries"]
+MODULES = ["series_queries", "network_queries", "scoring_queries", "sampling_queries", "source_queries", "stream_queries", "store_queries"]
 
 
 def catalog() -> dict[str, Query]:

@@ -28,14 +28,12 @@ def _padded_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.first_n_padded(V.daily(spark, sf_dir, "user_id"), HORIZON)
 
 
-def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+def report_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.observations(spark, sf_dir, "user_id").groupBy("entity").agg(F.count("*").alias("n"))
     return rows.select("entity", (F.col("n") * 37 + 1000).alias("pop"))
 
 
-@query(
-    "region_report",
-    f"""
+REPORT_SQL = f"""
     WITH s AS ({V.SERIES_USER_SQL}),
     d AS (SELECT entity, count(*) AS n_days FROM s GROUP BY entity),
     longest AS (SELECT CAST(greatest({HORIZON}, max(n_days)) AS INTEGER) AS days FROM d),
@@ -48,14 +46,16 @@ def _user_population(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM p JOIN n ON n.entity = p.entity GROUP BY p.entity)
     SELECT m.entity, arrival, peak, final, arrival_n, peak_n, days, n_days
     FROM m JOIN r ON m.entity = r.entity JOIN d ON d.entity = m.entity, longest
-    """,
-)
+    """
+
+
+@query("region_report", REPORT_SQL)
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows to padded series to arrival, peak and final, plain and per head, of an entity's `n_days` days padded to `days`."""
     daily = stored(V.daily(spark, sf_dir, "user_id"), "daily")
     days = series.longest(daily, HORIZON)
     report = series.region_metrics(
-        series.first_n_padded(daily, days), _user_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
+        series.first_n_padded(daily, days), report_population(spark, sf_dir), thresh=THRESH, thresh_n=0.05
     )
     seen = daily.groupBy("entity").agg(F.count("*").alias("n_days"))
     named = report.withColumn("days", days).join(seen, "entity")
@@ -151,7 +151,7 @@ def series_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def normalised_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.series(spark, sf_dir, "user_id")
-    shares = series.normalised_metrics(rows, _user_population(spark, sf_dir), thresh=0.05)
+    shares = series.normalised_metrics(rows, report_population(spark, sf_dir), thresh=0.05)
     return rounded(shares, 6, "peak_n")
 
 

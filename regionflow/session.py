@@ -90,3 +90,10 @@ def release(spark: SparkSession, app: str | None = None) -> None:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return os.path.join(working_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern with `*` stands for, in order, on whatever store it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or ())

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionflow.operators.quality import Checked, split_rows
 from regionflow.operators.series import (
     clean_series,
     first_n_padded,
@@ -43,6 +44,30 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_checked(spark: SparkSession, path: str) -> Checked:
+    """`read_observations`, with the lines that cannot be read set aside and counted in the same pass.
+
+    Reasons: a line of another length than the header, no location, a date or a
+    value that is not one. An empty value is a gap, as before, and no reason.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [c for c in COLUMNS if c not in header]:
+        raise MissingColumn(f"{path} has no column {', '.join(missing)}")
+    schema = ", ".join(f"`{c}` string" for c in [*header, "_line"])
+    raw = spark.read.option("header", True).option("columnNameOfCorruptRecord", "_line").option("columnPruning", False).schema(schema).csv(path)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    place, date, value = (F.col(c) for c in COLUMNS)
+    checks = {
+        "line of another length": F.col("_line").isNotNull(),
+        "no location": blank(place),
+        "no date": date.try_cast("date").isNull(),
+        "no number": ~blank(value) & value.try_cast("double").isNull(),
+    }
+    clean = {"date": date.try_cast("date"), "new_cases": value.try_cast("double")}
+    found = split_rows(raw.select(*COLUMNS, "_line"), checks, clean)
+    return Checked(found.rows.drop("_line"), found.rejects, found.counts)
+
+
 def observed_series(obs: DataFrame, aliases: DataFrame, least: int = 0) -> DataFrame:
     """Cleaned and ordered series of the aliased entities, whole, all padded to the longest and at least to `least`."""
     named = clean_series(select_cast(map_entity_names(obs, aliases)))

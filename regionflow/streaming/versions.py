@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionflow.session import matching
+
 
 def _generations(spark: SparkSession, path: str) -> list[int]:
     """The finished generations beside a folder of versions: those whose list of files is written."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-generations/*/files/_SUCCESS")
-    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(int(f.getPath().getParent().getParent().getName()) for f in system.globStatus(found) or ())
+    return sorted(int(f.split("/")[-3]) for f in matching(spark, f"{path}-generations/*/files/_SUCCESS"))
 
 
 def _parts(spark: SparkSession, path: str, schema: T.StructType) -> tuple[int, DataFrame | None, list[str], list[str]]:
