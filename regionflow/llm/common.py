@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,20 +36,42 @@ def identified(df: DataFrame) -> DataFrame:
     """(row, same): the rows packed into one struct, and 128 bits that are equal for equal rows only.
 
     Unlike a row number it needs no table: it is the same whenever and wherever a
-    row is read. Rows that it holds for equal agree in every column (but maps).
+    row is read. Rows that it holds for equal agree in every column; maps are
+    compared by their entries, whatever order these are in.
     """
-    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    parts = [x for c in hashed for x in (col(c).isNull(), col(c))]  # hashes pass over nulls
+
+    def hashed(f: T.StructField) -> Column:
+        if not isinstance(f.dataType, T.MapType):
+            return col(f.name)
+        return F.to_json(F.struct(F.array_sort(F.map_entries(col(f.name))).alias("m")), {"ignoreNullFields": "false"})
+
+    parts = [x for f in df.schema.fields for x in (col(f.name).isNull(), hashed(f))]  # hashes pass over nulls
     # one text, as parts of a struct may differ in whether they can be null, which would shuffle twice
     same = F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(F.lit("again"), *parts)))
     return df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), same.alias("same"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python: at most `rows` in an Arrow batch of this session, or fewer if it says so."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+#: Rows and bytes of whole texts that go to Python in one Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python: bounds this session's Arrow batches by rows and, for long texts, by bytes.
+
+    Settings that are smaller already stay. They are read when a plan is run, so they hold on.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Returns memory that a batch has left unused to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def words_in(text: Column) -> Column:

@@ -11,17 +11,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import small_batches
+from regionflow.llm.common import give_back, small_batches
 
 #: Hash slots of the model, lengths of the n-grams, added to every count, documents to fit on for each language.
 SLOTS, NGRAMS, SMOOTHING, FIT_DOCS = 1 << 16, (2, 3), 0.5, 5000
 #: A model holds SLOTS numbers a language; beyond so many languages it is refused.
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
+#: A text is in no learned language if its n-grams are so many spreads less likely than that language's own, on
+#: average; a short text, whose average says less, may fall short by ROOM over the root of its n-grams besides.
+LEVEL, ROOM = 1.5, 30.0
 #: Tasks that count the sample, and what they return.
 FIT_TASKS, COUNTS = 16, "lang string, counts binary"
 #: Characters looked at in one go.
-STEP = 1 << 20
+STEP = 1 << 18
 
 _LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -52,11 +55,16 @@ def _pieces(codes: np.ndarray, n: int) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log probabilities: (slots, languages) of n-grams and (languages,) of languages."""
+    """Log probabilities: (slots, languages) of n-grams and (languages,) of languages.
+
+    `mean` and `spread` are those of a language's n-grams in its own texts.
+    """
 
     languages: tuple[str, ...]
     log_ngrams: np.ndarray
     log_prior: np.ndarray
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The log joint probability of each text and language."""
@@ -124,9 +132,11 @@ def fit(rows: DataFrame, per_language: int = FIT_DOCS) -> LanguageModel:
     languages = tuple(sorted(totals))
     smoothed = np.stack([totals[lang] for lang in languages], axis=1) + SMOOTHING
     prior = np.array([shares[lang] for lang in languages], float)
-    return LanguageModel(
-        languages, np.log(smoothed / smoothed.sum(axis=0)).astype(np.float32), np.log(prior / prior.sum())
-    )
+    log_ngrams = np.log(smoothed / smoothed.sum(axis=0))
+    own = (smoothed - SMOOTHING) / np.maximum((smoothed - SMOOTHING).sum(axis=0), 1)
+    mean = (own * log_ngrams).sum(axis=0)
+    spread = np.sqrt(np.maximum((own * log_ngrams**2).sum(axis=0) - mean**2, 1e-12))
+    return LanguageModel(languages, log_ngrams.astype(np.float32), np.log(prior / prior.sum()), mean, spread)
 
 
 def _sample(drawn: DataFrame) -> DataFrame:
@@ -141,24 +151,28 @@ def _add_up(counts: pa.Table) -> pa.Table:
 
 
 def predict(spark, model: LanguageModel, text: Column) -> Column:
-    """struct(lang_pred, score): the likeliest language of the whole text and its probability.
+    """struct(lang_pred, score, n_grams, fit): the likeliest language of the whole text and its probability.
 
-    `und` with score 0 for a null text, a text without letters, and a model
-    without languages. Equal probabilities go to the first language by name.
+    `fit` is how far the mean log probability of the text's n-grams lies above (or
+    below: negative) that of the language's own, in spreads of these; unlike the score it
+    does not run to 1 with length. `und` with zeros for a null text, a text without
+    letters, and a model without languages. Equal probabilities go to the first language by name.
     """
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)  # SLOTS x languages, both bounded
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, n_grams long, fit double")
     def run(texts: pa.Array) -> pa.Array:
-        return _predict(held.value, texts)
+        found = _predict(held.value, texts)
+        give_back()
+        return found
 
     return run(text)
 
 
 def _predict(model: LanguageModel, texts: pa.Array) -> pa.Array:
     langs: list[str] = [UNKNOWN] * len(texts)
-    scores = np.zeros(len(texts))
+    scores, fits, sizes = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
     for start in range(0, len(texts), 256):
         part = texts[start : start + 256].to_pylist()
         known = [i for i, t in enumerate(part) if model.languages and has_letter(t)]
@@ -167,6 +181,20 @@ def _predict(model: LanguageModel, texts: pa.Array) -> pa.Array:
             best = joint.argmax(axis=1)
             top = joint[np.arange(len(best)), best]
             share = 1.0 / np.exp(joint - top[:, None]).sum(axis=1)
-            for i, b, s in zip(known, best, share, strict=True):
-                langs[start + i], scores[start + i] = model.languages[b], s
-    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            at = start + np.array(known)
+            size = [len(_codes(part[i])) for i in known]
+            sizes[at] = [sum(max(n - k + 1, 0) for k in NGRAMS) for n in size]
+            scores[at] = share
+            if model.mean is not None:
+                own = (top - model.log_prior[best]) / np.maximum(sizes[at], 1)
+                fits[at] = np.where(sizes[at] > 0, (own - model.mean[best]) / model.spread[best], 0.0)
+            for i, b in zip(at.tolist(), best, strict=True):
+                langs[i] = model.languages[b]
+    columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes), pa.array(fits, pa.float64())]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "n_grams", "fit"])
+
+
+def is_known(found: Column) -> Column:
+    """Whether a prediction stands: the text has letters and is about as likely as texts of the language are."""
+    short = F.lit(ROOM) / F.sqrt(F.greatest(found["n_grams"], F.lit(1)).cast("double"))
+    return (found["lang_pred"] != UNKNOWN) & (found["fit"] >= -(F.lit(LEVEL) + short))

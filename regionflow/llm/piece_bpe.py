@@ -29,17 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import small_batches
+from regionflow.llm.common import give_back, small_batches
 
 SPACE = "▁"
 #: Characters that the table of states has columns for, and the longest chunk worked on by numpy.
 CLASSES, LONGEST = 128, 32
 #: Slots of the table of pairs that were tried out; half of them are filled at most.
-PAIR_SLOTS = 1 << 21
+PAIR_SLOTS = 1 << 20
 #: Pairs kept for chunks that numpy does not work on.
 MOST_ASKED = 100_000
 #: Bytes of text encoded in one go.
-STEP = 2 << 20
+STEP = 1 << 20
 
 
 def read_model(path: str) -> dict:
@@ -214,7 +214,7 @@ class Codec:
         self.class_of = np.zeros(0x110000, np.uint8)
         self.class_of[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
         auto = self.automaton
-        self.moves = np.zeros((len(auto.next), CLASSES), np.int32)
+        self.moves = np.zeros((len(auto.next), CLASSES), np.uint16 if len(auto.next) <= 1 << 16 else np.int32)
         number = {c: k + 1 for k, c in enumerate(common)}
         for state in auto.order:
             if state:
@@ -224,7 +224,7 @@ class Codec:
                     self.moves[state, number[c]] = child
         most = max(map(len, auto.found))
         self.found_unit = np.full((len(auto.next), most), -1, np.int32)
-        self.found_size = np.ones((len(auto.next), most), np.int32)
+        self.found_size = np.ones((len(auto.next), most), np.int16)
         for state, found in enumerate(auto.found):
             for k, (size, unit) in enumerate(found):
                 self.found_unit[state, k], self.found_size[state, k] = unit, size
@@ -464,11 +464,15 @@ class PieceModel:
 
         @F.arrow_udf("binary")
         def encode(texts: pa.Array) -> pa.Array:
-            return _in_parts(_codec(name, held.value).encode_array, texts, pa.binary(), STEP)
+            done = _in_parts(_codec(name, held.value).encode_array, texts, pa.binary(), STEP)
+            give_back()
+            return done
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
-            return _in_parts(_codec(name, held.value).decode_array, ids, pa.string(), STEP)
+            done = _in_parts(_codec(name, held.value).decode_array, ids, pa.string(), STEP)
+            give_back()
+            return done
 
         self._encode, self._decode = encode, decode
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionflow.llm.common import give_back
 from regionflow.llm.components import components
 from regionflow.operators.skew import stored
 
@@ -57,6 +58,7 @@ def simhash(text: str | None, words: int = SHINGLE, seed: int = SEED) -> int:
 @F.arrow_udf(T.LongType())
 def _fingerprint(texts: pa.Array) -> pa.Array:
     found = np.fromiter((simhash(t.as_py()) for t in texts), np.uint64, len(texts))
+    give_back()
     return pa.array(found.view(np.int64))
 
 

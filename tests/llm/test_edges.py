@@ -25,6 +25,7 @@ import public_tokenizers
 from conftest_data import SF_DIR, brute_components, brute_repeats, brute_simhash, jaccard, shingles
 from regionflow.llm import ann, chat, langid, linededup, minhash, mixing, piece_bpe, prefixfree, simhash, warc
 from regionflow.llm import queries as q
+from regionflow.llm.common import identified
 from regionflow.session import fresh_path
 
 random.seed(5)
@@ -331,7 +332,7 @@ def test_thresholds_suffice():
 
 def test_language_of_hard_texts(spark, hard, empty, docs_of):
     none = langid.fit(empty.select("lang", "text", F.col("doc_id").alias("key")))
-    assert {tuple(r.p) for r in hard.select(langid.predict(spark, none, F.col("text")).alias("p")).collect()} == {("und", 0.0)}
+    assert {tuple(r.p) for r in hard.select(langid.predict(spark, none, F.col("text")).alias("p")).collect()} == {("und", 0.0, 0, 0.0)}
     taught = docs_of([(i, t and t * 3, lang, "s") for i in range(20) for t, lang in [("the cat and the dog ", "en"), ("der hund und die katze ", "de"), (None, "xx"), ("lost", None)]])
     model = langid.fit(taught.select("lang", "text", F.col("doc_id").alias("key")))
     assert model.languages == ("de", "en")
@@ -371,6 +372,21 @@ def test_language_as_a_plain_classifier(spark):
         assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(max(x - joint[best], -700)) for x in joint.values()), abs=1e-3)
 
 
+def test_short_texts_stay_and_junk_goes(spark, docs_of):
+    """Clean texts of any length are of a known language; letters at random and a language not learned are not."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    model = q.language_model(docs)
+    draw = random.Random(3)
+    letters = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") + " " * (draw.random() < 0.2) for _ in range(3000))
+    other = "ζωή και θάνατος στην αρχαία πόλη " * 40
+    clean = [r.text for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").limit(80).collect() if langid.has_letter(r.text)]
+    heads = [" ".join(t.split()[:n]) for t in clean[:40] for n in (1, 2, 5, 20)]
+    rows = docs_of([*clean, *[h for h in heads if langid.has_letter(h)], letters, other, "12 34"])
+    found = rows.select("text", langid.is_known(langid.predict(spark, model, F.col("text"))).alias("known")).collect()
+    refused = {r.text for r in found if not r.known}
+    assert refused == {letters, other, "12 34"}
+
+
 def test_sample_of_rows_without_id_and_of_copies(spark):
     rows = [("en", f"document {i:04d}", None) for i in range(600)] + [("de", "hund", 5)] * 300 + [("de", f"katze {i}", i) for i in range(20)]
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string, key long"), 100)
@@ -602,3 +618,12 @@ def test_stages_take_hard_and_empty_tables(spark, hard, empty, name, stage):
         assert sum(r.text is None or not r.text.strip() for r in found) == 1
     if name == "sentencepiece":
         assert len(found) == len(HARD)
+
+
+def test_rows_that_differ_in_a_map_alone(spark):
+    """Each is a row of its own for the stages that tell rows apart by their content."""
+    rows = [(1, "a b c d", "s", {"x": 1}), (1, "a b c d", "s", {"x": 2}), (1, "a b c d", "s", None), (1, "a b c d", "s", {"x": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
+    assert identified(docs).select("same").distinct().count() == 3
+    mixed = corpus_pipeline.mix_sources(spark, docs.withColumn("lang", F.lit("en")), SF_DIR)
+    assert Counter(str(r.m) for r in mixed.collect()) == Counter(str(r[3]) for r in rows)

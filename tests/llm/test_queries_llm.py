@@ -116,7 +116,7 @@ def test_pipeline(spark):
         kept.append([r.asDict() for r in docs.collect()])
     known, lines, near, mixed, encoded = kept
     source = {r.doc_id: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
-    und = {r.doc_id for r in q.QUERIES["op6_langid"](spark, SF_DIR).collect() if r.lang_pred == "und" or r.score < 0.5}
+    und = {r.doc_id for r in q.QUERIES["op6_langid"](spark, SF_DIR).collect() if r.lang_pred == "und"}
     assert {r["doc_id"] for r in known} == set(source) - und
     assert all(set(r) == set(source[0].asDict()) for stage in kept[:4] for r in stage)
 
