@@ -15,16 +15,12 @@ from regionflow.llm.common import col, identified, small_batches
 from regionflow.operators.skew import stored
 from regionflow.session import fresh_path
 
-#: A document is rejected below this probability of its likeliest language.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is known: those without letters or of unclear language go."""
+    """Keeps the documents whose language is known: those without letters or in no learned language go, short ones stay."""
     model = queries.language_model(docs)
     packed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), langid.predict(spark, model, col("text")).alias("found"))
-    known = (F.col("found.lang_pred") != langid.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE)
-    return packed.filter(known).select("row.*")
+    return packed.filter(langid.is_known(F.col("found"))).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
