@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.functions import scalar as S
-from regionflow.operators import sampling
+from regionflow.operators import sampling, sum_tree
 from regionflow.plans import views as V
 from regionflow.plans.registry import query, rounded, table
+from regionflow.session import fresh_path
 
 
 @query("keep_last_n", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 5000")
@@ -114,6 +115,34 @@ def update_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sampling.update_priorities(prio, updates, "event_id"), 6, "p")
 
 
+@query(
+    "sum_tree_draws",
+    f"""
+    WITH u AS (SELECT o_custkey AS event_id, arg_max(o_totalprice / 1000 - 250, (o_orderkey % 3, o_orderkey)) AS td
+        FROM orders WHERE o_custkey < (SELECT count(*) FROM events) GROUP BY 1),
+    p AS (SELECT e.event_id, CASE WHEN td IS NULL THEN e.p ELSE pow(abs(td) + 1e-6, 0.6) END AS p
+        FROM ({_PRIO}) e LEFT JOIN u ON u.event_id = e.event_id),
+    c AS (SELECT event_id, p, sum(p) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cum FROM p),
+    t AS (SELECT sum(p) AS total, count(*) AS n FROM p),
+    d AS (SELECT c_custkey AS draw_id, {_DRAW} * total AS goal, total, n FROM customer, t)
+    SELECT draw_id, event_id, round(p, 6) AS p, round(pow(n * (p / total), -0.4), 6) AS weight
+    FROM d ASOF JOIN c ON d.goal <= c.cum
+    """,
+)
+def sum_tree_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One draw per customer from a stored tree of the events' priorities, after three rounds of updates."""
+    events, path = table(spark, sf_dir, "events"), fresh_path(spark, "sum-tree")
+    n = events.count()
+    sum_tree.build(events.select("event_id", (F.col("value") - 100).alias("td")), path, n, "event_id")
+    updates = table(spark, sf_dir, "orders").filter(F.col("o_custkey") < n).select(
+        F.col("o_custkey").alias("event_id"), (F.col("o_totalprice") / 1000 - 250).alias("td"), F.col("o_orderkey").alias("seq")
+    )
+    for k in range(3):
+        sum_tree.update(spark, path, updates.filter(F.col("seq") % 3 == k), "event_id")
+    draws = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("draw_id"), F.expr(_DRAW).alias("u"))
+    return rounded(sum_tree.draw(spark, path, draws, "event_id"), 6, "p", "weight")
+
+
 @query("anneal", "SELECT event_id, round(least(1.0, 0.4 + 1e-4 * event_id), 9) AS beta FROM events")
 def anneal(spark: SparkSession, sf_dir: str) -> DataFrame:
     beta = S.anneal(F.lit(0.4), F.col("event_id"))
