@@ -288,10 +288,10 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cell.beta", "cell.travel", "entity", "t", value.alias("value"))
 
 
-GRID_SQL = "SELECT * FROM (VALUES " + ", ".join(
-    f"({n}, {beta}e0, {travel}e0)"
-    for n, (beta, travel) in enumerate((b, t) for b in K.BETA_GRID for t in K.TRAVEL_GRID)
-) + ") g(grid_pos, beta, travel)"
+GRID_SQL = (
+    "SELECT 5 * b + t AS grid_pos, beta, travel FROM (VALUES (0, 0.24e0), (1, 0.25e0), (2, 0.26e0), (3, 0.27e0)) x(b, beta) "
+    "CROSS JOIN (VALUES (0, 0.5e0), (1, 0.6e0), (2, 0.7e0), (3, 0.8e0), (4, 0.9e0)) y(t, travel)"
+)
 TRAJECTORY_SQL = (
     "SELECT g.beta, g.travel, s.entity, s.t, s.value * (g.beta / 0.25e0) * g.travel AS value "
     f"FROM ({SERIES_SQL}) s CROSS JOIN ({GRID_SQL}) g"
