@@ -10,8 +10,11 @@ the bin, the low four bits are kept and packed, sixteen bins to a long. Two valu
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionflow.llm.common import col
 
@@ -117,6 +120,20 @@ def likeness(a: Column, b: Column) -> Column:
 STRETCH, MOST_STRETCHES = 500, 4096
 
 
+def _number(docs: DataFrame, doc_id: str) -> Column:
+    """A whole number that never falls as the id grows: whole ids themselves, others rounded down, of texts the first
+    bytes after those that all ids share."""
+    kind = docs.schema[doc_id].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(doc_id).cast("long")
+    if not isinstance(kind, T.StringType):
+        return F.floor(F.col(doc_id).cast("double")).cast("long")
+    ends = docs.agg(F.min(doc_id).alias("a"), F.max(doc_id).alias("b")).first()
+    shared = len(os.path.commonprefix([(x or "").encode() for x in ends]))
+    digits = F.rpad(F.substring(F.hex(F.encode(doc_id, "UTF-8")), 2 * shared + 1, 14), 14, "0")
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def stretched(docs: DataFrame, doc_id: str = "doc_id", tie: str = "tie") -> DataFrame:
     """`docs` cut into `stretch`es of descending ids, each with a copy (`copied` = 1) of the row that begins the next one.
 
@@ -124,16 +141,17 @@ def stretched(docs: DataFrame, doc_id: str = "doc_id", tie: str = "tie") -> Data
     than a stretch. Cut points and first rows are at most MOST_STRETCHES each,
     whatever the data, and so may be broadcast.
     """
+    number = _number(docs, doc_id)
     stats = docs.agg(F.count("*").alias("n"), F.count(doc_id).alias("known")).first()
     parts = max(1, min(MOST_STRETCHES, stats["known"] // STRETCH))
     cuts = []
     if parts > 1:
-        quantiles = F.percentile_approx(doc_id, [k / parts for k in range(1, parts)], 20 * parts)
+        quantiles = F.percentile_approx(number, [k / parts for k in range(1, parts)], 20 * parts)
         cuts = sorted(set(docs.agg(quantiles.alias("q")).first()["q"]))
     # rows without id are cut by their tie value
     spread = max(1, min(MOST_STRETCHES, (stats["n"] - stats["known"]) // STRETCH))
     among_null = F.floor((F.shiftright("tie_", 32) + (1 << 31)) * spread / float(1 << 32)) - spread
-    passed = F.size(F.filter(_ints(cuts), lambda c: c <= F.col(doc_id))) if cuts else F.lit(0)
+    passed = F.size(F.filter(_ints(cuts), lambda c: c <= number)) if cuts else F.lit(0)
     cut = docs.withColumn("tie_", F.col(tie)).withColumn(
         "stretch", F.when(F.col(doc_id).isNotNull(), passed).otherwise(among_null).cast("long")
     )

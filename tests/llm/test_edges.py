@@ -481,6 +481,18 @@ def test_next_over_stretches(spark, monkeypatch):
     assert got == {r[2]: want[(k + 1) % len(want)][2] for k, r in enumerate(want)}
 
 
+@pytest.mark.parametrize("kind,make", [("string", lambda k: f"doc-{'é' * (k % 3)}{k * 7919 % 1201}"), ("decimal(9,1)", lambda k: decimal.Decimal(k) - 600), ("smallint", int), ("double", lambda k: k / 3 - 100)])
+def test_next_with_other_ids(spark, kind, make):
+    """More rows than a stretch holds; text ids are cut by the bytes after those that all share."""
+    rows = [(make(k), k, f"t{k}") for k in range(1200)]
+    random.shuffle(rows)
+    cut = minhash.stretched(spark.createDataFrame(rows, f"doc_id {kind}, tie long, text string"))
+    assert cut.select("stretch").distinct().count() > 1
+    got = {r.text: r.next_text for r in minhash.next_of(cut, ["text"]).collect()}
+    want = sorted(rows, key=lambda r: (r[0].encode() if kind == "string" else r[0], r[1]), reverse=True)
+    assert got == {r[2]: want[(k + 1) % len(want)][2] for k, r in enumerate(want)}
+
+
 def test_likeness_of_short_and_long_texts(spark):
     rng = random.Random(4)
     texts = []
