@@ -20,7 +20,7 @@ MOST_LANGUAGES = 500
 UNKNOWN = "und"
 #: A text is in no learned language if its n-grams are so many spreads less likely than that language's own, on
 #: average; a short text, whose average says less, may fall short by ROOM over the root of its n-grams besides.
-LEVEL, ROOM = 1.5, 30.0
+LEVEL, ROOM = 1.5, 45.0
 #: Tasks that count the sample, and what they return.
 FIT_TASKS, COUNTS = 16, "lang string, counts binary"
 #: Characters looked at in one go.
