@@ -4,8 +4,8 @@ Every chunk of a key maps the value it begins with to the one it ends with, as
 x -> a * x + b; plain sums have a = 1. Such maps compose associatively, so a key
 with many chunks is cut into blocks of up to FAN neighbours, blocks into blocks of
 blocks, until no key has more than FAN of them; each level is one grouping. On the
-way down a block passes on the value it begins with. No task holds a whole key,
-and no list is built.
+way down a block passes on the value it begins with. No task holds a whole key that is
+longer, and no list is built.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from regionflow.operators.skew import key_of, stored
 
 #: Neighbours that are put together in one block.
-FAN = 64
+FAN = 1024
 #: Rows that a task takes of a level.
 TASK_ROWS = 8192
 
 
-def _composed(level: DataFrame, affine: bool) -> DataFrame:
+def _composed(level: DataFrame, affine: bool, most: int) -> DataFrame:
     """Adds `_a`, `_b`, the maps up to and with each row of a block, and `_a0`, `_b0`, those before it."""
     along = Window.partitionBy("_block").orderBy("_c")
     if not affine:
@@ -31,7 +31,7 @@ def _composed(level: DataFrame, affine: bool) -> DataFrame:
         return level.withColumns({"_b": F.sum("b").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_b0": before})
     done = level.withColumns({"_a": F.col("a"), "_b": F.col("b")})
     step = 1
-    while step < FAN:  # after each turn a row holds the maps of twice as many rows
+    while step < min(FAN, most):  # after each turn a row holds the maps of twice as many rows
         back = lambda c, n=step: F.lag(c, n).over(along)
         done = done.withColumns({"_a9": back("_a"), "_b9": back("_b")}).withColumns(
             {"_a": F.coalesce(F.col("_a") * F.col("_a9"), "_a"), "_b": F.coalesce(F.col("_a") * F.col("_b9") + F.col("_b"), "_b")}
@@ -40,25 +40,30 @@ def _composed(level: DataFrame, affine: bool) -> DataFrame:
     return done.withColumns({"_a0": F.lag("_a", 1).over(along), "_b0": F.lag("_b", 1).over(along)}).drop("_a9", "_b9")
 
 
-def entering(ends: DataFrame, affine: bool = True) -> DataFrame:
+def entering(ends: DataFrame, affine: bool = True, most: int | None = None) -> DataFrame:
     """(_at, _in): the value that each chunk begins with, 0 for a key's first.
 
     `ends` has a row for each chunk: `_at`, a struct of `key` (a struct, so that null
     keys are keys) and `chunk` (a whole number, null first), `b` and, if
-    `affine`, `a`. Chunks of a key need not follow each other without gaps.
+    `affine`, `a`. Chunks of a key need not follow each other without gaps. If it is
+    known that no key has more than `most` chunks and these make one block, nothing
+    is counted or written.
     """
     names = ["a", "b"] if affine else ["b"]
-    level = stored(ends.select(F.col("_at.key").alias("_key"), F.col("_at.chunk").cast("bigint").alias("_c"), *names), "chunk-ends")
+    level = ends.select(F.col("_at.key").alias("_key"), F.col("_at.chunk").cast("bigint").alias("_c"), *names)
+    rows, known = 0, most is not None and most <= FAN
+    level = level if known else stored(level, "chunk-ends")
     levels = []
     while True:
-        sizes = level.groupBy("_key").agg(F.count("*").alias("n"))
-        rows, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if not known:
+            sizes = level.groupBy("_key").agg(F.count("*").alias("n"))
+            rows, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
         top = most <= FAN
         block = F.lit(0).cast("bigint") if top else F.floor(F.col("_c") / F.lit(FAN))
         cut = level.withColumn("_block", F.struct(F.col("_key").alias("key"), block.alias("chunk")))
         if rows > TASK_ROWS:
             cut = cut.repartition(-(-rows // TASK_ROWS) * 2, "_block")
-        done = _composed(cut, affine)
+        done = _composed(cut, affine, most)
         if top:
             levels.append(done)
             break
@@ -86,7 +91,9 @@ def running_total(rows: DataFrame, keys: Sequence[str], chunk: str, order: Seque
     """
     near = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_at", F.struct(key_of(keys).alias("key"), F.col(chunk).cast("bigint").alias("chunk")))
-    starts = entering(placed.groupBy("_at").agg(F.coalesce(F.sum(value), F.lit(0)).alias("b")), affine=False)
+    low, high = rows.agg(F.min(chunk), F.max(chunk)).first()
+    most = 1 if low is None else int(high - low) + 2  # and rows without a chunk
+    starts = entering(placed.groupBy("_at").agg(F.coalesce(F.sum(value), F.lit(0)).alias("b")), affine=False, most=most)
     return (
         placed.withColumn(out, F.sum(value).over(near))
         .join(starts, "_at")

@@ -148,8 +148,10 @@ def ema(
     ends = local.groupBy("_at").agg(
         power(F.max("_pos")).alias("a"), F.coalesce(F.max_by("_local", "_pos"), F.lit(0.0)).alias("b")
     )
+    low, high = kept.agg(F.min(step), F.max(step)).first()
+    most = 2 if low is None else int((high - low) // (every * chunk)) + 3  # steps on a chunk's edge, and those without one
     return (
-        local.join(entering(ends), "_at")
+        local.join(entering(ends, most=most), "_at")
         .withColumn(out, F.col("_local") + F.col("_in") * power(F.col("_pos")))
         .drop("_at", "_pos", "_local", "_in")
     )
