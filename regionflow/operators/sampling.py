@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow.functions.scalar import priority
@@ -101,6 +101,23 @@ def _children(nodes: DataFrame, fanout: int) -> DataFrame:
     )
 
 
+def _cell(at: Column, scale: Column, cells: int, more: float = 0.0) -> Column:
+    """The one of so many equal cells, from 0 to the scale, that a number lies in; those beyond lie in the outer ones."""
+    place = at / F.greatest(F.coalesce(scale, F.lit(0.0)), F.lit(1e-300)) * F.lit(float(cells)) + F.lit(more)
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(cells - 1.0), place))).cast("int")
+
+
+def _in_cells(children: DataFrame, fanout: int) -> DataFrame:
+    """`_children` in each cell of their parent's weight that their range touches, about two rows a child.
+
+    A draw meets the children in its own cell only. Sums of a parent's weight may
+    differ by rounding, so ranges reach a little further here.
+    """
+    scale = F.sum("p").over(Window.partitionBy("parent"))
+    first, last = (_cell(F.col(c), F.col("_scale"), fanout, more) for c, more in (("low", -1e-3), ("high", 1e-3)))
+    return children.withColumn("_scale", scale).withColumn("cell", F.explode(F.sequence(first, last))).drop("_scale")
+
+
 def _first_draws(draws: DataFrame, n: int) -> DataFrame:
     """The n draws of the smallest ids."""
     if draws.count() <= n:
@@ -129,7 +146,9 @@ def weighted_sample(
     deep as the largest id needs: a draw walks down from the top, so no sum runs
     over the whole table. The rows are read twice: once for the sums of the
     lowest inner nodes, which are written to the shared folder and from which
-    the others are made, and once for the leaves that a draw has reached.
+    the others are made, and once for the leaves that a draw has reached. On the
+    two highest levels, which many draws share, a draw meets the few children in
+    its cell (`_in_cells`), below them its node's.
     """
     slot = F.col(id)
     checked = F.when(slot >= 0, slot.cast("bigint")).otherwise(
@@ -140,10 +159,10 @@ def weighted_sample(
     inner = stored(
         leaves.groupBy(parent.alias("node")).agg(F.sum("p").alias("p"), F.count("*").alias("n")), "sample-nodes"
     )
-    size, top_node = inner.agg(F.sum("n"), F.max("node")).first()
+    size, top_node, weight = inner.agg(F.sum("n"), F.max("node"), F.sum("p")).first()
     empty = rows.sparkSession.createDataFrame([], "draw_id long, node long, p double, rows long, total double")
     if not size:
-        walk, depth = empty, 0
+        walk, depth = empty, -1
     else:
         # levels above the leaves: the highest one has at most `fanout` nodes
         depth = 1
@@ -155,26 +174,18 @@ def weighted_sample(
         above = F.floor(F.col("node") / F.lit(fanout ** (k - 1))).cast("bigint")
         return inner.groupBy(above.alias("node")).agg(F.sum("p").alias("p")) if k > 1 else inner.select("node", "p")
 
-    if depth:
-        fields = ["node", "base", "high", "p"]
-        kids = F.sort_array(F.collect_list(F.struct(*fields)))
-        top = _children(level(depth), fanout).agg(kids.alias("kids")).scalar()
-        last = F.element_at("kids", -1)
-        goal = F.col("u") * F.col("total")
+    if depth > 0:
+        total, goal = F.lit(TINY if weight is None else max(weight, TINY)), F.col("u") * F.col("total")
         walk = (
             _first_draws(draws.select("draw_id", "u"), size)
-            .select("draw_id", "u", F.lit(size).alias("rows"), top.alias("kids"))
-            .withColumn("sum", last["base"] + last["p"])
-            .withColumn("total", F.greatest(F.lit(TINY), F.col("sum")))
+            .repartition("draw_id")  # a small file's draws too are spread over the tasks
+            .select("draw_id", "u", F.lit(size).alias("rows"), total.alias("total"))
             # a goal beyond every sum falls back to the first row
-            .withColumn("goal", F.when(goal > F.col("sum"), F.lit(-1.0)).otherwise(goal))
-            .withColumn("kid", F.get("kids", F.size(F.filter("kids.high", lambda x: x < F.col("goal")))))
-            .select(
-                "draw_id", "rows", "total", (F.col("goal") - F.col("kid.base")).alias("goal"), "kid.node", "kid.p"
-            )
+            .withColumn("goal", F.when(goal > F.lit(weight), F.lit(-1.0)).otherwise(goal))
+            .select("draw_id", "rows", "total", "goal", F.lit(0).cast("bigint").alias("node"), F.lit(weight).cast("double").alias("p"))
         )
-    for k in range(depth - 1, -1, -1):
-        at = walk.select("draw_id", "rows", "total", "goal", F.col("node").alias("parent"))
+    for k in range(depth, -1, -1):
+        at = walk.select("draw_id", "rows", "total", "goal", F.col("node").alias("parent"), F.col("p").alias("scale"))
         if k == 0:
             hit = walk.select(F.col("node").alias("parent")).distinct()
             nodes = leaves.join(hit, parent == F.col("parent"), "left_semi")
@@ -182,10 +193,14 @@ def weighted_sample(
             nodes = level(k)
         # one child's range holds the goal; the others are passed over in the join
         holds = (F.col("low") < F.col("goal")) & (F.col("goal") <= F.col("high"))
-        child = _children(nodes, fanout).withColumnRenamed("parent", "at")
-        if k and k == depth - 1:
-            child = F.broadcast(child)  # at most fanout x fanout rows
-        walk = at.join(child, (F.col("parent") == F.col("at")) & holds).select(
+        child = _children(nodes, fanout)
+        meets = F.col("parent") == F.col("at")
+        if k and k >= depth - 1:
+            # at most fanout x fanout children, each in about two cells
+            child = F.broadcast(_in_cells(child, fanout))
+            at = at.withColumn("_cell", _cell(F.col("goal"), F.col("scale"), fanout))
+            meets &= F.col("_cell") == F.col("cell")
+        walk = at.join(child.withColumnRenamed("parent", "at"), meets & holds).select(
             "draw_id", "rows", "total", (F.col("goal") - F.col("base")).alias("goal"), "node", "p"
         )
     share = F.col("rows") * (F.col("p") / F.col("total"))

@@ -74,6 +74,28 @@ def test_weighted_sample_against_a_scan(table, fanout, stride):
         assert found[d]["weight"] == pytest.approx((len(prio) * prio[picked] / total) ** -0.4)
 
 
+def test_draws_meet_few_nodes_and_are_spread(spark, table):
+    """Draws from one file: no task takes them all past every node, and none is lost where one row has most of the weight."""
+    tds = [1e9 if n == 77 else 0.0 if n % 3 else n / 7 for n in range(500)]
+    rows = table(list(enumerate(tds)), "id BIGINT, td DOUBLE")
+    near = F.when(F.col("id") % 2 == 0, F.col("id") / 999).otherwise(F.pow(F.lit(10.0), -F.col("id") / 70))
+    draws = spark.range(0, 500, 1, 1).select(F.col("id").alias("draw_id"), near.alias("u"))
+    got = sampling.weighted_sample(rows, draws, fanout=8)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in text and "hashpartitioning(draw_id" in text
+    sums, acc = [], 0.0
+    for x in tds:
+        acc += (abs(x) + 1e-6) ** 0.6
+        sums.append(acc)
+    found = {r["draw_id"]: r["id"] for r in got.collect()}
+    assert len(found) == 500 == got.count() and len(set(found.values())) > 20
+    for r in draws.collect():
+        goal, n = r["u"] * acc, found[r["draw_id"]]
+        assert (n == 0 or sums[n - 1] <= goal * (1 + 1e-9)) and goal <= sums[n] * (1 + 1e-9)
+    children = sampling._children(table([(n, 1.0) for n in range(64)] + [(64, 1e9)], "node BIGINT, p DOUBLE"), 256)
+    assert sampling._in_cells(children, 256).count() < 2 * (256 + 65)
+
+
 def test_tiny_priorities_fall_back_to_the_first_row(table):
     rows = table([(0, 0.0), (1, 0.0)], "id BIGINT, td DOUBLE")
     draws = table([(0, 0.9), (1, 0.0)], "draw_id BIGINT, u DOUBLE")
