@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from regionflow import constants as K
 from regionflow.constants import EARTH_RADIUS_KM
 from regionflow.functions.geo import air_weight, gravity_weight, haversine_km
-from regionflow.operators.skew import key_of
+from regionflow.operators.skew import key_of, stored
 from regionflow.sources.tables import rows_to_df
 
+#: Places in a part of a cell, and pairs of places that a task compares.
+CELL_ROWS, TASK_PAIRS = 2048, 20_000_000
+
 
 def pairs_ne(links: DataFrame) -> DataFrame:
     """The distinct ordered pairs of a link table whose ends differ.
@@ -162,8 +165,12 @@ def pairs_within(places: DataFrame, km: float, id: str = "id", lat: str = "lat",
 
     Places lie in cells of a grid: bands of latitude as high as the distance, cut
     into cells of longitude as wide as it is at the band's far edge; a band that a
-    pole is near is one cell. A place meets the cells that its circle can
-    touch, over the date line too, so pairs come from an equality join on cells.
+    pole is near is one cell. A place meets the cells of its own band and the next
+    that its circle can touch, over the date line too, so pairs come from an
+    equality join on cells, each once. Cells of many places are cut into parts that
+    a place meets one by one, and the join has as many tasks as its pairs need.
+    Places are compared by the chord between them, and its distance is worked out
+    for a pair that is near enough.
     Places without an id or a position have no pairs. `km` is below a quarter of
     the way around the earth.
     """
@@ -184,16 +191,36 @@ def pairs_within(places: DataFrame, km: float, id: str = "id", lat: str = "lat",
     own = own.filter("id IS NOT NULL AND abs(lat) <= 90 AND lon IS NOT NULL AND NOT isnan(lon)").withColumn("band", band)
     last = lambda w: F.round(F.lit(360.0) / w).cast("int") - 1
     cell = F.least(F.floor(x / width(F.col("band"))).cast("int"), last(width(F.col("band"))))
-    index = own.select(F.col("id").alias("dst"), F.col("lat").alias("dst_lat"), F.col("lon").alias("dst_lon"), "band", cell.alias("cell"))
-
-    near = F.sequence(F.greatest(F.col("band") - 1, F.lit(0)), F.least(F.col("band") + 1, F.lit(bands - 1)))
-    asked = own.select("id", "lat", "lon", F.explode(near).alias("band")).withColumn("w", width(F.col("band")))
+    north = F.radians("lat")
+    ball = {"x": F.cos(north) * F.cos(F.radians("lon")), "y": F.cos(north) * F.sin(F.radians("lon")), "z": F.sin(north)}
+    own = own.withColumn("cell", cell)
+    sizes = stored(own.groupBy("band", "cell").agg(F.count("*").alias("n")), "cell-sizes")
+    compared = 5 * (sizes.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0)
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), compared // TASK_PAIRS)
+    # at most one cell for each CELL_ROWS places
+    full = F.broadcast(sizes.filter(F.col("n") > CELL_ROWS).withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n"))
+    parts, spots = F.coalesce("parts", F.lit(1)), ["id", "lat", "lon", *ball]
+    key = ["band", "cell", "part"]
+    index = own.withColumns(ball).join(full, ["band", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("id", "lat", "lon"), parts).cast("int"))
+    index = index.select(*key, *[F.col(c).alias(f"b_{c}") for c in spots]).repartition(tasks, *key)
+
+    near = F.sequence("band", F.least(F.col("band") + 1, F.lit(bands - 1)))
+    own = own.repartition("id").withColumns({**ball, "own_band": F.col("band"), "own_cell": F.col("cell")})
+    asked = own.select(*spots, "own_band", "own_cell", F.explode(near).alias("band")).withColumn("w", width(F.col("band")))
     reach, n = _reach(F.col("lat"), angle), last(F.col("w")) + 1
     first, end = F.floor((x - reach) / F.col("w")).cast("int"), F.floor((x + reach) / F.col("w")).cast("int")
     part = F.transform(F.sequence(first, end), lambda c: F.pmod(c, n))
     whole = F.sequence(F.lit(0), n - 1)
     cells = F.when(reach.isNull() | (end - first + 1 >= n), whole).otherwise(part)
-    probes = asked.select(F.col("id").alias("src"), F.col("lat").alias("src_lat"), F.col("lon").alias("src_lon"), "band", F.explode(cells).alias("cell"))
-    met = probes.join(index, ["band", "cell"]).filter("src < dst")
-    apart = haversine_km(F.col("src_lat"), F.col("src_lon"), F.col("dst_lat"), F.col("dst_lon"))
-    return met.select("src", "dst", apart.alias("km")).filter(F.col("km") <= km)
+    same = (F.col("band") == F.col("own_band")) & (F.col("cell") == F.col("own_cell"))
+    ahead = (F.col("band") > F.col("own_band")) | (F.col("cell") >= F.col("own_cell"))
+    probes = asked.withColumn("cell", F.explode(cells)).filter(ahead).join(full, ["band", "cell"], "left")
+    probes = probes.select("band", "cell", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), same.alias("same"), *spots)
+    met = probes.repartition(tasks, *key).join(index.hint("merge"), key)
+    chord = sum(((F.col(c) - F.col(f"b_{c}")) * (F.col(c) - F.col(f"b_{c}")) for c in ball), F.lit(0.0))
+    apart = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
+    far = 2 * math.sin(angle / 2)
+    # rounding could decide only for chords that differ from the longest one by little
+    close = (chord <= F.lit(far * far)) & ((chord <= F.lit(max(0.0, far - 1e-7) ** 2)) | (apart <= km))
+    once = (F.col("same") & (F.col("id") < F.col("b_id"))) | (~F.col("same") & (F.col("id") != F.col("b_id")))
+    return met.filter(once & close).select(F.least("id", "b_id").alias("src"), F.greatest("id", "b_id").alias("dst"), apart.alias("km"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Rounds the columns; adding 0 turns -0.0 into 0.0."""
     return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
+
+
+def rounded_small(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """`rounded` for many numbers: those that are small and no near tie are rounded without decimals, to the same."""
+    scale = F.lit(10.0**digits)
+
+    def near(c: str) -> Column:
+        n = F.col(c) * scale
+        plain = (F.abs(n) < 1e9) & (F.abs(n - F.floor(n) - 0.5) > 1e-6)
+        return F.when(plain, F.floor(n + 0.5) / scale).otherwise(F.round(F.col(c), digits))
+
+    return df.withColumns({c: near(c) + F.lit(0.0) for c in columns})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from regionflow.operators import digest, network, series
 from regionflow.plans import views as V
-from regionflow.plans.registry import query, rounded, table
+from regionflow.plans.registry import query, rounded, rounded_small, table
 from regionflow.plans.series_queries import HORIZON, REPORT_SQL, THRESH, report_population
 from regionflow.session import fresh_path
 from regionflow.sources import layout, metric_store, observations
@@ -125,4 +125,4 @@ _PLACE = "CAST((c_custkey * 7919 % 18001) / 100e0 - 90 AS DOUBLE) AS lat, CAST((
 def pairs_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers at most 200 km apart, wherever on the globe they are put."""
     places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[F.expr(x) for x in _PLACE.split(", ")])
-    return rounded(network.pairs_within(places, 200.0), 6, "km")
+    return rounded_small(network.pairs_within(places, 200.0), 6, "km")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from regionflow.operators import digest, network, quality, series, summary
 from regionflow.plans.catalog import catalog
+from regionflow.plans.registry import rounded, rounded_small
 from regionflow.sources import layout, metric_store, observations
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -170,6 +171,32 @@ def test_pairs_within_a_distance(spark, near):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_pairs_of_a_dense_cell_are_spread(spark, monkeypatch):
+    """No task has most of the pairs, where a file is small and its places lie close; equal ids and equal places too."""
+    monkeypatch.setattr(network, "CELL_ROWS", 40, raising=False)
+    monkeypatch.setattr(network, "TASK_PAIRS", 20_000, raising=False)
+    draw = random.Random(3)
+    places = [(k, draw.uniform(87.5, 90), draw.uniform(-180, 180)) for k in range(300)]
+    places += [(k, 12.0, 179.99) for k in range(300, 360)] + [(k, 12.0, -179.99) for k in range(360, 400)] + [(399, 12.0, -179.99), (5, 12.5, 179.0)]
+    found = network.pairs_within(spark.createDataFrame(places, "id int, lat double, lon double").coalesce(1), 150.0)
+    want = [(min(p[0], q[0]), max(p[0], q[0]), km(p[1:], q[1:])) for i, p in enumerate(places) for q in places[i + 1 :] if p[0] != q[0]]
+    want = sorted(w for w in want if w[2] <= 150.0)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) > 10_000
+    assert all(g[2] == pytest.approx(w[2], abs=1e-6) for g, w in zip(got, want, strict=True))
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(shares) < len(got) / 3
+
+
+def test_small_numbers_are_rounded_to_the_same(spark):
+    draw = random.Random(5)
+    numbers = [draw.uniform(-200, 200) for _ in range(2000)] + [k / 2e6 for k in range(-999, 999)] + [draw.uniform(-2e4, 2e4) for _ in range(500)]
+    numbers += [0.0, -0.0, 1e-9, -1e-9, 1e300, 999.9999995, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double")
+    plain, quick = (f(rows, 6, "x").collect() for f in (rounded, rounded_small))
+    assert [str(r.x) for r in plain] == [str(r.x) for r in quick]
+
+
 def test_distances_that_are_refused(spark):
     for bad in (0.0, -1.0, 10_100.0):
         with pytest.raises(ValueError):
