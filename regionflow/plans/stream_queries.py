@@ -179,13 +179,13 @@ def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = []
 
     def start(stream: DataFrame, watermark: str):
-        averages = stateful.stream_ema(stream, watermark, key="country", step="event_id", value="i")
+        averages = stateful.stream_ema(stream, watermark, key="country", step="event_id", value="i", chunk_s=3600)
         kinds.append(averages.schema)
         return snapshots.sink_files(averages, path, checkpoint)
 
     _rounds(spark, sf_dir, start)
     done = spark.read.schema(kinds[0]).parquet(path)
-    out = done.unionByName(stateful.waiting_ema(spark, checkpoint, kinds[0]))
+    out = stateful.carried_ema(done.unionByName(stateful.waiting_ema(spark, checkpoint, kinds[0])))
     return rounded(out.select("country", "event_id", "ema"), 6, "ema")
 
 

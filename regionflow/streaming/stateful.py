@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from regionflow.operators.skew import first_per_key
+from regionflow.operators.scan import entering
+from regionflow.operators.skew import first_per_key, key_of
 
 _NEVER, _NONE = (1 << 63) - 1, -(1 << 63)
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -29,7 +31,9 @@ def open_state(spark: SparkSession, checkpoint: str, batch: int | None = None) -
 
 # --- moving averages -------------------------------------------------------------
 
-_EMA_STATE = "e double, started boolean, at array<bigint>, steps array<bigint>, xs array<double>"
+#: What waits lies in a state row as bytes: times, steps and values, in order.
+_EMA_STATE = "e double, started boolean, at binary, steps binary, xs binary"
+_HELD = ("<i8", "<i8", "<f8")
 
 
 def _fold(e: float, started: bool, xs: Sequence[float], alpha: float, seed_first: bool) -> tuple[float, bool, list[float]]:
@@ -44,15 +48,31 @@ def _fold(e: float, started: bool, xs: Sequence[float], alpha: float, seed_first
     return e, started, out
 
 
-def _ema_type(stream: DataFrame, key: str, ts: str, step: str, out: str) -> T.StructType:
+def _ema_type(stream: DataFrame, key: str, step: str, out: str, chunked: bool) -> T.StructType:
     kinds = stream.schema
-    kept = T.StructType([kinds[key], T.StructField("_at", T.LongType()), kinds[step]])
-    return kept.add(out, T.DoubleType())
+    kept = T.StructType([kinds[key], T.StructField("_at", T.LongType()), kinds[step]]).add(out, T.DoubleType())
+    return kept.add("_chunk", T.LongType()).add("_pos", T.LongType()).add("_seeded", T.DoubleType()) if chunked else kept
+
+
+def _averaged(
+    schema: T.StructType, keys: Sequence, at: Sequence[int], steps: Sequence[int], xs: Sequence[float],
+    e: float, started: bool, alpha: float, seed_first: bool,
+) -> tuple[float, bool, pd.DataFrame]:
+    """The rows of a key, or of one of its chunks, with their averages from e on."""
+    key, _, step, out, *more = schema.names
+    n = len(xs)
+    e, started, done = _fold(e, started, xs, alpha, seed_first and not more)
+    rows = {key: [keys[0]] * n, "_at": at, step: steps, out: done}
+    if more:
+        first = seed_first and any(x != 0.0 for x in xs)
+        seeded = _fold(0.0, False, xs, alpha, True)[2] if first else [None] * n
+        rows |= {"_chunk": [keys[1]] * n, "_pos": range(1, n + 1), "_seeded": pd.Series(seeded, dtype="float64" if first else "object")}
+    return e, started, pd.DataFrame(rows)
 
 
 def stream_ema(
     stream: DataFrame, watermark: str, key: str = "entity", ts: str = "ts", step: str = "step",
-    value: str = "reward", alpha: float = 0.2, seed_first: bool = False, out: str = "ema",
+    value: str = "reward", alpha: float = 0.2, seed_first: bool = False, out: str = "ema", chunk_s: int | None = None,
 ) -> DataFrame:
     """(key, _at, step, out): moving averages in the order of (time, step), `_at` being the time in microseconds.
 
@@ -61,23 +81,39 @@ def stream_ema(
     result is that of `summary.ema` over the whole stream. Rows that still wait
     come from `waiting_ema`. A null value counts as 0; rows without a time have no
     place and are left out; null keys are a key of their own.
+
+    With `chunk_s` a key's time is cut into chunks of so many seconds, so that no
+    task holds a whole key: each is a state row of its own, which is averaged, from 0,
+    when the watermark has passed its end. `carried_ema` makes the averages of these
+    rows and of those that wait.
     """
+    kind = _ema_type(stream, key, step, out, chunk_s is not None)
+    size = (chunk_s or 0) * 1_000_000
 
     def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e, started, *held = state.get if state.exists else (0.0, False, [], [], [])
-        rows = list(zip(*held, strict=True))
-        for f in frames:
-            rows += zip(f["_at"].tolist(), f["_step"].tolist(), f["_x"].tolist(), strict=True)
-        rows.sort()
+        e, started, *held = state.get if state.exists else (0.0, False, b"", b"", b"")
+        parts = [[np.frombuffer(bytes(h), t) for h, t in zip(held, _HELD, strict=True)]]
+        parts += [[f[c].to_numpy(t) for c, t in zip(("_at", "_step", "_x"), _HELD, strict=True)] for f in frames]
+        at, steps, xs = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((xs, steps, at))
+        at, steps, xs = at[order], steps[order], xs[order]
         passed = state.getCurrentWatermarkMs() * 1000
-        due = next((k for k, r in enumerate(rows) if r[0] > passed), len(rows))
-        e, started, done = _fold(e, started, [x for *_, x in rows[:due]], alpha, seed_first)
-        rest = rows[due:]
-        state.update((e, started, *([r[k] for r in rest] for k in range(3))))
-        if rest:
-            state.setTimeoutTimestamp(rest[0][0] // 1000 + 1)
+        if size:
+            end = (int(keys[1]) + 1) * size
+            due, wake = (len(at), 0) if end <= passed else (0, -(-end // 1000))
+        else:
+            due = int(np.searchsorted(at, passed, side="right"))
+            wake = int(at[due]) // 1000 + 1 if due < len(at) else 0
+        if due:
+            e, started, done = _averaged(kind, keys, at[:due].tolist(), steps[:due].tolist(), xs[:due].tolist(), e, started, alpha, seed_first)
+        if size and due:
+            state.remove()
+        else:
+            state.update((e, started, *(c[due:].tobytes() for c in (at, steps, xs))))
+            if wake:
+                state.setTimeoutTimestamp(wake)
         if due:
-            yield pd.DataFrame({key: [keys[0]] * due, "_at": [r[0] for r in rows[:due]], step: [r[1] for r in rows[:due]], out: done})
+            yield done
 
     placed = stream.filter(F.col(ts).isNotNull() & F.col(step).isNotNull()).select(
         key,
@@ -85,9 +121,9 @@ def stream_ema(
         F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"),
         F.col(step).cast("bigint").alias("_step"),
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_x"),
+        *([F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(chunk_s)).alias("_chunk")] if size else []),
     )
-    kind = _ema_type(stream, key, ts, step, out)
-    grouped = placed.withWatermark(ts, watermark).groupBy(key)
+    grouped = placed.withWatermark(ts, watermark).groupBy(key, *(["_chunk"] if size else []))
     return grouped.applyInPandasWithState(run, kind, _EMA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -95,16 +131,37 @@ def waiting_ema(
     spark: SparkSession, checkpoint: str, schema: T.StructType, alpha: float = 0.2, seed_first: bool = False
 ) -> DataFrame:
     """The rows of `stream_ema` (of the given schema, parameters as there) that the watermark has not passed."""
-    key, _, step, out = schema.names
+    names = [schema.names[0], *(["_chunk"] if "_chunk" in schema.names else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for k, e, started, at, steps, xs in f.itertuples(index=False):
-                done = _fold(e, started, xs, alpha, seed_first)[2]
-                yield pd.DataFrame({key: [k] * len(done), "_at": at, step: steps, out: done})
+            for row in f.itertuples(index=False, name=None):
+                keys, (e, started, *held) = row[: len(names)], row[len(names) :]
+                lists = [np.frombuffer(bytes(h), t).tolist() for h, t in zip(held, _HELD, strict=True)]
+                yield _averaged(schema, keys, *lists, e, started, alpha, seed_first)[2]
 
-    held = open_state(spark, checkpoint).select(F.col("key")[key].alias(key), "value.groupState.*")
-    return held.filter(F.size("xs") > 0).mapInPandas(run, schema)
+    held = open_state(spark, checkpoint).select(*[F.col("key")[n].alias(n) for n in names], "value.groupState.*")
+    return held.filter(F.length("xs") > 0).mapInPandas(run, schema)
+
+
+def carried_ema(rows: DataFrame, alpha: float = 0.2, seed_first: bool = False) -> DataFrame:
+    """(key, _at, step, out): the averages of `stream_ema` in chunks, sent and waiting, parameters as there.
+
+    What a chunk ends with follows from what it begins with by one map, so the chunks
+    are put together by `scan.entering`. With `seed_first` a key starts in its
+    first chunk with a value other than 0.
+    """
+    key, _, step, out = rows.columns[:4]
+    keep = lambda n: F.pow(F.lit(1.0 - alpha), n.cast("double"))
+    rows = rows.withColumnRenamed("_at", "_time").withColumn("_key", key_of([key]))
+    if seed_first:
+        first = rows.filter("_seeded IS NOT NULL").groupBy("_key").agg(F.min("_chunk").alias("_first"))
+        rows = rows.join(first, "_key", "left").withColumn(out, F.when(F.col("_chunk") == F.col("_first"), F.col("_seeded")).otherwise(F.col(out)))
+    rows = rows.withColumn("_at", F.struct(F.col("_key").alias("key"), F.col("_chunk").alias("chunk")))
+    ends = rows.groupBy("_at").agg(keep(F.max("_pos")).alias("a"), F.max_by(out, "_pos").alias("b"))
+    return rows.join(entering(ends), "_at").select(
+        key, F.col("_time").alias("_at"), step, (F.col(out) + F.col("_in") * keep(F.col("_pos"))).alias(out)
+    )
 
 
 # --- the newest rows ----------------------------------------------------------------

@@ -106,6 +106,33 @@ def test_ema_over_many_batches(spark, files, tmp_path, seed_first):
     assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
 
 
+@pytest.mark.parametrize("seed_first,chunk_s", [(False, 7200), (True, 7200), (True, 40 * 86400), (False, 1)])
+def test_ema_in_chunks_over_many_batches(spark, files, tmp_path, seed_first, chunk_s):
+    """No state row holds a whole key, and the averages are those of whole keys."""
+    folder, whole = files
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    kinds = []
+    late = F.when(F.col("ts") > "2024-01-02 06:00:00", F.col("i")).otherwise(F.col("i") * 0)  # a start of zeros
+
+    def start(stream, available_now):
+        rows = stateful.stream_ema(stream.withColumn("i", late), "2 days", key="country", value="i", seed_first=seed_first, chunk_s=chunk_s)
+        kinds.append(rows.schema)
+        return snapshots.sink_files(rows, out, checkpoint, available_now=available_now)
+
+    in_two_runs(spark, folder, start)
+    sent = spark.read.schema(kinds[0]).parquet(out)
+    waiting = stateful.waiting_ema(spark, checkpoint, kinds[0], seed_first=seed_first)
+    most = stateful.open_state(spark, checkpoint).agg(F.max(F.length("value.groupState.xs"))).first()[0]
+    assert waiting.count() > 0
+    if chunk_s <= 7200:
+        assert sent.count() > 300 and most <= 8 * 20
+    got = {r["step"]: r["ema"] for r in stateful.carried_ema(sent.unionByName(waiting), seed_first=seed_first).collect()}
+    rows = whole.filter("ts IS NOT NULL").withColumn("i", late).fillna(0.0, ["i"])
+    want = {r["step"]: r["ema"] for r in summary.ema(rows, key="country", value="i", seed_first=seed_first).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
+
+
 @pytest.mark.parametrize("keys,salts", [(["country"], 1), (["country"], 3), ([], 2)])
 def test_newest_rows_after_every_batch(spark, files, tmp_path, keys, salts):
     folder, whole = files
